@@ -1 +1,170 @@
-"""Queries."""
+"""Event-driven operators, in batch and as streams over the same files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from floorspark.operators import calibration, chat, edits
+from floorspark.queries.columns import HEIGHT, MEANS, RAW_FIT, WIDTH
+from floorspark.queries.registry import plain, query
+from floorspark.queries.scans import MARKED_READ, READ_STAMP, incoming_saves
+from floorspark.sources.tables import Tables
+from floorspark.streaming import feeds
+from floorspark.streaming.run import collect_rows
+
+GAP_SECONDS = 3600
+DELAY_SECONDS = 600
+
+BURSTS = f"""marked as (select job_id, seq, kind, raw, epoch_us(ts) as at_us,
+  row_number() over (partition by job_id order by ts, seq) as rn from edits),
+bursts as (select a.* from marked a left join marked b on b.job_id = a.job_id and b.rn = a.rn + 1
+ where b.at_us is null or b.at_us - a.at_us > {GAP_SECONDS * 1_000_000})"""
+
+
+@query("st_01", "edits", f"with {BURSTS} select job_id, seq, kind, raw from bursts")
+def burst_ends(t: Tables) -> DataFrame:
+    return edits.bursts(t.edits, GAP_SECONDS).select("job_id", "seq", "kind", "raw")
+
+
+@query(
+    "st_01_stream",
+    "edits",
+    f"""with {BURSTS} select job_id, seq, kind, raw from bursts
+where at_us + {GAP_SECONDS * 1_000_000} <= (select max(at_us) // 1000 * 1000 from marked) - {DELAY_SECONDS * 1_000_000}""",
+)
+def debounced_stream(t: Tables) -> DataFrame:
+    arriving = t.derive("edits", events=t.stream("events"))
+    closed = feeds.debounced(arriving, f"{GAP_SECONDS} seconds", f"{DELAY_SECONDS} seconds")
+    return collect_rows(closed, "bursts").select("job_id", "seq", "kind", "raw")
+
+
+@query(
+    "st_02",
+    "counts saves",
+    """select job_id, arg_max(s.group_a_cores, s.seq) as group_a_cores, arg_max(s.group_a_trolleys, s.seq) as group_a_trolleys,
+ 0 as group_b_cores from saves s group by job_id
+union all select job_id, group_a_cores, group_a_trolleys, group_b_cores from counts c
+where not exists (select 1 from saves s where s.job_id = c.job_id)""",
+)
+def upsert_stream(t: Tables) -> DataFrame:
+    arriving = Tables(t.spark, t.folder)
+    arriving._known["saves"] = t.derive("saves", events=t.stream("events"))
+    log = feeds.follow_saves(incoming_saves(arriving), "saves")
+    return log.current(t.counts, "job_id").select("job_id", "group_a_cores", "group_a_trolleys", "group_b_cores")
+
+
+OUTCOMES = """select job_id, max(seq) as seq, case when arg_max(offline, seq) then 'pending'
+ when job_id in (select id from jobs where status = 'pulled') then 'dropped' else 'applied' end as outcome from saves group by job_id"""
+
+
+@query("st_03", "saves jobs", OUTCOMES)
+def replay_outcomes(t: Tables) -> DataFrame:
+    kept = t.jobs.where("status <> 'pulled'")
+    return edits.replay(t.saves, kept).select("job_id", "seq", "outcome")
+
+
+@query("st_03_stream", "saves jobs", OUTCOMES)
+def replay_stream(t: Tables) -> DataFrame:
+    kept = t.jobs.where("status <> 'pulled'")
+    log = feeds.follow_replays(t.derive("saves", events=t.stream("events")), kept, "replays")
+    return log.newest("job_id").select("job_id", "seq", "outcome")
+
+
+# Every edit applied one after the other to the stored counts.
+FOLDED = """numbered as (select *, row_number() over (partition by job_id order by seq) as rn,
+  count(*) over (partition by job_id) as n, case when raw = 'n/a' then null else cast(replace(raw, 'x', '') as int) end as num from edits),
+state as (
+ select distinct e.job_id, cast(0 as bigint) as rn, ifnull(group_a_cores, 0) as ac, ifnull(group_a_trolleys, 0) as "at",
+  ifnull(group_b_cores, 0) as bc, ifnull(group_b_trolleys, 0) as bt, manual_total_override as total,
+  ifnull(comment, '') as comment, ifnull(still_making, false) as making
+ from edits e left join counts c on c.job_id = e.job_id
+ union all
+ select s.job_id, n.rn, if(kind = 'cores' and box = 'a', ifnull(num, 0), ac),
+  if(kind in ('plus', 'minus') and box = 'a', greatest(0, "at" + if(kind = 'plus', 1, -1)), "at"),
+  if(kind = 'cores' and box = 'b', ifnull(num, 0), bc),
+  if(kind in ('plus', 'minus') and box = 'b', greatest(0, bt + if(kind = 'plus', 1, -1)), bt),
+  case when kind in ('plus', 'minus', 'cores') then null when kind = 'total' then num else total end,
+  if(kind = 'comment', raw, comment), if(kind = 'making', checked, making)
+ from state s join numbered n on n.job_id = s.job_id and n.rn = s.rn + 1)
+select s.job_id, cast(ac as int) as group_a_cores, cast("at" as int) as group_a_trolleys, cast(bc as int) as group_b_cores,
+ cast(bt as int) as group_b_trolleys, cast(total as int) as manual_total_override, comment, making as still_making
+from state s join (select distinct job_id, n from numbered) l on l.job_id = s.job_id and l.n = s.rn"""
+
+
+@query("st_04", "counts edits", f"with {FOLDED}", recursive=True)
+def folded_edits(t: Tables) -> DataFrame:
+    return edits.fold(t.edits, t.counts).drop("updated_at")
+
+
+@query("st_04_stream", "counts edits", f"with {FOLDED}", recursive=True)
+def folded_stream(t: Tables) -> DataFrame:
+    log = feeds.follow_edits(t.derive("edits", events=t.stream("events")), t.counts, "edits")
+    return log.newest("job_id")
+
+
+def arriving_chat(t: Tables) -> DataFrame:
+    return t.derive("chat_messages", conversations=t.stream("conversations"))
+
+
+@query(
+    "st_05",
+    "chat_messages published_chat_day",
+    "select m.id, m.body from chat_messages m join published_chat_day p on p.job_date = m.job_date",
+)
+def day_feed(t: Tables) -> DataFrame:
+    feed = feeds.day_feed(arriving_chat(t), t.published_chat_day).select("id", "body")
+    return collect_rows(feed, "day-feed")
+
+
+UNREAD = """select job_date, exists (select 1 from chat_messages m where m.job_date = d.job_date and m.sender_role = 'admin'
+ and m.created_at > coalesce(s.last_seen, timestamp '0001-01-01 00:00:00')) as unread
+from (select distinct job_date from chat_messages) d join chat_seen s using (job_date)"""
+
+
+@query("st_06", "chat_messages chat_seen", UNREAD)
+def unread_days(t: Tables) -> DataFrame:
+    return chat.unread(chat.newest_office(t.chat_messages), t.chat_seen)
+
+
+@query("st_06_stream", "chat_messages chat_seen", UNREAD)
+def unread_stream(t: Tables) -> DataFrame:
+    log = feeds.follow_office_messages(arriving_chat(t), "unread")
+    return chat.unread(log.newest("job_date"), t.chat_seen)
+
+
+@query("st_07", "chat_messages published_chat_day", MARKED_READ)
+def receipt_stream(t: Tables) -> DataFrame:
+    log = feeds.follow_receipts(arriving_chat(t), t.published_chat_day, F.expr(READ_STAMP), "Sam", "receipts")
+    return plain(log.newest("id").select("id", "read_at", "read_by"))
+
+
+@query(
+    "st_08",
+    "pixels cal",
+    f"""with {RAW_FIT}, live as (select * from pixels where not frozen and x between 13 and 36 and y between 13 and 36),
+frames as (select frame_id, device, (r - b) / (r + b + 1e-6) as idx from ({MEANS.replace("from pixels", "from live")}) m
+ where frame_id <= (select max(frame_id) from live) - {DELAY_SECONDS})
+select frame_id, cast(floor(a * idx + b + 0.5) as bigint) as temperature,
+ case when r2 > 0.9 then 'good' when r2 > 0.6 then 'fair' when r2 is null then 'uncalibrated' else 'poor' end as tier
+from frames left join fits using (device)""",
+)
+def temperature_stream(t: Tables) -> DataFrame:
+    arriving = t.derive("pixels", lineitem=t.stream("lineitem"))
+    second = F.make_dt_interval(secs=F.col("frame_id"))
+    captured = F.lit("2024-01-01 00:00:00").cast("timestamp") + second
+    scored = feeds.live_temperatures(
+        arriving.withColumn("captured_at", captured), calibration.fit(t.cal), WIDTH, HEIGHT, f"{DELAY_SECONDS} seconds"
+    )
+    return collect_rows(scored.select("frame_id", "temperature", "tier"), "temperatures")
+
+
+@query(
+    "st_09",
+    "saves",
+    """select a.job_id, a.seq as arrival_seq, e.seq as event_time_seq, a.seq <> e.seq as regressed
+from (select * from saves qualify row_number() over (partition by job_id order by seq desc) = 1) a
+join (select * from saves qualify row_number() over (partition by job_id order by updated_at desc, seq desc) = 1) e using (job_id)""",
+)
+def late_winners(t: Tables) -> DataFrame:
+    return feeds.winners(t.saves)

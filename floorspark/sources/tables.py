@@ -41,8 +41,12 @@ class Tables:
         return self.spark.sql(BINDINGS[name], **bound)
 
     def stream(self, name: str) -> DataFrame:
-        """A stored table read as a stream."""
-        return self.spark.readStream.schema(SOURCES[name]).parquet(self.path(name))
+        """A stored table read as a stream.
+
+        The pattern matches the table's own name only; a stream takes a single
+        file by pattern but not by path.
+        """
+        return self.spark.readStream.schema(SOURCES[name]).parquet(f"{self.folder}/{name}.parque[t]")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SOURCES or name in BINDINGS:
