@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floorspark.plans.skew import lookup_join
+
 ROLES = ["anon", "view_only", "full_access"]
 OPERATIONS = ["select", "insert", "update", "delete"]
 ALL, PUBLISHED, FLAGGED = "all rows", "published day", "visible to the floor"
@@ -118,7 +120,7 @@ def split(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:
 def has_full_access(callers: DataFrame, users: DataFrame) -> DataFrame:
     """Callers with the flag ``is_full_access``."""
     full = users.where(F.col("permission") == "full_access").select("user_id").distinct()
-    return callers.join(full.withColumn("_full", F.lit(True)), "user_id", "left").withColumn(
+    return lookup_join(callers, full.withColumn("_full", F.lit(True)), ["user_id"]).withColumn(
         "is_full_access", F.coalesce("_full", F.lit(False))
     ).drop("_full")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
 from floorspark.plans.ordered import OrderedGroups
+from floorspark.plans.skew import lookup_join
 
 # Fixed values.
 HALF_BOX = 12
@@ -75,12 +76,12 @@ def fit_history(points: DataFrame, **sizing) -> DataFrame:
     summed, which keeps long running sums accurate.
     """
     means = points.groupBy("device").agg(F.avg("idx").alias("_mx"), F.avg("temp").alias("_my"))
-    centred = points.join(means, "device").withColumns(
+    centred = lookup_join(points, means, ["device"], "inner").withColumns(
         {"_x": F.col("idx") - F.col("_mx"), "_y": F.col("temp") - F.col("_my")}
     )
     x, y = F.col("_x"), F.col("_y")
     running = (
-        OrderedGroups(centred, ["device"], [F.col("seq").asc()], **sizing)
+        OrderedGroups(centred, ["device"], [F.col("seq").asc()], measured=points, **sizing)
         .running(
             n=("sum", F.lit(1).cast("long")),
             _sx=("sum", x),
@@ -105,8 +106,13 @@ def fit_history(points: DataFrame, **sizing) -> DataFrame:
 
 def estimates(frames: DataFrame, fits: DataFrame) -> DataFrame:
     """Frames with their device's temperature, colour band and fit quality."""
+    return scored(frames, fits, lookup_join)
+
+
+def scored(frames: DataFrame, fits: DataFrame, join) -> DataFrame:
+    """Estimates with a given way to join a frame to its device's fit."""
     lines = fits.select("device", F.col("n").alias("points"), F.col("a").alias("_a"), F.col("b").alias("_b"), "r2")
-    estimated = frames.join(lines, "device", "left").withColumn(
+    estimated = join(frames, lines, ["device"]).withColumn(
         "estimate", fx.temperature("idx", "_a", "_b", "points")
     )
     return estimated.withColumns(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floorspark.functions.text import trimmed_or
 from floorspark.plans.ordered import OrderedGroups
+from floorspark.plans.skew import lookup_join
 
 
 def latest(rows: DataFrame, key: str, *rank: str) -> DataFrame:
@@ -41,7 +42,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, order_by: str = "
 
 def insert_missing(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Insert rows whose key is free; others are ignored, one row per new key."""
-    fresh = incoming.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+    fresh = incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
 
 
@@ -131,14 +132,14 @@ def dipping_ticks(jobs: DataFrame, toggles: DataFrame, users: DataFrame, require
 def delete_rows(table: DataFrame, deleted: DataFrame, key: str, deleted_key: str) -> DataFrame:
     """Rows left after a delete that cascades on ``key``."""
     gone = deleted.select(F.col(deleted_key).alias(key)).distinct()
-    return table.join(gone, key, "left_anti")
+    return lookup_join(table, gone, [key], "left_anti")
 
 
 def unset_references(table: DataFrame, deleted: DataFrame, key: str, deleted_key: str) -> DataFrame:
     """Rows with ``key`` nulled where the row it points at was deleted."""
     gone = deleted.select(F.col(deleted_key).alias(key)).distinct().withColumn("_gone", F.lit(True))
     return (
-        table.join(gone, key, "left")
+        lookup_join(table, gone, [key])
         .withColumn(key, F.when(F.col("_gone").isNull(), F.col(key)))
         .select(*table.columns)
     )

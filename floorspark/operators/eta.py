@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from floorspark.functions import formulas as fx
 from floorspark.operators.views import list_key, list_order
 from floorspark.plans.ordered import OrderedGroups
+from floorspark.plans.skew import lookup_join
 
 
 def current_jobs(open_jobs: DataFrame, pace: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def project(open_jobs: DataFrame, pace: DataFrame, **sizing) -> DataFrame:
     days = current_jobs(open_jobs, pace)
     rate = F.col("tons_per_hour").cast("double")
     usable = F.col("started_at").isNotNull() & (rate > 0) & (rate < float("inf"))
-    jobs = open_jobs.join(days, "job_date").withColumns(
+    jobs = lookup_join(open_jobs, days, ["job_date"], "inner").withColumns(
         {"_key": list_key(), "_usable": F.coalesce(usable, F.lit(False))}
     )
     is_current = F.col("_key") == F.col("current_key")
@@ -51,7 +52,7 @@ def project(open_jobs: DataFrame, pace: DataFrame, **sizing) -> DataFrame:
     jobs = jobs.withColumn(
         "_takes", F.when(F.col("_usable") & (F.col("_key") >= F.col("current_key")), takes).otherwise(0.0)
     )
-    ordered = OrderedGroups(jobs, ["job_date"], list_order(), **sizing)
+    ordered = OrderedGroups(jobs, ["job_date"], list_order(), measured=open_jobs, **sizing)
     running = ordered.running(inclusive=False, _before=("sum", F.col("_takes"))).rows
     offset = F.when(F.col("_usable") & (F.col("_key") > F.col("current_key")), fx.nearest(F.col("_before")))
     return running.withColumns(

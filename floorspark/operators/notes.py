@@ -9,6 +9,7 @@ from floorspark.functions import formulas as fx
 from floorspark.functions.text import escape_markup
 from floorspark.operators.views import published_jobs
 from floorspark.plans.ordered import OrderedGroups
+from floorspark.plans.skew import lookup_join
 
 
 def day_parts(jobs: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def day_parts(jobs: DataFrame) -> DataFrame:
 def notes_for(parts: DataFrame, notes: DataFrame) -> DataFrame:
     """Visible notes of the given parts; the part list stays a table."""
     wanted = parts.select("item_number").distinct()
-    return notes.where(F.col("visible_to_trolley")).join(wanted, "item_number", "left_semi")
+    return lookup_join(notes.where(F.col("visible_to_trolley")), wanted, ["item_number"], "left_semi")
 
 
 def newest_first(notes: DataFrame, **sizing) -> DataFrame:
@@ -39,9 +40,8 @@ def newest_first(notes: DataFrame, **sizing) -> DataFrame:
 def fan_out(open_jobs: DataFrame, notes: DataFrame, published_day: DataFrame) -> DataFrame:
     """Visible notes on every open job of the published day that runs the part."""
     today = published_jobs(open_jobs, published_day).where(fx.not_blank("item_number")).select("job_id", "item_number")
-    return today.join(
-        notes_for(today, notes).select("item_number", F.col("id").alias("note_id"), "body", "created_at"), "item_number"
-    )
+    shown = notes.where(F.col("visible_to_trolley"))
+    return today.join(shown.select("item_number", F.col("id").alias("note_id"), "body", "created_at"), "item_number")
 
 
 def note_counts(jobs: DataFrame, notes: DataFrame) -> DataFrame:
@@ -51,4 +51,4 @@ def note_counts(jobs: DataFrame, notes: DataFrame) -> DataFrame:
         .groupBy("item_number")
         .agg(F.count("*").alias("notes"), F.max("created_at").alias("newest_at"))
     )
-    return jobs.join(per_part, "item_number")
+    return lookup_join(jobs, per_part, ["item_number"], "inner")

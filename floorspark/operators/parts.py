@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
+from floorspark.plans.skew import lookup_join
 
 VARIANT = ["am_number", "item_number", "grade", "weight_kg", "is_doubles", "needs_dipping"]
 
@@ -63,7 +64,7 @@ def minimal_references(job_notes: DataFrame, jobs: DataFrame, reference: DataFra
     """
     noted = job_notes.select(F.col("job_id").alias("id")).distinct()
     wanted = part_variants(jobs.join(noted, "id", "left_semi"))
-    return wanted.join(reference.select("item_number").distinct(), "item_number", "left_anti")
+    return lookup_join(wanted, reference.select("item_number").distinct(), ["item_number"], "left_anti")
 
 
 def orphan_notes(job_notes: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -100,13 +101,13 @@ def migrate_job_notes(
     notes = noted_jobs(job_notes, jobs.where(fx.not_blank("item_number")).select("id", "item_number")).select(
         "note_id", "item_number", "body", "visible_to_trolley", F.col("noted_at").alias("created_at")
     )
-    return new_notes(notes, part_notes).join(records, "item_number")
+    return lookup_join(new_notes(notes, part_notes), records, ["item_number"], "inner")
 
 
 def new_notes(notes: DataFrame, existing: DataFrame) -> DataFrame:
     """Notes whose (part, body, time) is not stored yet."""
     keys = ["item_number", "body", "created_at"]
-    return notes.join(existing.select(*keys).distinct(), keys, "left_anti")
+    return lookup_join(notes, existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def carry_forward(jobs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -129,12 +130,10 @@ def carry_forward(jobs: DataFrame, counts: DataFrame) -> DataFrame:
         .select("am_number", "job_date", F.col("_source.id").alias("source_job_id"))
     )
     source_counts = counts.select(F.col("job_id").alias("source_job_id"), *boxes)
-    return (
-        counted.where(F.col("job_id").isNull())
-        .select("id", "am_number", "job_date")
-        .join(sources, ["am_number", "job_date"])
-        .join(source_counts, "source_job_id")
-        .select(F.col("id").alias("job_id"), "source_job_id", *boxes)
+    uncounted = counted.where(F.col("job_id").isNull()).select("id", "am_number", "job_date")
+    sourced = lookup_join(uncounted, sources, ["am_number", "job_date"], "inner")
+    return lookup_join(sourced, source_counts, ["source_job_id"], "inner").select(
+        F.col("id").alias("job_id"), "source_job_id", *boxes
     )
 
 
@@ -146,7 +145,7 @@ def classify_incoming(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """
     keys = ["job_date", "am_number", "item_number"]
     known = existing.where(F.col("item_number").isNotNull()).select(*keys).distinct().withColumn("_known", F.lit(True))
-    return incoming.join(known, keys, "left").withColumn(
+    return lookup_join(incoming, known, keys).withColumn(
         "action", F.when(F.col("_known"), "edit").otherwise("insert")
     ).drop("_known")
 
@@ -164,7 +163,7 @@ def cross_check(jobs: DataFrame, reference: DataFrame) -> DataFrame:
     differing = F.array_compact(
         F.array(*[F.when(~mine[c].eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in fields])
     )
-    checked = jobs.where(fx.not_blank("item_number")).join(record, "item_number", "left")
+    checked = lookup_join(jobs.where(fx.not_blank("item_number")), record, ["item_number"])
     checked = checked.withColumn("_differing", F.when(F.col("_known"), differing).otherwise(F.array().cast("array<string>")))
     status = F.when(F.col("_known").isNull(), "new_part").when(F.size("_differing") == 0, "exact").otherwise("variant")
     return checked.select(
@@ -178,6 +177,6 @@ def remember_dipping(jobs: DataFrame, dip_items: DataFrame) -> DataFrame:
     *Inferred* from the memory table's comment.
     """
     memory = dip_items.where(F.col("needs_dipping")).select("item_number").distinct().withColumn("_dipped", F.lit(True))
-    return jobs.join(memory, "item_number", "left").withColumn(
+    return lookup_join(jobs, memory, ["item_number"]).withColumn(
         "needs_dipping", fx.dipping_or_false("needs_dipping") | F.coalesce("_dipped", F.lit(False))
     ).drop("_dipped")

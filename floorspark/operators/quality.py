@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floorspark.plans.skew import lookup_join
+
 # Fixed values.
 ELEMENTS = ["Cr", "Cu", "Mo", "Sn", "Ni", "Gr", "Ti"]
 SENDER_ROLES = ["admin", "trolley"]
@@ -43,7 +45,7 @@ def singleton_state(rows: DataFrame) -> DataFrame:
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows that point at no parent; a null reference is no orphan."""
     parents = parent.select(F.col(parent_key).alias(key))
-    return child.where(F.col(key).isNotNull()).join(parents, key, "left_anti")
+    return lookup_join(child.where(F.col(key).isNotNull()), parents, [key], "left_anti")
 
 
 def command_result(commands: DataFrame, users: DataFrame) -> DataFrame:
@@ -83,4 +85,4 @@ def command_result(commands: DataFrame, users: DataFrame) -> DataFrame:
         .when(action == "delete", delete)
         .otherwise("unknown action")
     )
-    return commands.join(owners, "caller_id", "left").withColumn("result", result).drop("_owner")
+    return lookup_join(commands, owners, ["caller_id"]).withColumn("result", result).drop("_owner")

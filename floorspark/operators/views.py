@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
 from floorspark.plans.ordered import OrderedGroups
+from floorspark.plans.skew import lookup_join
 
 
 def list_order() -> list[Column]:
@@ -108,9 +109,9 @@ def badges(open_jobs: DataFrame, etas: DataFrame, notes: DataFrame) -> DataFrame
         F.col("is_current"),
         F.col("eta_offset_ms").isNotNull().alias("has_eta"),
     )
+    flagged = open_jobs.join(shown, F.col("job_id") == F.col("_id"), "left")
     return (
-        open_jobs.join(shown, F.col("job_id") == F.col("_id"), "left")
-        .join(per_part, "item_number", "left")
+        lookup_join(flagged, per_part, ["item_number"])
         .select(
             "job_id",
             "job_date",

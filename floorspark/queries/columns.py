@@ -322,10 +322,8 @@ from extracted join admitted using (req_id), published_day p""",
 )
 def column_defaults(t: Tables) -> DataFrame:
     rows = ingest.normalised(ingest.extracted_rows(ingest.admitted(t.requests)))
-    day = t.published_day.select(
-        (F.col("job_date").cast("timestamp") + F.expr("interval 6 hours")).alias("_as_of"), F.lit(True).alias("_on")
-    ).limit(1)
-    dated = rows.withColumn("_on", F.lit(True)).join(F.broadcast(day), "_on")
+    day = t.published_day.select((F.col("job_date").cast("timestamp") + F.expr("interval 6 hours")).alias("as_of"))
+    dated = rows.withColumn("_as_of", day.scalar())
     return changes.with_defaults(dated, F.col("_as_of")).select(
         "req_id", "row_no", "job_date", "sort_order", "is_trial", "is_done"
     )

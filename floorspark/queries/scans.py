@@ -114,12 +114,12 @@ select null, p.job_date, 'trolley', case when length(sender_name) > 0 then sende
 from chat_messages, published_chat_day p where read_at is null""",
 )
 def appended_messages(t: Tables) -> DataFrame:
-    day = F.broadcast(t.published_chat_day.select("job_date", F.lit(True).alias("_on")).limit(1))
     # Every message is answered: a blank line where it was read, else its role with blanks around.
     body = F.when(F.col("read_at").isNotNull(), F.lit(" \n ")).otherwise(
         F.concat(F.lit("\n "), F.col("sender_role"), F.lit("\t"))
     )
-    outgoing = t.chat_messages.select(body.alias("body"), "sender_name", F.lit(True).alias("_on")).join(day, "_on").drop("_on")
+    day = t.published_chat_day.select("job_date").scalar()
+    outgoing = t.chat_messages.select(body.alias("body"), "sender_name", day.alias("job_date"))
     return changes.send_messages(t.chat_messages, outgoing).select("id", "job_date", "sender_role", "sender_name", "body")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.operators import calibration, changes, edits
+from floorspark.plans.skew import stored_small
 from floorspark.streaming.run import ChangeLog
 
 COUNT_COLUMNS = (
@@ -43,8 +44,7 @@ def follow_edits(stream: DataFrame, stored: DataFrame, name: str, **options) ->
 
     def change(rows: DataFrame, batch: int) -> DataFrame:
         touched = rows.select("job_id").distinct()
-        state = log.current(stored.select(*columns), "job_id", before=batch)
-        return edits.fold(rows, state.join(touched, "job_id", "left_semi"))
+        return edits.fold(rows, log.current(stored.select(*columns), "job_id", before=batch, only=touched))
 
     return log.follow(stream, change, **options)
 
@@ -101,12 +101,13 @@ def live_temperatures(pixels: DataFrame, fits: DataFrame, width: int, height: in
     """Scored frames, emitted once their pixels are complete.
 
     ``pixels`` carries the capture time ``captured_at``; frozen frames are
-    skipped, and devices without a fit get no temperature.
+    skipped, and devices without a fit get no temperature. The fits are stored
+    before the stream starts, so every frame is scored with the same ones.
     """
     box = calibration.centre_box(pixels.where(~F.col("frozen")), width, height)
     timed = box.withWatermark("captured_at", delay)
     frames = calibration.frame_index(timed, "captured_at")
-    return calibration.estimates(frames, fits)
+    return calibration.scored(frames, fits, lambda rows, lines, keys: rows.join(stored_small(lines), keys, "left"))
 
 
 def winners(saves: DataFrame) -> DataFrame:

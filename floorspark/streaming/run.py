@@ -76,12 +76,19 @@ class ChangeLog:
         run(stream.writeStream.outputMode(mode).foreachBatch(on_batch), self.folder, **options)
         return self
 
-    def newest(self, key: str, before: int | None = None) -> DataFrame:
-        """The last logged row of each key."""
-        return latest(self.rows(before), key, "batch").drop("batch")
-
-    def current(self, base: DataFrame, key: str, before: int | None = None) -> DataFrame:
+    def newest(self, key: str, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """The last logged row of each key, or of the keys in ``only``."""
+        logged = self.rows(before)
+        if only is not None:
+            logged = logged.join(only, key, "left_semi")
+        return latest(logged, key, "batch").drop("batch")
+
+    def current(
+        self, base: DataFrame, key: str, before: int | None = None, only: DataFrame | None = None
+    ) -> DataFrame:
         """The base table with logged rows in place of the ones they replace."""
-        changed = self.newest(key, before)
+        changed = self.newest(key, before, only)
+        if only is not None:
+            base = base.join(only, key, "left_semi")
         kept = base.join(changed.select(key), key, "left_anti")
         return kept.select(*changed.columns).unionByName(changed)
