@@ -55,7 +55,7 @@ def grouped_thousands(value: Column | str) -> Column:
 def role_claim(header: Column | str) -> Column:
     """The role a bearer token claims; null for anything malformed."""
     token = F.regexp_replace(F.coalesce(col(header), F.lit("")), r"(?i)^Bearer\s+", "")
-    payload = F.nullif(F.split_part(token, F.lit("."), F.lit(2)), F.lit(""))
+    payload = F.split_part(token, F.lit("."), F.lit(2))
     decoded = F.try_to_binary(F.translate(payload, "-_", "+/"), F.lit("base64"))
     return F.get_json_object(decoded.cast("string"), "$.role")
 

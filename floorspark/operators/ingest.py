@@ -37,10 +37,13 @@ def parsed(requests: DataFrame) -> DataFrame:
 
 
 def extracted_rows(requests: DataFrame) -> DataFrame:
-    """One row per extracted job, in the order of the text."""
-    return parsed(requests).select("req_id", F.posexplode("extracted").alias("row_no", "row")).select(
-        "req_id", "row_no", "row.*"
-    )
+    """One row per extracted job, in the order of the text.
+
+    The outer form keeps Spark from parsing each text again just to filter out
+    empty lists before they are unfolded.
+    """
+    unfolded = parsed(requests).select("req_id", F.posexplode_outer("extracted").alias("row_no", "row"))
+    return unfolded.where(F.col("row_no").isNotNull()).select("req_id", "row_no", "row.*")
 
 
 def parse_failures(requests: DataFrame) -> DataFrame:

@@ -105,9 +105,14 @@ def migrate_job_notes(
 
 
 def new_notes(notes: DataFrame, existing: DataFrame) -> DataFrame:
-    """Notes whose (part, body, time) is not stored yet."""
-    keys = ["item_number", "body", "created_at"]
-    return lookup_join(notes, existing.select(*keys).distinct(), keys, "left_anti")
+    """Notes whose (part, body, time) is not stored yet.
+
+    Bodies are compared by their SHA-256, so no text travels as a join key.
+    """
+    keys = ["item_number", "created_at", "_digest"]
+    digest = F.sha2("body", 256)
+    stored = existing.select("item_number", "created_at", digest.alias("_digest")).distinct()
+    return lookup_join(notes.withColumn("_digest", digest), stored, keys, "left_anti").drop("_digest")
 
 
 def carry_forward(jobs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -116,24 +121,21 @@ def carry_forward(jobs: DataFrame, counts: DataFrame) -> DataFrame:
     *Inferred*: a work order that reappears on a later day takes over the counts
     of the most recent earlier day that has some; on that day the highest job id
     wins. Jobs first reduce to one row per work order and day, so the window
-    that looks back holds calendar days, not jobs.
+    that looks back holds calendar days, not jobs. The counts travel along in
+    the compared value: day and id already decide, and no second join is needed.
     """
     boxes = [c for c in counts.columns if c != "job_id"]
-    counted = jobs.select("id", "am_number", "job_date").join(counts, F.col("id") == F.col("job_id"), "left")
+    named = jobs.select("id", "am_number", "job_date")
+    counted = named.join(counts, F.col("id") == F.col("job_id"), "left")
     per_day = counted.groupBy("am_number", "job_date").agg(
-        F.max(F.when(F.col("job_id").isNotNull(), F.struct("job_date", "id"))).alias("_latest")
+        F.max(F.when(F.col("job_id").isNotNull(), F.struct("job_date", "id", *boxes))).alias("_latest")
     )
     earlier = Window.partitionBy("am_number").orderBy("job_date").rowsBetween(Window.unboundedPreceding, -1)
-    sources = (
-        per_day.withColumn("_source", F.max("_latest").over(earlier))
-        .where(F.col("_source").isNotNull())
-        .select("am_number", "job_date", F.col("_source.id").alias("source_job_id"))
-    )
-    source_counts = counts.select(F.col("job_id").alias("source_job_id"), *boxes)
-    uncounted = counted.where(F.col("job_id").isNull()).select("id", "am_number", "job_date")
-    sourced = lookup_join(uncounted, sources, ["am_number", "job_date"], "inner")
-    return lookup_join(sourced, source_counts, ["source_job_id"], "inner").select(
-        F.col("id").alias("job_id"), "source_job_id", *boxes
+    sources = per_day.withColumn("_source", F.max("_latest").over(earlier)).where(F.col("_source").isNotNull())
+    uncounted = named.join(counts.select(F.col("job_id").alias("id")), "id", "left_anti")
+    carried = lookup_join(uncounted, sources.select("am_number", "job_date", "_source"), ["am_number", "job_date"], "inner")
+    return carried.select(
+        F.col("id").alias("job_id"), F.col("_source.id").alias("source_job_id"), *[f"_source.{c}" for c in boxes]
     )
 
 
