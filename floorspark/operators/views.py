@@ -83,6 +83,12 @@ def published_jobs(jobs: DataFrame, published_day: DataFrame) -> DataFrame:
     return jobs.join(F.broadcast(day), "job_date", "left_semi")
 
 
+def shown_day(published_day: DataFrame, as_of: Column) -> DataFrame:
+    """The day the floor shows: the published one, else the UTC date of ``as_of``."""
+    published = published_day.where(F.col("id") == 1).agg(F.max("job_date").alias("_day"))
+    return published.select(F.lit(1).alias("id"), F.coalesce("_day", as_of.cast("date")).alias("job_date"))
+
+
 def positions(rows: DataFrame, **sizing) -> DataFrame:
     """Place of each job in its day's list."""
     return OrderedGroups(rows, ["job_date"], list_order(), **sizing).numbered("day_position").rows

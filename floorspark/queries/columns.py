@@ -406,7 +406,7 @@ def eta_clock(t: Tables) -> DataFrame:
     f"""with {RAW_FIT}, frames as (select *, (r - b) / (r + b + 1e-6) as idx from ({MEANS}) m)
 select frame_id, printf('idx %.3f  (R%d G%d B%d)', idx, cast(floor(red + 0.5) as bigint), cast(floor(green + 0.5) as bigint),
  cast(floor(blue + 0.5) as bigint)) as chip, format('{{:,}}', cast(floor(a * idx + b + 0.5) as bigint)) as shown
-from (select frame_id, device, idx, r as red, g as green, b as blue from frames) x join fits using (device)""",
+from (select frame_id, device, idx, r as red, g as green, b as blue from frames) x left join fits using (device)""",
 )
 def number_formats(t: Tables) -> DataFrame:
     frames = calibration.frame_index(calibration.centre_box(t.pixels, WIDTH, HEIGHT))

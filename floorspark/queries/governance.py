@@ -154,6 +154,86 @@ _SIZES_SQL = "\n union all ".join(
 )
 
 
+def _governed(t: Tables, relation: str, rows: DataFrame, key: str) -> DataFrame:
+    """Per role, the rows it reads and what becomes of each row it writes."""
+    results = []
+    for role in access.ROLES:
+        read = access.visible(relation, role, rows, t.published_day).withColumn("reason", F.lit(None).cast("string"))
+        results.append((role, "select", read))
+        for operation in access.OPERATIONS[1:]:
+            results.append((role, operation, access.admit(relation, operation, role, rows, t.published_day)))
+    return _union(
+        [
+            df.select(
+                F.lit(role).alias("role"),
+                F.lit(operation).alias("operation"),
+                F.col(key).cast("string").alias("row_key"),
+                "reason",
+            )
+            for role, operation, df in results
+        ]
+    )
+
+
+def _governed_sql(relation: str, table: str, key: str) -> str:
+    cells = [
+        (role, operation, scope)
+        for role, scopes in zip(("anon", "view_only", "full_access"), _RULE_ROWS[relation])
+        for operation, scope in zip(("select", "insert", "update", "delete"), scopes.split(","))
+    ]
+    values = ", ".join(f"('{role}', '{operation}', '{scope}')" for role, operation, scope in cells)
+    return f"""select role, operation, cast({key} as varchar) as row_key, case when scope = '' then 'not granted' end as reason
+from {table}, (values {values}) r(role, operation, scope) where operation <> 'select' or scope <> ''"""
+
+
+# Inventory id, relation, table that holds it here, and its key.
+_GOVERNED = [
+    ("ac_03", "dip_items", "dip_items", "item_number"),
+    ("ac_04", "item_reference", "item_reference", "id"),
+    ("ac_05", "published_day", "published_day", "job_date"),
+    ("ac_08", "additions", "additions", "seq"),
+    ("ac_09", "job_pace", "job_pace", "job_date"),
+    ("ac_10", "app_users", "app_users", "user_id"),
+]
+
+
+def _register_governed(name: str, relation: str, table: str, key: str) -> None:
+    query(name, table, _governed_sql(relation, table, key))(lambda t: _governed(t, relation, t.table(table), key))
+
+
+for _row in _GOVERNED:
+    _register_governed(*_row)
+
+
+@query(
+    "ac_11",
+    "jobs counts published_day",
+    """select 'anon' as role, 'trolley_jobs' as view, id as job_id, am_number from jobs where not ifnull(is_done, false)
+union all select 'anon', 'jobs', id, null from jobs where job_date = (select job_date from published_day)
+union all select role, 'job_summary', id, am_number from jobs, (values ('view_only'), ('full_access')) r(role)""",
+)
+def visible_views(t: Tables) -> DataFrame:
+    # The floor's view shows columns the floor cannot read on the jobs themselves.
+    summary = views.job_summary(t.jobs, t.counts).withColumnRenamed("id", "job_id")
+    floor = views.trolley_jobs(t.jobs, t.counts)
+    rows = [
+        (role, relation, access.visible(relation, role, view))
+        for role in access.ROLES
+        for relation, view in (("trolley_jobs", floor), ("job_summary", summary))
+    ]
+    shown = [
+        df.select(F.lit(role).alias("role"), F.lit(relation).alias("view"), "job_id", "am_number")
+        for role, relation, df in rows
+    ]
+    masked = access.visible("jobs", "anon", t.jobs, t.published_day).select(
+        F.lit("anon").alias("role"),
+        F.lit("jobs").alias("view"),
+        F.col("id").alias("job_id"),
+        F.lit(None).cast("string").alias("am_number"),
+    )
+    return _union([*shown, masked])
+
+
 @query(
     "ac_matrix",
     "jobs counts dip_items item_reference published_day notes additions job_pace app_users",

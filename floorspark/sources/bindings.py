@@ -125,7 +125,7 @@ select user_id as job_id, event_id as seq, cast(event_id % 60 as int) as group_a
  ts - (event_id % 3) * interval '9' hour as updated_at, event_type = 'error' as offline
 from {events}""",
     "pixels": """
-select l_orderkey as frame_id, l_orderkey % 7 + 1 as device, cast(l_quantity as int) as x, l_linenumber * 7 as y,
+select l_orderkey as frame_id, l_orderkey % 8 + 1 as device, cast(l_quantity as int) as x, l_linenumber * 7 as y,
  l_quantity * 5 as r, l_tax * 1000 as g, l_discount * 1000 as b, l_orderkey % 10 = 0 as frozen
 from {lineitem}""",
     # Calibration points per device, from clean to noisy.
