@@ -12,10 +12,9 @@ from floorspark.queries.registry import plain, query
 from floorspark.sources.tables import Tables
 
 OPEN = "not coalesce(is_done, false)"
-PRODUCT = (
-    "coalesce(group_a_cores, 0) * coalesce(group_a_trolleys, 0) + coalesce(group_b_cores, 0) * coalesce(group_b_trolleys, 0)"
-)
-TOTAL = f"coalesce(manual_total_override, {PRODUCT})"
+# A product with a missing factor is null, hence zero.
+PRODUCT = "(ifnull(group_a_cores * group_a_trolleys, 0) + ifnull(group_b_cores * group_b_trolleys, 0))"
+TOTAL = f"ifnull(manual_total_override, {PRODUCT})"
 MEANS = """select frame_id, device, avg(r) as r, avg(g) as g, avg(b) as b from pixels
   where x >= 13 and x < 37 and y >= 13 and y < 37 group by frame_id, device"""
 # Frame size of the pixel table.

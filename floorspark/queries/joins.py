@@ -65,8 +65,7 @@ def published_day_jobs(t: Tables) -> DataFrame:
 @query(
     "jn_05",
     "jobs counts published_day",
-    """select job_id from counts c where exists (select 1 from jobs j, published_day p
- where j.id = c.job_id and p.id = 1 and j.job_date = p.job_date)""",
+    "select job_id from counts where job_id in (select id from jobs where job_date in (select job_date from published_day))",
 )
 def admissible_counts(t: Tables) -> DataFrame:
     today = views.published_jobs(t.jobs, t.published_day).select(F.col("id").alias("job_id"))
@@ -76,12 +75,10 @@ def admissible_counts(t: Tables) -> DataFrame:
 @query(
     "jn_06",
     "jobs item_reference",
-    """select distinct j.am_number, j.item_number, j.grade, cast(j.weight_kg as double) as weight_kg,
- ifnull(j.is_doubles, false) as is_doubles, ifnull(j.needs_dipping, false) as needs_dipping
-from jobs j where j.item_number is not null and j.item_number <> '' and not exists (
- select 1 from item_reference r where r.item_number = j.item_number and r.am_number is not distinct from j.am_number
-  and r.grade is not distinct from j.grade and r.weight_kg is not distinct from j.weight_kg
-  and r.is_doubles = ifnull(j.is_doubles, false) and r.needs_dipping = ifnull(j.needs_dipping, false))""",
+    """select am_number, item_number, grade, cast(weight_kg as double) as weight_kg, is_doubles is true as is_doubles,
+ needs_dipping is true as needs_dipping from jobs where length(item_number) > 0
+except
+select am_number, item_number, grade, cast(weight_kg as double), is_doubles, needs_dipping from item_reference""",
 )
 def new_variants(t: Tables) -> DataFrame:
     return plain(parts.new_variants(t.jobs, t.item_reference))
@@ -119,7 +116,7 @@ def replay_guard(t: Tables) -> DataFrame:
 @query(
     "jn_09",
     "chat_messages published_chat_day",
-    "select id, sender_role from chat_messages where job_date = (select job_date from published_chat_day where id = 1)",
+    "select m.id, m.sender_role from published_chat_day p join chat_messages m using (job_date)",
 )
 def scalar_subquery(t: Tables) -> DataFrame:
     day = t.published_chat_day.where("id = 1").select("job_date")
@@ -129,9 +126,8 @@ def scalar_subquery(t: Tables) -> DataFrame:
 @query(
     "jn_10",
     "item_reference",
-    """select item_number, (select r.id from item_reference r where r.item_number = i.item_number
-  order by r.updated_at desc nulls last, r.id desc limit 1) as id
-from (select distinct item_number from item_reference) i""",
+    """select item_number, arg_max(id, (case when updated_at is null then 0 else 1 end, ifnull(updated_at, timestamp '1970-01-01'), id)) as id
+from item_reference group by item_number""",
 )
 def latest_reference(t: Tables) -> DataFrame:
     return parts.latest_reference(t.item_reference).select("item_number", "id")
@@ -151,8 +147,8 @@ def lateral_entries(t: Tables) -> DataFrame:
 @query(
     "jn_12",
     "jobs",
-    """with numbered as (select id, row_number() over (partition by job_date order by created_at, id) as rn from jobs)
-select j.id, case when j.sort_order is null then n.rn else j.sort_order end as sort_order from jobs j join numbered n on n.id = j.id""",
+    """select j.id, ifnull(any_value(j.sort_order), count(*)) as sort_order
+from jobs j join jobs e on e.job_date = j.job_date and (e.created_at, e.id) <= (j.created_at, j.id) group by j.id""",
 )
 def filled_sort_order(t: Tables) -> DataFrame:
     return changes.fill_sort_order(t.jobs).select("id", "sort_order")
@@ -226,10 +222,13 @@ def remembered_dipping(t: Tables) -> DataFrame:
 @query(
     "jn_18",
     "jobs job_notes item_reference notes",
-    """select n.id as note_id, j.item_number, (select r.id from item_reference r where r.item_number = j.item_number
-  order by r.updated_at desc nulls last, r.id desc limit 1) as item_reference_id, n.visible_to_trolley
-from job_notes n join jobs j on j.id = n.job_id where j.item_number <> ''
- and not exists (select 1 from notes e where e.item_number = j.item_number and e.body = n.body and e.created_at = n.created_at)""",
+    """with named as (select n.id as note_id, j.item_number, n.body, n.created_at, n.visible_to_trolley
+  from job_notes n join jobs j on j.id = n.job_id where length(j.item_number) > 0),
+record as (select item_number, id from item_reference
+  qualify rank() over (partition by item_number order by updated_at desc nulls last, id desc) = 1)
+select note_id, item_number, r.id as item_reference_id, visible_to_trolley
+from named left join record r using (item_number)
+where (item_number, body, created_at) not in (select (item_number, body, created_at) from notes)""",
 )
 def migrated_notes(t: Tables) -> DataFrame:
     migrated = parts.migrate_job_notes(t.job_notes, t.jobs, t.item_reference, t.notes)
@@ -249,8 +248,8 @@ def distinct_variants(t: Tables) -> DataFrame:
 @query(
     "ag_02",
     "jobs job_notes",
-    """select count(*) as orphan_notes from job_notes n join jobs j on j.id = n.job_id
-where j.item_number is null or j.item_number = ''""",
+    """select count(*) filter (where ifnull(length(item_number), 0) = 0) as orphan_notes
+from job_notes n, jobs j where n.job_id = j.id""",
 )
 def orphan_notes(t: Tables) -> DataFrame:
     return parts.orphan_notes(t.job_notes, t.jobs)
