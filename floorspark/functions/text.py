@@ -53,9 +53,12 @@ def grouped_thousands(value: Column | str) -> Column:
 
 
 def role_claim(header: Column | str) -> Column:
-    """The role a bearer token claims; null for anything malformed."""
-    token = F.regexp_replace(F.coalesce(col(header), F.lit("")), r"(?i)^Bearer\s+", "")
-    payload = F.split_part(token, F.lit("."), F.lit(2))
+    """The role a bearer token claims; null for anything malformed.
+
+    The claims stand between the first two dots. The scheme in front of the
+    token has no dot, so it needs no removing.
+    """
+    payload = F.split_part(F.coalesce(col(header), F.lit("")), F.lit("."), F.lit(2))
     decoded = F.try_to_binary(F.translate(payload, "-_", "+/"), F.lit("base64"))
     return F.get_json_object(decoded.cast("string"), "$.role")
 

@@ -11,22 +11,24 @@ from floorspark.plans.ordered import OrderedGroups
 from floorspark.plans.skew import lookup_join
 
 
+def live_pace(open_jobs: DataFrame, pace: DataFrame) -> DataFrame:
+    """The pace rows with the list key of the job they name, while that job is
+    still open on the day; null otherwise."""
+    named = pace.select("job_date", F.col("current_job_id").alias("id"))
+    live = open_jobs.join(named, ["job_date", "id"], "left_semi").select("job_date", list_key().alias("live_key"))
+    return pace.drop("current_job_id").join(live, "job_date", "left")
+
+
 def current_jobs(open_jobs: DataFrame, pace: DataFrame) -> DataFrame:
-    """One row per day with open jobs: the pace and the effective current job.
+    """The effective current job of every day with open jobs.
 
-    The current job is the one the pace names while it is still open on that
-    day, else the first of the list. Both come from pre-aggregated minima, so a
-    crowded day costs no more than its partial rows.
+    That is the job the pace names while it is still open, else the first of
+    the list.
     """
     first = open_jobs.groupBy("job_date").agg(F.min(list_key()).alias("_first"))
-    named = pace.select("job_date", F.col("current_job_id").alias("id"))
-    live = open_jobs.join(named, ["job_date", "id"], "left_semi").select("job_date", list_key().alias("_live"))
-    return (
-        first.join(live, "job_date", "left")
-        .join(pace.drop("current_job_id"), "job_date", "left")
-        .withColumn("current_key", F.coalesce("_live", "_first"))
-        .withColumn("current_job_id", F.col("current_key.id"))
-        .drop("_first", "_live")
+    live = live_pace(open_jobs, pace).select("job_date", "live_key")
+    return first.join(live, "job_date", "left").select(
+        "job_date", F.coalesce("live_key", "_first")["id"].alias("current_job_id")
     )
 
 
@@ -36,29 +38,30 @@ def project(open_jobs: DataFrame, pace: DataFrame, **sizing) -> DataFrame:
     No estimate without a start or a positive rate, none above the current job
     and none for the current job itself. Each job takes its planned tonnage at
     the day's rate plus a changeover; the current job's tonnage is scaled by
-    the quantity left, if known.
+    the quantity left, if known. The jobs are shuffled and sorted once: their
+    place and the time before them come from the same ordered groups.
     """
-    days = current_jobs(open_jobs, pace)
     rate = F.col("tons_per_hour").cast("double")
     usable = F.col("started_at").isNotNull() & (rate > 0) & (rate < float("inf"))
-    jobs = lookup_join(open_jobs, days, ["job_date"], "inner").withColumns(
+    jobs = lookup_join(open_jobs, live_pace(open_jobs, pace), ["job_date"]).withColumns(
         {"_key": list_key(), "_usable": F.coalesce(usable, F.lit(False))}
     )
-    is_current = F.col("_key") == F.col("current_key")
+    ordered = OrderedGroups(jobs, ["job_date"], list_order(), measured=open_jobs, **sizing).numbered("_place")
+
+    named = F.col("live_key").isNotNull()
+    is_current = F.when(named, F.col("_key") == F.col("live_key")).otherwise(F.col("_place") == 1)
+    is_below = F.when(named, F.col("_key") > F.col("live_key")).otherwise(F.col("_place") > 1)
     scaled = is_current & F.col("remaining_qty").isNotNull() & (F.coalesce("planned_qty", F.lit(0)) != 0)
     tonnes = fx.planned_tonnage()
     tonnes = F.when(scaled, tonnes * (F.col("remaining_qty").cast("double") / F.col("planned_qty"))).otherwise(tonnes)
-    takes = tonnes / rate * fx.MS_PER_HOUR + fx.CHANGEOVER_MS
-    jobs = jobs.withColumn(
-        "_takes", F.when(F.col("_usable") & (F.col("_key") >= F.col("current_key")), takes).otherwise(0.0)
-    )
-    ordered = OrderedGroups(jobs, ["job_date"], list_order(), measured=open_jobs, **sizing)
+    takes = F.when(is_current | is_below, tonnes / rate * fx.MS_PER_HOUR + fx.CHANGEOVER_MS)
+    ordered = ordered.select_more(_takes=F.when(F.col("_usable"), takes))
     running = ordered.running(inclusive=False, _before=("sum", F.col("_takes"))).rows
-    offset = F.when(F.col("_usable") & (F.col("_key") > F.col("current_key")), fx.nearest(F.col("_before")))
+    offset = F.when(F.col("_usable") & is_below, fx.nearest(F.col("_before")))
     return running.withColumns(
         {
             "is_current": is_current,
             "eta_offset_ms": offset,
             "eta_at": F.timestamp_millis(F.unix_millis(F.col("started_at").cast("timestamp")) + offset),
         }
-    ).drop("_key", "_usable", "_takes", "_before", "current_key")
+    ).drop("_key", "_usable", "_takes", "_before", "_place", "live_key")
