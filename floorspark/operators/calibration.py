@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
 from floorspark.plans.ordered import OrderedGroups
-from floorspark.plans.skew import lookup_join
+from floorspark.plans.skew import lookup_join, stored_small
 
 # Fixed values.
 HALF_BOX = 12
@@ -73,15 +73,18 @@ def fit_history(points: DataFrame, **sizing) -> DataFrame:
     """The fit after each added point, in arrival order ``seq``.
 
     Values are taken relative to the device's overall means before they are
-    summed, which keeps long running sums accurate.
+    summed, which keeps long running sums accurate. The table of means has one
+    row per device; it is stored, and broadcast if that is few.
     """
-    means = points.groupBy("device").agg(F.avg("idx").alias("_mx"), F.avg("temp").alias("_my"))
-    centred = lookup_join(points, means, ["device"], "inner").withColumns(
+    means = stored_small(
+        points.groupBy("device").agg(F.avg("idx").alias("_mx"), F.avg("temp").alias("_my"), F.count("*").alias("count"))
+    )
+    centred = points.join(means.drop("count"), "device").withColumns(
         {"_x": F.col("idx") - F.col("_mx"), "_y": F.col("temp") - F.col("_my")}
     )
     x, y = F.col("_x"), F.col("_y")
     running = (
-        OrderedGroups(centred, ["device"], [F.col("seq").asc()], measured=points, **sizing)
+        OrderedGroups(centred, ["device"], [F.col("seq").asc()], sizes=means, **sizing)
         .running(
             n=("sum", F.lit(1).cast("long")),
             _sx=("sum", x),

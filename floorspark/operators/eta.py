@@ -46,7 +46,8 @@ def project(open_jobs: DataFrame, pace: DataFrame, **sizing) -> DataFrame:
     jobs = lookup_join(open_jobs, live_pace(open_jobs, pace), ["job_date"]).withColumns(
         {"_key": list_key(), "_usable": F.coalesce(usable, F.lit(False))}
     )
-    ordered = OrderedGroups(jobs, ["job_date"], list_order(), measured=open_jobs, **sizing).numbered("_place")
+    sizes = open_jobs.groupBy("job_date").count()
+    ordered = OrderedGroups(jobs, ["job_date"], list_order(), sizes=sizes, **sizing).numbered("_place")
 
     named = F.col("live_key").isNotNull()
     is_current = F.when(named, F.col("_key") == F.col("live_key")).otherwise(F.col("_place") == 1)

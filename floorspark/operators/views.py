@@ -49,16 +49,19 @@ def trolley_jobs(jobs: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def job_summary(jobs: DataFrame, counts: DataFrame) -> DataFrame:
+def job_summary(jobs: DataFrame, counts: DataFrame, counted: Column | None = None) -> DataFrame:
     """Every job with counted total, moulds used and cast tonnage.
 
     The total is derived once per count row and reused by the columns on it.
+    ``counted`` replaces it for the retired layouts of counts, which also lack
+    the comment and the making flag.
     """
+    kept = lambda c, kind: F.col(c) if c in counts.columns else F.lit(None).cast(kind)
     totals = counts.select(
         "job_id",
-        fx.counted_total().alias("_counted"),
-        F.col("still_making").alias("_making"),
-        F.col("comment").alias("_comment"),
+        (fx.counted_total() if counted is None else counted).alias("_counted"),
+        kept("still_making", "boolean").alias("_making"),
+        kept("comment", "string").alias("_comment"),
     )
     total = F.coalesce("_counted", F.lit(0))
     return (

@@ -31,9 +31,9 @@ class OrderedGroups:
     """Rows in groups ``keys``, ordered by ``order`` inside each group.
 
     ``order`` must identify a row within its group. Building it measures the
-    largest group with one pre-aggregated count over ``measured``: the rows
-    themselves or a cheaper table with at least as many rows in each group.
-    Pass ``max_group_rows=None`` where the data model bounds the groups.
+    largest group: from ``sizes`` (one row per group with its ``count``), or by
+    one pre-aggregated count over the rows. Pass ``max_group_rows=None`` where
+    the data model bounds the groups.
     """
 
     def __init__(
@@ -42,7 +42,7 @@ class OrderedGroups:
         keys: list[str],
         order: list[Column],
         max_group_rows: int | None = MAX_GROUP_ROWS,
-        measured: DataFrame | None = None,
+        sizes: DataFrame | None = None,
         _sliced: bool | None = None,
     ):
         self.keys, self.order = keys, order
@@ -52,8 +52,9 @@ class OrderedGroups:
         self._rows, self.sliced = rows, False
         if max_group_rows is None:
             return
-        sizes = (rows if measured is None else measured).groupBy(*keys).count().agg(F.max("count").alias("largest"), F.sum("count").alias("total"))
-        largest, total = sizes.first()
+        if sizes is None:
+            sizes = rows.groupBy(*keys).count()
+        largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
         if (largest or 0) > max_group_rows:
             shared_folder(rows.sparkSession)
             pieces = max(2, math.ceil(total / max_group_rows))

@@ -7,13 +7,15 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Days and epochs are compared in UTC; the other settings let Spark split a hot
+# Days and epochs are compared in UTC. The adaptive settings let Spark split a hot
 # join key at run time even when a later step could have reused its partitioning.
+# The last one merges a busy job's bursts before they are shuffled.
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

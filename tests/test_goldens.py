@@ -369,3 +369,46 @@ def test_lookup_statuses(spark):
 def test_null_passes_domain_check(spark):
     rows = spark.createDataFrame([("Cr",), ("Xx",), (None,)], "element string")
     assert [r[0] for r in quality.outside_domain(rows, "element", quality.ELEMENTS).collect()] == ["Xx"]
+
+
+def test_summary_of_retired_layouts(spark):
+    jobs = jobs_table(spark, [job(1, is_doubles=True, weight_kg=Decimal("12.5")), job(2, weight_kg=Decimal(10))])
+    first = spark.createDataFrame(
+        [(1, 10, 3, None), (2, 10, 3, 40)],
+        "job_id long, cores_per_trolley int, trolley_count int, manual_total_override int",
+    )
+    second = spark.createDataFrame(
+        [(1, [3, None, 4], None), (2, None, 40)], "job_id long, trolley_entries array<int>, manual_total_override int"
+    )
+    listed = F.coalesce("manual_total_override", fx.entries_total("trolley_entries"))
+    for counts, counted, expected in (
+        (first, fx.counted_total_v0(), {1: (30, 15.0, 0.188), 2: (40, 40.0, 0.4)}),
+        (second, listed, {1: (7, 3.5, 0.044), 2: (40, 40.0, 0.4)}),
+    ):
+        rows = views.job_summary(jobs, counts, counted).collect()
+        shown = {r["id"]: (r["counted_total"], float(r["effective_qty"]), float(r["tonnage"])) for r in rows}
+        assert shown == expected
+
+
+def test_shown_day_falls_back_to_utc_date(spark):
+    as_of = F.expr("timestamp'2024-05-06 23:30:00-05:00'")
+    none, some = table(spark, "published_day", []), table(spark, "published_day", [{"id": 1, "job_date": DAY}])
+    assert views.shown_day(none, as_of).first()["job_date"] == dt.date(2024, 5, 7)
+    assert views.shown_day(some, as_of).first()["job_date"] == DAY
+
+
+def test_fit_history_equals_refitting(spark):
+    rng = random.Random(3)
+    points = [("d", i, rng.choice([0.1, 0.2, 0.5]), 1000.0 + rng.randint(0, 400)) for i in range(25)]
+    frame = spark.createDataFrame(points, "device string, seq long, idx double, temp double")
+    shown = {r["seq"]: r for r in calibration.fit_history(frame).collect()}
+    for i in range(25):
+        xs, ys = [p[2] for p in points[: i + 1]], [p[3] for p in points[: i + 1]]
+        n, mean_x, mean_y = len(xs), sum(xs) / len(xs), sum(ys) / len(ys)
+        spread = sum((x - mean_x) ** 2 for x in xs)
+        if n < 2 or n * spread < 1e-9:
+            assert shown[i]["a"] is None and shown[i]["r2"] is None
+            continue
+        a = sum((x - mean_x) * (y - mean_y) for x, y in zip(xs, ys)) / spread
+        assert shown[i]["a"] == pytest.approx(a, abs=1e-6)
+        assert shown[i]["b"] == pytest.approx(mean_y - a * mean_x, abs=1e-6)
