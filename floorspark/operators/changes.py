@@ -167,10 +167,8 @@ def upsert_fields(existing: DataFrame, incoming: DataFrame, key: str, fields: li
 
 
 def publish(published_day: DataFrame, day: DataFrame) -> DataFrame:
-    """The one published row, pointing at another day."""
-    return published_day.drop("job_date").join(F.broadcast(day.select("id", "job_date").limit(1)), "id", "left").select(
-        *published_day.columns
-    )
+    """The one published row, pointing at the day that ``day`` holds in its one row."""
+    return published_day.withColumn("job_date", day.select("job_date").scalar())
 
 
 def fill_sort_order(jobs: DataFrame, **sizing) -> DataFrame:

@@ -302,5 +302,5 @@ def partial_upsert(t: Tables) -> DataFrame:
     "select id, job_date from jobs where job_date in (select min(job_date) from jobs)",
 )
 def republished(t: Tables) -> DataFrame:
-    first = t.jobs.agg(F.min("job_date").alias("job_date")).withColumn("id", F.lit(1))
+    first = t.jobs.agg(F.min("job_date").alias("job_date"))
     return views.published_jobs(t.jobs, changes.publish(t.published_day, first)).select("id", "job_date")
