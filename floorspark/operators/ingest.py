@@ -11,6 +11,9 @@ from floorspark.sources.schemas import EXTRACTION
 # Fixed values.
 MAX_IMAGE_LENGTH = 8 * 1024 * 1024 * 4 / 3
 NO_ROWS = "[]"
+RESPONSE_TEXT = "$.candidates[0].content.parts[0].text"
+# Plain JSON only, as a browser parses it.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def admission(role: Column | None = None) -> Column:
@@ -29,11 +32,24 @@ def admitted(requests: DataFrame) -> DataFrame:
     return requests.where(admission() == "ok")
 
 
+def response_text(response: Column | str) -> Column:
+    """The text inside an extraction response; a missing one stands for no rows."""
+    return F.coalesce(F.get_json_object(response, RESPONSE_TEXT), F.lit(NO_ROWS))
+
+
 def parsed(requests: DataFrame) -> DataFrame:
-    """Requests with their extracted rows; ``extracted`` is null where the text
-    is not valid JSON, and a missing text stands for no rows."""
+    """Requests with their extracted rows and whether the text was valid JSON.
+
+    A missing text stands for no rows. Spark's parser stops after the first
+    value, so the text is framed by a closing mark: whatever follows the value,
+    or cuts it off, keeps the mark from being read.
+    """
     text = F.coalesce("body", F.lit(NO_ROWS))
-    return requests.withColumn("extracted", F.from_json(text, EXTRACTION, {"mode": "PERMISSIVE"}))
+    framed = F.concat(F.lit('{"rows":'), text, F.lit(',"complete":true}'))
+    outcome = requests.withColumn("_outcome", F.from_json(framed, EXTRACTION, STRICT))
+    return outcome.withColumns(
+        {"is_valid": F.coalesce("_outcome.complete", F.lit(False)), "extracted": F.col("_outcome.rows")}
+    ).drop("_outcome")
 
 
 def extracted_rows(requests: DataFrame) -> DataFrame:
@@ -42,13 +58,15 @@ def extracted_rows(requests: DataFrame) -> DataFrame:
     The outer form keeps Spark from parsing each text again just to filter out
     empty lists before they are unfolded.
     """
-    unfolded = parsed(requests).select("req_id", F.posexplode_outer("extracted").alias("row_no", "row"))
+    read = parsed(requests)
+    rows = F.when(F.col("is_valid"), F.col("extracted"))
+    unfolded = read.select("req_id", F.posexplode_outer(rows).alias("row_no", "row"))
     return unfolded.where(F.col("row_no").isNotNull()).select("req_id", "row_no", "row.*")
 
 
 def parse_failures(requests: DataFrame) -> DataFrame:
     """Requests whose text could not be parsed, with the text."""
-    return parsed(requests).where(F.col("extracted").isNull()).select("req_id", F.col("body").alias("raw"))
+    return parsed(requests).where(~F.col("is_valid")).select("req_id", F.col("body").alias("raw"))
 
 
 def normalised(rows: DataFrame) -> DataFrame:

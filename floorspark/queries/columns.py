@@ -456,8 +456,12 @@ def length_caps(t: Tables) -> DataFrame:
 @query(
     "fn_18",
     "envelopes",
-    """select req_id, case when length(body) > 20 then 'AM' || req_id else '[]' end as first_work_order from envelopes""",
+    "select req_id, ifnull(body, '[]') as extracted_text from envelopes",
 )
 def nested_paths(t: Tables) -> DataFrame:
-    path = F.get_json_object("body", "$[0].am_number")
-    return t.envelopes.select("req_id", F.coalesce(path, F.lit("[]")).alias("first_work_order"))
+    part = F.struct(F.col("body").alias("text"))
+    candidate = F.struct(F.struct(F.array(part).alias("parts")).alias("content"))
+    response = F.to_json(F.struct(F.array(candidate).alias("candidates")))
+    return t.envelopes.select("req_id", response.alias("response")).select(
+        "req_id", ingest.response_text("response").alias("extracted_text")
+    )

@@ -70,10 +70,11 @@ FLOOR = {
     ),
 }
 
-# Rows a plan-photo extraction returns. Numbers are decimals because an int
-# field that is given 3.0 would parse to null.
+# Rows a plan-photo extraction returns, inside a frame that shows whether the
+# text was parsed to its end. Numbers are decimals because an int field that is
+# given 3.0 would parse to null.
 EXTRACTION = (
-    "array<struct<grade: string, am_number: string, item_number: string, customer_name: string, "
+    "struct<rows: array<struct<grade: string, am_number: string, item_number: string, customer_name: string, "
     "weight_kg: decimal(18,3), planned_qty: decimal(18,3), mingzhi_hansberg_no: string, status: string, "
-    "is_trial: boolean, is_doubles: boolean, ratio: string>>"
+    "is_trial: boolean, is_doubles: boolean, ratio: string>>, complete: boolean>"
 )

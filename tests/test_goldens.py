@@ -412,3 +412,38 @@ def test_fit_history_equals_refitting(spark):
         a = sum((x - mean_x) * (y - mean_y) for x, y in zip(xs, ys)) / spread
         assert shown[i]["a"] == pytest.approx(a, abs=1e-6)
         assert shown[i]["b"] == pytest.approx(mean_y - a * mean_x, abs=1e-6)
+
+
+@pytest.mark.parametrize(
+    "text, grades",
+    [
+        ('[{"grade":"G"},{"grade":null}]', ["G", None]),
+        ('[{"grade":"G","planned_qty":"abc"}]', ["G"]),
+        ("[]", []),
+        ("null", []),
+        (None, []),
+        ('[{"grade":"G"}] and more', "failed"),
+        ('[{"grade":"G"}]]', "failed"),
+        ('[{"grade":"G"}]}, {"rows":[]', "failed"),
+        ('[{"grade":"G"}', "failed"),
+        ("[{'grade':'G'}]", "failed"),
+        ("", "failed"),
+        ("rows", "failed"),
+    ],
+)
+def test_only_whole_json_is_parsed(spark, text, grades):
+    requests = spark.createDataFrame([(1, text)], "req_id long, body string")
+    rows = [r["grade"] for r in ingest.extracted_rows(requests).orderBy("row_no").collect()]
+    failed = ingest.parse_failures(requests).count() == 1
+    assert ("failed" if failed else rows) == grades
+    assert not (failed and rows)
+
+
+def test_response_text(spark):
+    responses = [
+        '{"candidates":[{"content":{"parts":[{"text":"[{\\"grade\\":1}]"}]}}]}',
+        '{"candidates":[]}',
+        "{}",
+    ]
+    rows = spark.createDataFrame([(r,) for r in responses], "r string")
+    assert [r[0] for r in rows.select(ingest.response_text("r")).collect()] == ['[{"grade":1}]', "[]", "[]"]
