@@ -32,26 +32,28 @@ def current_jobs(open_jobs: DataFrame, pace: DataFrame) -> DataFrame:
     )
 
 
-def project(open_jobs: DataFrame, pace: DataFrame, **sizing) -> DataFrame:
+def project(open_jobs: DataFrame, pace: DataFrame, sizes: DataFrame | None = None, **sizing) -> DataFrame:
     """Expected start of every open job, in ms after the day's start.
 
     No estimate without a start or a positive rate, none above the current job
     and none for the current job itself. Each job takes its planned tonnage at
     the day's rate plus a changeover; the current job's tonnage is scaled by
     the quantity left, if known. The jobs are shuffled and sorted once: their
-    place and the time before them come from the same ordered groups.
+    place in the list and the time before them come from the same ordered
+    groups. ``sizes`` may hold the jobs per day as ``count``, where counting
+    ``open_jobs`` would repeat its joins.
     """
     rate = F.col("tons_per_hour").cast("double")
     usable = F.col("started_at").isNotNull() & (rate > 0) & (rate < float("inf"))
     jobs = lookup_join(open_jobs, live_pace(open_jobs, pace), ["job_date"]).withColumns(
         {"_key": list_key(), "_usable": F.coalesce(usable, F.lit(False))}
     )
-    sizes = open_jobs.groupBy("job_date").count()
-    ordered = OrderedGroups(jobs, ["job_date"], list_order(), sizes=sizes, **sizing).numbered("_place")
+    sizes = open_jobs.groupBy("job_date").count() if sizes is None else sizes
+    ordered = OrderedGroups(jobs, ["job_date"], list_order(), sizes=sizes, **sizing).numbered("day_position")
 
     named = F.col("live_key").isNotNull()
-    is_current = F.when(named, F.col("_key") == F.col("live_key")).otherwise(F.col("_place") == 1)
-    is_below = F.when(named, F.col("_key") > F.col("live_key")).otherwise(F.col("_place") > 1)
+    is_current = F.when(named, F.col("_key") == F.col("live_key")).otherwise(F.col("day_position") == 1)
+    is_below = F.when(named, F.col("_key") > F.col("live_key")).otherwise(F.col("day_position") > 1)
     scaled = is_current & F.col("remaining_qty").isNotNull() & (F.coalesce("planned_qty", F.lit(0)) != 0)
     tonnes = fx.planned_tonnage()
     tonnes = F.when(scaled, tonnes * (F.col("remaining_qty").cast("double") / F.col("planned_qty"))).otherwise(tonnes)
@@ -65,4 +67,4 @@ def project(open_jobs: DataFrame, pace: DataFrame, **sizing) -> DataFrame:
             "eta_offset_ms": offset,
             "eta_at": F.timestamp_millis(F.unix_millis(F.col("started_at").cast("timestamp")) + offset),
         }
-    ).drop("_key", "_usable", "_takes", "_before", "_place", "live_key")
+    ).drop("_key", "_usable", "_takes", "_before", "live_key")

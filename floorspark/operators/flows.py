@@ -10,34 +10,36 @@ from floorspark.functions.text import clock_time
 from floorspark.operators import changes, eta, ingest, parts, views
 
 
+def floor_lines(jobs: DataFrame, counts: DataFrame, pace: DataFrame, notes: DataFrame, **sizing) -> DataFrame:
+    """Open jobs of every day with their place, totals, estimates and flags.
+
+    One plan: counts join by job, the pace by day, note counts by part, and the
+    day's order is sorted once.
+    """
+    listed = views.trolley_jobs(jobs, counts).withColumnRenamed("job_id", "id")
+    per_day = jobs.where(fx.is_open()).groupBy("job_date").count()
+    etas = eta.project(listed, pace, sizes=per_day, **sizing)
+    return views.badges(etas, notes).withColumnRenamed("id", "job_id")
+
+
 def floor_list(
     jobs: DataFrame, counts: DataFrame, pace: DataFrame, notes: DataFrame, published_day: DataFrame, as_of: Column
 ) -> DataFrame:
-    """The floor's list for the shown day: order, totals, estimates and flags."""
-    day = views.shown_day(published_day, as_of)
-    today = views.published_jobs(jobs, day)
-    listed = views.trolley_jobs(today, counts)
-    etas = eta.project(today.where(fx.is_open()), pace)
-    flags = views.badges(listed, etas, notes).drop("job_date")
-    times = etas.select(F.col("id").alias("job_id"), clock_time("eta_at").alias("eta"))
-    placed = views.positions(listed.withColumn("id", F.col("job_id"))).drop("id")
-    return (
-        placed.join(flags, "job_id")
-        .join(times, "job_id")
-        .select(
-            "day_position",
-            "job_id",
-            "am_number",
-            "planned_qty",
-            "mingzhi_hansberg_no",
-            "total_cores",
-            fx.rebuilt_override().alias("rebuilt_override"),
-            "eta",
-            "is_current",
-            "dip",
-            "making",
-            "has_notes",
-        )
+    """The floor's list for the shown day."""
+    today = views.published_jobs(jobs, views.shown_day(published_day, as_of))
+    return floor_lines(today, counts, pace, notes).select(
+        "day_position",
+        "job_id",
+        "am_number",
+        "planned_qty",
+        "mingzhi_hansberg_no",
+        "total_cores",
+        fx.rebuilt_override().alias("rebuilt_override"),
+        clock_time("eta_at").alias("eta"),
+        "is_current",
+        "dip",
+        "making",
+        "has_notes",
     )
 
 
@@ -47,10 +49,9 @@ def plan_rows(
     """Rows of admitted plan photos, ready to save.
 
     They get the column defaults, the remembered dipping tick, the result of
-    the part cross-check and whether they edit a saved job of the day.
+    the part cross-check and whether they edit a saved job of the day. Works on
+    a stream of requests too: all other tables are static.
     """
     rows = changes.with_defaults(ingest.normalised(ingest.extracted_rows(ingest.admitted(requests))), as_of)
-    keyed = rows.withColumn("id", F.struct("req_id", "row_no"))
-    ticked = parts.remember_dipping(keyed, dip_items)
-    checked = parts.cross_check(ticked, reference).select("id", F.col("status").alias("part_check"), "differing_fields")
-    return parts.classify_incoming(ticked, saved).join(checked, "id", "left").drop("id")
+    ticked = parts.remember_dipping(rows, dip_items)
+    return parts.classify_incoming(parts.with_cross_check(ticked, reference), saved)

@@ -152,24 +152,37 @@ def classify_incoming(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     ).drop("_known")
 
 
-def cross_check(jobs: DataFrame, reference: DataFrame) -> DataFrame:
-    """How each job's part compares with its latest record.
+def with_cross_check(jobs: DataFrame, reference: DataFrame) -> DataFrame:
+    """Jobs with ``part_check`` and ``differing_fields``, null without a part.
 
-    *Inferred*: matched by part only; ``new_part`` without a record, ``exact``
-    when grade, weight, doubles and dipping agree (nulls equal), else
-    ``variant`` with the differing fields listed.
+    *Inferred*: matched to the part's latest record by part only; ``new_part``
+    without a record, ``exact`` when grade, weight, doubles and dipping agree
+    (nulls equal), else ``variant`` with the differing fields listed.
     """
     fields = ["grade", "weight_kg", "is_doubles", "needs_dipping"]
-    record = latest_reference(reference).select("item_number", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in fields])
+    record = latest_reference(reference).select(
+        "item_number", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in fields]
+    )
     mine = {c: fx.dipping_or_false(c) if c.startswith(("is_", "needs_")) else F.col(c) for c in fields}
-    differing = F.array_compact(
-        F.array(*[F.when(~mine[c].eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in fields])
+    differing = F.concat_ws(",", *[F.when(~mine[c].eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in fields])
+    checked = lookup_join(jobs, record, ["item_number"]).withColumn(
+        "differing_fields",
+        F.when(fx.not_blank("item_number"), F.when(F.col("_known"), differing).otherwise("")),
+    )
+    status = (
+        F.when(F.col("differing_fields").isNull(), F.lit(None).cast("string"))
+        .when(F.col("_known").isNull(), "new_part")
+        .when(F.col("differing_fields") == "", "exact")
+        .otherwise("variant")
     )
-    checked = lookup_join(jobs.where(fx.not_blank("item_number")), record, ["item_number"])
-    checked = checked.withColumn("_differing", F.when(F.col("_known"), differing).otherwise(F.array().cast("array<string>")))
-    status = F.when(F.col("_known").isNull(), "new_part").when(F.size("_differing") == 0, "exact").otherwise("variant")
-    return checked.select(
-        "id", "item_number", status.alias("status"), F.array_join("_differing", ",").alias("differing_fields")
+    return checked.withColumn("part_check", status).drop("_known", *[f"_{c}" for c in fields])
+
+
+def cross_check(jobs: DataFrame, reference: DataFrame) -> DataFrame:
+    """How the part of each job that names one compares with its latest record."""
+    named = jobs.where(fx.not_blank("item_number"))
+    return with_cross_check(named, reference).select(
+        "id", "item_number", F.col("part_check").alias("status"), "differing_fields"
     )
 
 

@@ -102,34 +102,29 @@ def listed(rows: DataFrame, **sizing) -> DataFrame:
     return positions(rows, **sizing).orderBy(F.col("job_date").desc(), "day_position")
 
 
-def badges(open_jobs: DataFrame, etas: DataFrame, notes: DataFrame) -> DataFrame:
-    """What each line of the floor list flags.
+def badges(etas: DataFrame, notes: DataFrame) -> DataFrame:
+    """Each line of the floor list with its flags.
 
-    ``etas`` comes from :func:`floorspark.operators.eta.project`; notes are
-    counted per part before they meet the jobs.
+    ``etas`` are floor jobs that went through
+    :func:`floorspark.operators.eta.project`. Notes are counted per part before
+    they meet the jobs.
     """
     per_part = (
         notes.where(F.col("visible_to_trolley") & fx.not_blank("item_number"))
         .groupBy("item_number")
         .agg(F.count("*").alias("_notes"))
     )
-    shown = etas.select(
-        F.col("id").alias("_id"),
-        F.col("is_current"),
-        F.col("eta_offset_ms").isNotNull().alias("has_eta"),
-    )
-    flagged = open_jobs.join(shown, F.col("job_id") == F.col("_id"), "left")
     return (
-        lookup_join(flagged, per_part, ["item_number"])
-        .select(
-            "job_id",
-            "job_date",
-            F.coalesce("is_current", F.lit(False)).alias("is_current"),
-            F.coalesce("has_eta", F.lit(False)).alias("has_eta"),
-            fx.dipping_or_false("needs_dipping").alias("dip"),
-            F.col("still_making").alias("making"),
-            (F.coalesce("_notes", F.lit(0)) > 0).alias("has_notes"),
+        lookup_join(etas, per_part, ["item_number"])
+        .withColumns(
+            {
+                "has_eta": F.col("eta_offset_ms").isNotNull(),
+                "dip": fx.dipping_or_false("needs_dipping"),
+                "making": F.col("still_making"),
+                "has_notes": F.coalesce("_notes", F.lit(0)) > 0,
+            }
         )
+        .drop("_notes")
     )
 
 

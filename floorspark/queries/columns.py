@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
 from floorspark.functions import text as tx
-from floorspark.operators import calibration, changes, eta, ingest, views
+from floorspark.operators import calibration, changes, eta, flows, ingest, views
 from floorspark.queries.registry import plain, query
 from floorspark.sources.tables import Tables
 
@@ -184,7 +184,8 @@ from steps s join jobs j on j.id = s.id left join counts c on c.job_id = s.id le
     recursive=True,
 )
 def badges(t: Tables) -> DataFrame:
-    return views.badges(views.trolley_jobs(t.jobs, t.counts), project_etas(t), t.notes)
+    listed = flows.floor_lines(t.jobs, t.counts, t.job_pace, t.notes)
+    return listed.select("job_id", "job_date", "is_current", "has_eta", "dip", "making", "has_notes")
 
 
 @query(

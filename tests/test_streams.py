@@ -110,3 +110,15 @@ def test_continuous_feed_polls_and_stops(tables):
     stream.stop()
     expected = tables.chat_messages.join(tables.published_chat_day.select("job_date"), "job_date").count()
     assert tables.spark.read.schema("id long").parquet(f"{folder}/rows").count() == expected > 0
+
+
+def test_plan_rows_on_a_stream(tables):
+    from floorspark.operators import flows
+
+    as_of = F.expr("timestamp'2024-01-02 06:00:00'")
+    static = (tables.jobs, tables.item_reference, tables.dip_items, as_of)
+    columns = ["req_id", "row_no", "needs_dipping", "part_check", "differing_fields", "action"]
+    arriving_tables = Tables(tables.spark, tables.folder)
+    arriving_tables._known["envelopes"] = arriving(tables, "orders", "envelopes", "o_orderkey")
+    streamed = collect_rows(flows.plan_rows(arriving_tables.requests, *static).select(*columns), "plan-rows")
+    assert spark_rows(streamed) == spark_rows(flows.plan_rows(tables.requests, *static).select(*columns))
