@@ -10,10 +10,14 @@ from floorspark.plans.ordered import OrderedGroups
 
 
 def thread(chat: DataFrame, **sizing) -> DataFrame:
-    """Each day's messages in order, as they are displayed."""
+    """Each day's messages in order, as they are displayed.
+
+    Only keys and times are sorted; the texts join by id.
+    """
     order = [F.col("created_at").asc(), F.col("id").asc()]
-    placed = OrderedGroups(chat, ["job_date"], order, **sizing).numbered("place").rows
-    return placed.select(
+    keys = chat.select("job_date", "created_at", "id")
+    placed = OrderedGroups(keys, ["job_date"], order, **sizing).numbered("place").rows
+    return chat.join(placed.select("id", "place"), "id").select(
         "job_date",
         "place",
         "id",

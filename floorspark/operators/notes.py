@@ -27,12 +27,13 @@ def newest_first(notes: DataFrame, **sizing) -> DataFrame:
     """Visible notes with their place in the part's list, newest first.
 
     The list is ordered once per part, one row per note, however many jobs
-    show the part.
+    show the part. Only keys and times are sorted; the texts join by id.
     """
     shown = notes.where(F.col("visible_to_trolley") & fx.not_blank("item_number"))
     order = [F.col("created_at").desc(), F.col("id").desc()]
-    placed = OrderedGroups(shown, ["item_number"], order, **sizing).numbered("place").rows
-    return placed.select(
+    keys = shown.select("item_number", "created_at", "id")
+    placed = OrderedGroups(keys, ["item_number"], order, **sizing).numbered("place").rows
+    return shown.join(placed.select("id", "place"), "id").select(
         "item_number", "place", F.col("id").alias("note_id"), escape_markup("body").alias("body"), "created_at"
     )
 

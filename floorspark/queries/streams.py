@@ -51,7 +51,14 @@ def upsert_stream(t: Tables) -> DataFrame:
     arriving = Tables(t.spark, t.folder)
     arriving._known["saves"] = t.derive("saves", events=t.stream("events"))
     log = feeds.follow_saves(incoming_saves(arriving), "saves")
-    return log.current(t.counts, "job_id").select("job_id", "group_a_cores", "group_a_trolleys", "group_b_cores")
+    return log.current(stamped(t.counts), "job_id").select(
+        "job_id", "group_a_cores", "group_a_trolleys", "group_b_cores"
+    )
+
+
+def stamped(counts: DataFrame) -> DataFrame:
+    """Stored counts with the columns that order saves; stored rows come first."""
+    return counts.withColumns({"updated_at": F.lit(None).cast("timestamp"), "seq": F.lit(None).cast("long")})
 
 
 OUTCOMES = """select job_id, max(seq) as seq, case when arg_max(offline, seq) then 'pending'
@@ -159,6 +166,21 @@ def temperature_stream(t: Tables) -> DataFrame:
     return collect_rows(scored.select("frame_id", "temperature", "tier"), "temperatures")
 
 
+@query(
+    "st_09_stream",
+    "counts saves",
+    """select job_id, group_a_cores, group_a_trolleys from (select * from saves
+ qualify row_number() over (partition by job_id order by updated_at desc, seq desc) = 1) s
+union all select job_id, group_a_cores, group_a_trolleys from counts where job_id not in (select job_id from saves)""",
+)
+def event_time_stream(t: Tables) -> DataFrame:
+    arriving = Tables(t.spark, t.folder)
+    arriving._known["saves"] = t.derive("saves", events=t.stream("events"))
+    log = feeds.follow_saves(incoming_saves(arriving), "event-time", by_event_time=True)
+    current = log.current(stamped(t.counts), "job_id", order_by=feeds.EVENT_TIME)
+    return current.select("job_id", "group_a_cores", "group_a_trolleys")
+
+
 @query(
     "st_09",
     "saves",

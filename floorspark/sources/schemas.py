@@ -70,6 +70,10 @@ FLOOR = {
     ),
 }
 
+# Extraction requests as JSON lines: the caller's token, the image's encoded
+# length, the upstream status and the extracted text.
+REQUESTS = "req_id long, authorization string, image_len long, upstream_status int, body string"
+
 # Rows a plan-photo extraction returns, inside a frame that shows whether the
 # text was parsed to its end. Numbers are decimals because an int field that is
 # given 3.0 would parse to null.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorspark.sources.schemas import FLOOR
+from floorspark.sources.schemas import FLOOR, REQUESTS
 
 # Tables read by day lie by day.
 DAY_TABLES = ("jobs", "chat_messages")
@@ -24,6 +24,18 @@ def read_floor(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(FLOOR[name]).parquet(path)
 
 
+def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Extraction requests from JSON lines, in batch or as they arrive."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(REQUESTS).json(path)
+
+
+def write_extraction(rows: DataFrame, failures: DataFrame, path: str, mode: str = "append") -> None:
+    """Keep extracted rows and, beside them, the texts that could not be parsed."""
+    rows.write.mode(mode).parquet(f"{path}/rows")
+    failures.write.mode(mode).json(f"{path}/parse_failed")
+
+
 def save_bucketed(rows: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
     """Save a table bucketed and sorted by its join key.
 

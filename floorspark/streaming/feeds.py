@@ -31,10 +31,20 @@ def debounced(stream: DataFrame, gap: str, delay: str) -> DataFrame:
     )
 
 
-def follow_saves(saves: DataFrame, name: str, order_by: str = "seq", **options) -> ChangeLog:
-    """Latest-wins upserts: each micro-batch logs the last payload of each job."""
-    log = ChangeLog.create(saves.sparkSession, name, COUNT_COLUMNS)
-    return log.follow(saves, lambda rows, batch: changes.latest(rows, "job_id", order_by), **options)
+ARRIVAL = ("batch", "seq")
+EVENT_TIME = ("updated_at", "seq")
+
+
+def follow_saves(saves: DataFrame, name: str, by_event_time: bool = False, **options) -> ChangeLog:
+    """Latest-wins upserts: each micro-batch logs the last payload of each job.
+
+    By arrival a replayed payload wins over newer ones; by event time it loses.
+    Read the log back with the same choice, ``order_by=ARRIVAL`` or
+    ``EVENT_TIME``.
+    """
+    log = ChangeLog.create(saves.sparkSession, name, f"{COUNT_COLUMNS}, updated_at timestamp, seq long")
+    rank = EVENT_TIME if by_event_time else ("seq",)
+    return log.follow(saves, lambda rows, batch: changes.latest(rows, "job_id", *rank), **options)
 
 
 def follow_edits(stream: DataFrame, stored: DataFrame, name: str, **options) -> ChangeLog:

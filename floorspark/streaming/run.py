@@ -76,19 +76,36 @@ class ChangeLog:
         run(stream.writeStream.outputMode(mode).foreachBatch(on_batch), self.folder, **options)
         return self
 
-    def newest(self, key: str, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    def newest(
+        self,
+        key: str,
+        before: int | None = None,
+        only: DataFrame | None = None,
+        order_by: tuple[str, ...] = ("batch",),
+    ) -> DataFrame:
         """The last logged row of each key, or of the keys in ``only``."""
         logged = self.rows(before)
         if only is not None:
             logged = logged.join(only, key, "left_semi")
-        return latest(logged, key, "batch").drop("batch")
+        return latest(logged, key, *order_by).drop("batch")
 
     def current(
-        self, base: DataFrame, key: str, before: int | None = None, only: DataFrame | None = None
+        self,
+        base: DataFrame,
+        key: str,
+        before: int | None = None,
+        only: DataFrame | None = None,
+        order_by: tuple[str, ...] = ("batch",),
     ) -> DataFrame:
-        """The base table with logged rows in place of the ones they replace."""
-        changed = self.newest(key, before, only)
+        """The base table with logged rows in place of the ones they replace.
+
+        By default every logged row replaces an older one. Ordered by a time
+        stamp, a late row loses against newer logged or base rows.
+        """
+        changed = self.newest(key, before, only, order_by)
         if only is not None:
             base = base.join(only, key, "left_semi")
-        kept = base.join(changed.select(key), key, "left_anti")
-        return kept.select(*changed.columns).unionByName(changed)
+        base = base.select(*changed.columns)
+        if order_by == ("batch",):
+            return base.join(changed.select(key), key, "left_anti").unionByName(changed)
+        return latest(base.unionByName(changed), key, *order_by)

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from floorspark.operators import views
+from floorspark.operators import ingest, views
 from floorspark.session import new_folder, shared_folder
 from floorspark.sources import storage
 from floorspark.sources.bindings import BINDINGS, with_clause
@@ -64,6 +64,25 @@ def test_bucketed_jobs_and_counts_join_without_a_shuffle(tables):
     assert rows == spark_rows(views.job_summary(tables.jobs, tables.counts))
 
 
+def test_requests_from_json_lines(tables):
+    spark, folder = tables.spark, new_folder(tables.spark, "requests")
+    tables.requests.drop("role").write.json(f"{folder}/in")
+    requests = storage.read_requests(spark, f"{folder}/in")
+    assert spark_rows(ingest.extracted_rows(requests)) == spark_rows(ingest.extracted_rows(tables.requests))
+    storage.write_extraction(ingest.extracted_rows(requests), ingest.parse_failures(requests), folder)
+    assert spark.read.schema("req_id long, raw string").json(f"{folder}/parse_failed").count() == 49
+    assert storage.read_requests(spark, f"{folder}/in", stream=True).isStreaming
+
+
+def test_old_files_lack_new_columns(tables):
+    path = new_folder(tables.spark, "counts")
+    tables.counts.drop("still_making", "comment").write.parquet(path)
+    tables.counts.write.mode("append").parquet(path)
+    both = storage.read_floor(tables.spark, path, "counts")
+    assert both.count() == 2 * tables.counts.count()
+    assert both.where("comment is not null").count() == tables.counts.where("comment is not null").count()
+
+
 def test_configured_folder_is_used(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from floorspark.operators import changes, chat, edits
 from floorspark.queries.scans import incoming_saves
+from floorspark.queries.streams import stamped
 from floorspark.session import new_folder
 from floorspark.sources.schemas import SOURCES
 from floorspark.sources.tables import Tables
@@ -53,8 +54,22 @@ def test_latest_saves(tables):
     changed._known["saves"] = arriving(tables, "events", "saves", "event_id")
     log = feeds.follow_saves(incoming_saves(changed), "saves")
     assert batches(log) == 4
+    kept = ["job_id", "group_a_cores", "group_a_trolleys", "comment"]
     expected = changes.upsert(tables.counts, incoming_saves(tables), "job_id")
-    assert spark_rows(log.current(tables.counts, "job_id")) == spark_rows(expected.select(*log.newest("job_id").columns))
+    current = log.current(stamped(tables.counts), "job_id")
+    assert spark_rows(current.select(*kept)) == spark_rows(expected.select(*kept))
+
+
+def test_late_saves_lose_by_event_time(tables):
+    changed = Tables(tables.spark, tables.folder)
+    changed._known["saves"] = arriving(tables, "events", "saves", "event_id")
+    log = feeds.follow_saves(incoming_saves(changed), "event-time", by_event_time=True)
+    assert batches(log) == 4
+    kept = ["job_id", "group_a_cores", "group_a_trolleys"]
+    current = log.current(stamped(tables.counts), "job_id", order_by=feeds.EVENT_TIME).select(*kept)
+    expected = changes.upsert(tables.counts, incoming_saves(tables), "job_id", "updated_at").select(*kept)
+    by_arrival = changes.upsert(tables.counts, incoming_saves(tables), "job_id").select(*kept)
+    assert spark_rows(current) == spark_rows(expected) != spark_rows(by_arrival)
 
 
 def test_pending_saves_are_retried(tables):
