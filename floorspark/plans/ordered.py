@@ -1,9 +1,9 @@
 """Running values over ordered groups of any size.
 
 A window partitioned by a group key sorts each group inside one task. When a
-group grows past ``max_group_rows`` the groups are cut into ordered slices with
-a range shuffle, each slice is scanned on its own, and what the slices before it
-add up to is joined in. One row per slice is all that the slices exchange.
+group is too large for that, the groups are cut into ordered slices with a range
+shuffle, each slice is scanned on its own, and what the slices before it add up
+to is joined in. One row per slice is all that the slices exchange.
 """
 
 from __future__ import annotations
@@ -13,10 +13,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floorspark.session import shared_folder
+from floorspark.session import stored
 
-MAX_GROUP_ROWS = 5_000_000
 SLICE = "_slice"
+AUTO = -1
+# Groups up to the first size always take a plain window, beyond the second never.
+ALWAYS_PLAIN, NEVER_PLAIN = 5_000_000, 50_000_000
+SLICE_ROWS = 20_000_000
+# Slicing writes, reads and shuffles the rows again, on all cores at once.
+SLICING_COST = 4
 
 _AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -32,8 +37,10 @@ class OrderedGroups:
 
     ``order`` must identify a row within its group. Building it measures the
     largest group: from ``sizes`` (one row per group with its ``count``), or by
-    one pre-aggregated count over the rows. Pass ``max_group_rows=None`` where
-    the data model bounds the groups.
+    one pre-aggregated count over the rows. By default a group is sliced when
+    one task would take longer over it than all cores take to slice the table.
+    ``max_group_rows`` sets the limit by hand; None skips measuring, for groups
+    the data model bounds.
     """
 
     def __init__(
@@ -41,34 +48,38 @@ class OrderedGroups:
         rows: DataFrame,
         keys: list[str],
         order: list[Column],
-        max_group_rows: int | None = MAX_GROUP_ROWS,
+        max_group_rows: int | None = AUTO,
         sizes: DataFrame | None = None,
-        _sliced: bool | None = None,
+        _like: OrderedGroups | None = None,
     ):
-        self.keys, self.order = keys, order
-        if _sliced is not None:
-            self._rows, self.sliced = rows, _sliced
+        self.keys, self.order, self._rows = keys, order, rows
+        self.sliced, self._shared = (_like.sliced, _like._shared) if _like else (False, None)
+        if _like:
             return
-        self._rows, self.sliced = rows, False
         if max_group_rows is None:
             return
         if sizes is None:
             sizes = rows.groupBy(*keys).count()
         largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
-        if (largest or 0) > max_group_rows:
-            shared_folder(rows.sparkSession)
-            pieces = max(2, math.ceil(total / max_group_rows))
-            # The checkpoint fixes which slice a row is in: the range bounds are
-            # sampled, so a second evaluation could cut elsewhere.
-            self._rows = (
-                rows.repartitionByRange(pieces, *keys, *order)
-                .withColumn(SLICE, F.spark_partition_id())
-                .checkpoint()
-            )
+        limit, pieces = max_group_rows, math.ceil((total or 0) / max(max_group_rows, 1))
+        if max_group_rows == AUTO:
+            cores = rows.sparkSession.sparkContext.defaultParallelism
+            limit = min(max(ALWAYS_PLAIN, SLICING_COST * (total or 0) // cores), NEVER_PLAIN)
+            pieces = max(cores, math.ceil((total or 0) / SLICE_ROWS))
+        if (largest or 0) > limit:
+            # Stored, because the range bounds are sampled: a second evaluation
+            # could cut elsewhere.
+            cut = rows.repartitionByRange(max(2, pieces), *keys, *order)
+            self._rows = stored(cut.withColumn(SLICE, F.spark_partition_id()), "slices")
+            # Each cut between two slices falls into one group at most, so fewer
+            # groups than slices go on from one slice to another.
+            spans = self._rows.groupBy(*keys).agg(F.min(SLICE).alias("_from"), F.max(SLICE).alias("_to"))
+            groups = spans.where("_from < _to").select(*keys)
+            self._shared = stored(groups, "shared-groups")
             self.sliced = True
 
     def _with(self, rows: DataFrame) -> OrderedGroups:
-        return OrderedGroups(rows, self.keys, self.order, _sliced=self.sliced)
+        return OrderedGroups(rows, self.keys, self.order, _like=self)
 
     @property
     def _part(self) -> list[str]:
@@ -82,10 +93,20 @@ class OrderedGroups:
         """Add row-wise columns."""
         return self._with(self._rows.withColumns(columns))
 
+    @staticmethod
+    def _same(other: DataFrame, keys: list[str]) -> tuple[DataFrame, list[Column]]:
+        """``other`` with its keys renamed, and the null-safe match on them."""
+        renamed = other.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+        return renamed, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+
     def _carry(self, how: dict[str, tuple[str, Column]], later: bool = False) -> DataFrame:
-        """Per slice, the aggregate over the slices before (or the next one)."""
-        totals = self._rows.groupBy(*self._part).agg(
-            *[_AGGREGATES[kind](value).alias(name) for name, (kind, value) in how.items()]
+        """Per slice of a shared group, the aggregate over the slices before it
+        (or of the next one). Fewer rows than there are slice ends."""
+        groups, match = self._same(self._shared, self.keys)
+        totals = (
+            self._rows.join(F.broadcast(groups), match, "left_semi")
+            .groupBy(*self._part)
+            .agg(*[_AGGREGATES[kind](value).alias(name) for name, (kind, value) in how.items()])
         )
         window = Window.partitionBy(*self.keys).orderBy(SLICE)
         if later:
@@ -96,12 +117,8 @@ class OrderedGroups:
         return totals.select(*self._part, *carried)
 
     def _attach(self, rows: DataFrame, carried: DataFrame) -> DataFrame:
-        renamed = carried.select(
-            *[F.col(k).alias(f"_key_{k}") for k in self._part],
-            *[c for c in carried.columns if c.startswith("_carry_")],
-        )
-        matches = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in self._part]
-        return rows.join(renamed, matches, "left").drop(*[f"_key_{k}" for k in self._part])
+        renamed, match = self._same(carried, self._part)
+        return rows.join(F.broadcast(renamed), match, "left").drop(*[f"_key_{k}" for k in self._part])
 
     def running(self, inclusive: bool = True, **columns: tuple[str, Column]) -> OrderedGroups:
         """Add running aggregates, given as ``name=("sum"|"min"|"max", value)``."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorspark.session import shared_folder
+from floorspark.session import stored
 
 SMALL_ROWS = 100_000
 
@@ -43,6 +43,5 @@ def stored_small(table: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     For tables a stream joins with: their size is checked before it starts, and
     a larger table is joined by shuffling.
     """
-    shared_folder(table.sparkSession)
-    stored = table.checkpoint()
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    kept = stored(table, "small")
+    return F.broadcast(kept) if kept.count() <= max_rows else kept

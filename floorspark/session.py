@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Days and epochs are compared in UTC. The adaptive settings let Spark split a hot
 # join key at run time even when a later step could have reused its partitioning.
@@ -61,6 +61,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written to a table in the shared folder and read back.
+
+    Cuts the lineage and fixes values that a second evaluation could change.
+    """
+    spark = rows.sparkSession
+    folder = new_folder(spark, name)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own inside the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
