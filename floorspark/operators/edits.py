@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorspark.functions import formulas as fx
 from floorspark.functions.text import leading_int
 from floorspark.operators.changes import latest
 from floorspark.plans.ordered import OrderedGroups

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
-from floorspark.operators import access, calibration, changes, chat, notes, parts, views
-from floorspark.queries.columns import ENTRY_ROWS, HEIGHT, MEANS, OPEN, PRODUCT, RAW_FIT, TOTAL, WIDTH
+from floorspark.operators import calibration, changes, chat, notes, parts, views
+from floorspark.queries.columns import ENTRY_ROWS, HEIGHT, MEANS, OPEN, RAW_FIT, TOTAL, WIDTH
 from floorspark.queries.registry import plain, query
 from floorspark.sources.tables import Tables
 
