@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.checks import DATA, connect, differences, spark_rows, sql_rows
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.QUERIES, entry.oracle_sql()
 FOLDER = f"{DATA}/sf0.001"
 
 
