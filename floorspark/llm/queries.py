@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from floorspark.llm import minhash
-from floorspark.session import tune
+from floorspark.llm import minhash, tokens, urls
+from floorspark.session import new_folder, tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -34,3 +35,52 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _op1(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, folder, "documents"), k=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@_register("op6_token_counts")
+def _op6(spark: SparkSession, folder: str) -> DataFrame:
+    # A cache of its own for each run, so that every run does the whole work.
+    return tokens.count_tokens(
+        _table(spark, folder, "documents"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        cache=new_folder(spark, "token-counts"),
+    )
+
+
+#: The lists of the contract.
+URL_RULES = [
+    urls.Rule("com", "/", "allow"),
+    urls.Rule("example.com", "/en/", "block"),
+    urls.Rule("www.example.com", "/en/", "allow"),
+    urls.Rule("net", "/es/", "block"),
+    urls.Rule("net", "/fr/", "block"),
+]
+
+
+@_register(
+    "op8_url_filter",
+    r"""
+    with parts as (
+        select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
+        from pages
+    ), split as (
+        select page_id,
+            translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+        from parts
+    ), rules(rule_host, rule_path, rule_verdict) as (
+        values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+            ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+    ), fitting as (
+        select page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+            max_by(rule_verdict, length(rule_host || rule_path)) as rule_verdict
+        from split join rules
+            on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+        group by page_id
+    )
+    select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict
+    from split left join fitting using (page_id)
+    """,
+)
+def _op8(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, folder, "pages"), URL_RULES)
