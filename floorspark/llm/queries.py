@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from floorspark.llm import minhash, tokens, urls
+from floorspark.llm import decontam, lines, minhash, tokens, urls
 from floorspark.session import new_folder, tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,43 @@ URL_RULES = [
 )
 def _op8(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_table(spark, folder, "pages"), URL_RULES)
+
+
+@_register("op5_decontamination")
+def _op5(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_register(
+    "op9_line_dedup",
+    r"""
+    with pieces as (
+        select doc_id, text, unnest(range(1, len(p) + 1)) as place, unnest(p) as piece
+        from (select doc_id, text, string_split(regexp_replace(text, '([.!?] |\n)', '\1' || chr(1), 'g'), chr(1)) as p from documents)
+    ), lines as (
+        select doc_id, place, trim(piece, ' ' || chr(9) || chr(13) || chr(10)) as line from pieces
+        where trim(piece, ' ' || chr(9) || chr(13) || chr(10)) <> ''
+    ), runs as (
+        select doc_id, place as lo, lead(place, 2) over w as hi,
+            [line, lead(line, 1) over w, lead(line, 2) over w] as said
+        from lines window w as (partition by doc_id order by place)
+    ), windows as (
+        select * from runs where hi is not null and length(said[1]) + length(said[2]) + length(said[3]) >= 40
+    ), later as (
+        select * from windows qualify row_number() over (partition by said order by doc_id, lo) > 1
+    ), gone as (
+        select distinct doc_id, unnest(range(lo, hi + 1)) as place from later
+    ), kept as (
+        select doc_id, string_agg(piece, '' order by place) as text
+        from pieces anti join gone using (doc_id, place) group by doc_id
+    ), lost as (
+        select doc_id, count(*) as n from lines join gone using (doc_id, place) group by doc_id
+    ), counted as (
+        select doc_id, count(*) as n from lines group by doc_id
+    )
+    select doc_id, coalesce(kept.text, '') as text, coalesce(counted.n, 0) as n_lines, coalesce(lost.n, 0) as n_removed
+    from documents left join kept using (doc_id) left join counted using (doc_id) left join lost using (doc_id)
+    """,
+)
+def _op9(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
