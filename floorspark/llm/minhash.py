@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.llm.links import components
@@ -33,8 +33,11 @@ ROWS, BANDS = 6, 40
 FEW = 4
 #: Growth of the number of hubs from round to round.
 MORE_HUBS = 8
+#: Standard deviations below the threshold from which a signature rules a pair out.
+SURE = 4.5
 
-_SIGNATURE = "id long, version long, n_shingles long, set_a long, set_b long, bands array<long>"
+_PACKED = ROWS * BANDS // 16  # numbers that hold four bits of each coordinate
+_SIGNATURE = "id long, version long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
 def _permuted(x: np.ndarray) -> np.ndarray:
@@ -69,30 +72,38 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray
         yield lo, [np.unique(grams[at[i] : at[i + 1]]) for i in range(hi - lo)]
 
 
+def _lists(values: np.ndarray, width: int) -> pa.ListArray:
+    ends = np.arange(len(values) + 1, dtype=np.int32) * width
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+
+
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = {name: [] for name in ("n", "a", "b", "bands")}
+            parts = {name: [] for name in ("n", "a", "b", "bands", "sketch")}
             for _, sets in shingle_sets(batch.column("text"), k):
                 sizes = np.array([len(s) for s in sets])
                 digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 full = np.flatnonzero(sizes)
                 keys = np.zeros((len(sets), BANDS), dtype=np.int64)
+                sketch = np.zeros((len(sets), _PACKED), dtype=np.uint64)
                 if len(full):
                     at = np.concatenate([[0], np.cumsum(sizes[full])])
                     signature = circulant(np.concatenate([sets[i] for i in full]), at, ROWS * BANDS)
                     for band in range(BANDS):
                         rows = signature[band * ROWS : (band + 1) * ROWS].T.copy()
                         keys[full, band] = [xxhash.xxh3_64_intdigest(r.tobytes(), seed=band) - (1 << 63) for r in rows]
+                    low = (signature.T & np.uint32(15)).astype(np.uint64).reshape(len(full), _PACKED, 16)
+                    sketch[full] = np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
                 parts["n"].append(sizes)
                 parts["a"].append(np.array([(d >> 64) - (1 << 63) for d in digests], dtype=np.int64))
                 parts["b"].append(np.array([(d & ((1 << 64) - 1)) - (1 << 63) for d in digests], dtype=np.int64))
                 parts["bands"].append(keys)
-            n, a, b, bands = (np.concatenate(parts[x]) if parts[x] else np.zeros(0, np.int64) for x in parts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+                parts["sketch"].append(sketch.view(np.int64))
+            n, a, b, bands, sketch = (np.concatenate(parts[x]) if parts[x] else np.zeros(0, np.int64) for x in parts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("version"), *(pa.array(x.astype(np.int64)) for x in (n, a, b)), lists],
-                ["id", "version", "n_shingles", "set_a", "set_b", "bands"],
+                [batch.column("id"), batch.column("version"), *(pa.array(x.astype(np.int64)) for x in (n, a, b)), _lists(bands, BANDS), _lists(sketch, _PACKED)],
+                ["id", "version", "n_shingles", "set_a", "set_b", "bands", "sketch"],
             )
 
     return run
@@ -139,6 +150,24 @@ def _open(members: DataFrame, below: float) -> DataFrame:
     return lookup_join(members.where(F.col("size") > below), several, ["bucket"], "left_semi")
 
 
+def _may_reach(percent: int) -> Column:
+    """Whether the signatures of two members leave room for the threshold.
+
+    Four bits of each coordinate agree as often as the sets, and by chance in a
+    sixteenth of the rest. Pairs at the threshold differ in more coordinates
+    than allowed here once in 300,000.
+    """
+    size, odds = ROWS * BANDS, (1 - percent / 100) * 15 / 16
+    most = size * odds + SURE * (size * odds * (1 - odds)) ** 0.5
+    differ = F.lit(0)
+    for i in range(_PACKED):
+        x = F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_a", F.lit(i)))
+        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(1)))
+        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(2)))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= int(most)
+
+
 def _hub_pairs(members: DataFrame, seen: float, upto: float, percent: int) -> DataFrame:
     """(a, b, shared buckets): members of different classes with the hubs of
     this round. ``turn`` orders the members; hubs are those whose turn comes
@@ -150,11 +179,16 @@ def _hub_pairs(members: DataFrame, seen: float, upto: float, percent: int) -> Da
         before = first | (limit < seen)
         hub = hub & ~before
         members = members.withColumn("before", before)
-    hubs = members.where(hub).select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a"))
+    sketched = "sketch" in members.columns
+    extra = [F.col("sketch").alias("sketch_a")] if sketched else []
+    hubs = members.where(hub).select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a"), *extra)
     rest = (members.where("not before") if seen else members).withColumn("hub", hub)
     near = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("label") != F.col("label_a"))
+    if sketched:
+        near = near & _may_reach(percent)
     once = ~F.col("hub") | (F.struct("turn", "id") > F.struct("turn_a", "a"))
-    return rest.join(hubs, "bucket").where(near & once & (F.col("a") != F.col("id"))).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    pairs = rest.join(hubs, "bucket").where(once & (F.col("a") != F.col("id")) & near)
+    return pairs.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,6 +219,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = stored(classes.select("set_a", "set_b", F.col("one.id").alias("id"), F.col("one.version").alias("version")), "classes")
     chosen = classes.select("id", "version")
     member = linked.join(chosen, ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
+    sketches = member.groupBy("id").agg(F.max_by("sketch", "version").alias("sketch"))
     member = member.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     member = member.withColumn("turn", F.xxhash64("id") / F.lit(2.0**64) + 0.5)
     buckets = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min("turn").alias("least")).where("size > 1")
@@ -218,7 +253,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         else:
             seen, upto = upto, upto * MORE_HUBS
             done = max(float(FEW), seen)
-        members = stored(_open(_merged(members, labels), done), "members")
+        members = _open(_merged(members, labels), done)
+        if "sketch" not in members.columns:
+            members = members.join(sketches, "id")
+        members = stored(members, "members")
 
     final = classes.select("set_a", "set_b", "id", F.col("id").alias("component_id"))
     if labels is not None:
