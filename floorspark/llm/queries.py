@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from floorspark.llm import decontam, lines, minhash, tokens, urls
+from floorspark.llm import decontam, licenses, lines, minhash, tokens, urls
 from floorspark.session import new_folder, tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,8 @@ def _op5(spark: SparkSession, folder: str) -> DataFrame:
 )
 def _op9(spark: SparkSession, folder: str) -> DataFrame:
     return lines.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@_register("op10_license_scan")
+def _op10(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, folder, "documents"))
