@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from floorspark.llm import decontam, licenses, lines, minhash, tokens, urls
+from floorspark.llm import decontam, licenses, lines, minhash, tokens, toxicity, urls
 from floorspark.session import new_folder, tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def _op9(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op10_license_scan")
 def _op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, folder, "documents"))
+
+
+@_register("op2_toxicity")
+def _op2(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
