@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from floorspark.llm import decontam, licenses, lines, minhash, tokens, toxicity, urls
+from floorspark.llm import decontam, licenses, lines, minhash, spotsigs, tokens, toxicity, urls
 from floorspark.session import new_folder, tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def _op10(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op2_toxicity")
 def _op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_register("op7_spotsigs")
+def _op7(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(_table(spark, folder, "documents"))
