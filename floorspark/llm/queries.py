@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from floorspark.llm import decontam, licenses, lines, minhash, spotsigs, tokens, toxicity, urls
+from floorspark.llm import decontam, licenses, lines, minhash, mixing, spotsigs, tokens, toxicity, urls
 from floorspark.session import new_folder, tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,70 @@ def _op2(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op7_spotsigs")
 def _op7(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.fingerprint_edits(_table(spark, folder, "documents"))
+
+
+#: Target weights by path; what is not named weighs 1.
+MIX_WEIGHTS = {"domain0": 5, "domain1": 3, "domain2": 2, "domain0/en": 4, "domain1/en": 3, "domain2/de": 2, "domain0/en/src3": 2}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = (3, 4), 2, 7
+
+
+def _mix_sql(table: str) -> str:
+    """The rows of ``mix_plan`` over ``table``, level by level."""
+    weight = "case {path} " + " ".join(f"when '{p}' then {w}" for p, w in MIX_WEIGHTS.items()) + " else 1 end"
+    names = ["domain", "lang", "source"]
+    steps = []
+    for depth in (3, 2, 1):
+        own, path = ", ".join(names[:depth]), " || '/' || ".join(names[:depth])
+        below, what = ("leaf", f"tokens * {MIX_EPOCHS}") if depth == 3 else (f"cap{depth + 1}", "capacity")
+        steps.append(
+            f"cap{depth} as (select {own}, sum(tokens) as tokens, {weight.format(path=path)}::hugeint as weight, "
+            f"case when {weight.format(path=path)} > 0 then sum({what}) else 0 end::hugeint as capacity from {below} group by {own})"
+        )
+    for depth in (1, 2, 3):
+        own, up = ", ".join(names[:depth]), ", ".join(names[: depth - 1])
+        part = f"partition by {up} " if up else ""
+        order = f"{part}order by capacity / greatest(weight, 1), {names[depth - 1]}"
+        amount = (
+            f"(select least((select sum(tokens)::hugeint * {MIX_SHARE[0]} // {MIX_SHARE[1]} from leaf), (select sum(capacity) from cap1)))"
+            if depth == 1
+            else f"granted{depth - 1}.granted"
+        )
+        join = f" join granted{depth - 1} using ({up})" if up else ""
+        steps += [
+            f"in{depth} as (select {own}, cap{depth}.tokens as tokens, weight, capacity, {amount} as amount from cap{depth}{join})",
+            f"at{depth} as (select *, amount - coalesce(sum(capacity) over ({order} rows between unbounded preceding and 1 preceding), 0) as rest, "
+            f"sum(weight) over ({order} rows between current row and unbounded following) as pull, row_number() over ({order}) as turn from in{depth})",
+            f"first{depth} as (select *, min(case when capacity * pull > rest * weight then turn end) over ({part}) as start from at{depth})",
+            f"level{depth} as (select *, max(case when turn = start then rest end) over ({part}) as level_rest, "
+            f"max(case when turn = start then pull end) over ({part}) as level_pull from first{depth})",
+            f"granted{depth} as (select {own}, tokens, case when start is null or turn < start then capacity else level_rest * weight // level_pull end as granted from level{depth})",
+        ]
+    return f"""
+    with sized as (
+        select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_tokens,
+            case when regexp_matches(coalesce(source, ''), '[0-9]$')
+                then 'domain' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::int % 3)::varchar else 'other' end as domain,
+            coalesce(lang, '') as lang, coalesce(source, '') as source
+        from {table}
+    ), leaf as (
+        select domain, lang, source, sum(n_tokens)::hugeint as tokens from sized group by all
+    ), {", ".join(steps)},
+    keyed as (
+        select sized.*, least(case when tokens > 0 then granted // tokens else 0 end, {MIX_EPOCHS})::bigint as whole,
+            granted - (case when tokens > 0 then granted // tokens else 0 end) * greatest(tokens, 1) as room
+        from sized join granted3 using (domain, lang, source)
+    ), placed as (
+        select *, sum(n_tokens) over (
+            partition by domain, lang, source order by md5('{MIX_SEED}:' || whole || ':' || coalesce(doc_id::varchar, ''))
+        ) as upto
+        from keyed
+    )
+    select doc_id, domain, lang, source, n_tokens, epochs
+    from (select *, least(whole + (upto <= room)::int, {MIX_EPOCHS})::bigint as epochs from placed)
+    where epochs > 0
+    """
+
+
+@_register("op4_source_mixing", _mix_sql("documents"))
+def _op4(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_plan(_table(spark, folder, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
