@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from floorspark.llm import decontam, licenses, lines, minhash, mixing, spotsigs, tokens, toxicity, urls
+from floorspark.llm import decontam, licenses, lines, minhash, mixing, pii, spotsigs, tokens, toxicity, urls
 from floorspark.session import new_folder, tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,8 @@ def _mix_sql(table: str) -> str:
 @_register("op4_source_mixing", _mix_sql("documents"))
 def _op4(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, folder, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+@_register("op3_personal_data")
+def _op3(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, folder, "documents"))
