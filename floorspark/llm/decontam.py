@@ -96,42 +96,32 @@ def _windows(named: DataFrame, items: DataFrame, k: int, small: bool) -> DataFra
     places = places.select("shingle", "place", "size", before.alias("before")).distinct()
     if small:
         places = F.broadcast(places)
-    docs = named.select("doc_id", words_of(F.col("text")).alias("words"))
-    docs = docs.select("doc_id", shingles_of(F.col("words"), k).alias("found"))
+    docs = named.select("doc_id", "version", words_of(F.col("text")).alias("words"))
+    docs = docs.select("doc_id", "version", shingles_of(F.col("words"), k).alias("found"))
     # The outer form: Spark adds a size filter to the other one and, moving it
     # down, would split the text anew for every shingle.
-    hits = docs.select("doc_id", "found", F.posexplode_outer("found").alias("at", "shingle")).join(places, "shingle")
+    hits = docs.select("doc_id", "version", "found", F.posexplode_outer("found").alias("at", "shingle")).join(places, "shingle")
     # One window for each run of equal shingles: where the run begins.
     runs = hits.where(~F.coalesce(F.get("found", F.col("at") - 1) == F.col("before"), F.lit(False)))
     last = F.greatest(F.size("found") - 1 - (F.col("size") - k), F.lit(0))
     start = F.least(F.greatest(F.col("at") - F.col("place"), F.lit(0)), last)
     runs = runs.withColumn("start", start)
     shape = F.array_distinct(F.slice("found", F.col("start") + 1, F.col("size") - k + 1))
-    return runs.select("doc_id", "start", "size", shape.alias("seen"))
+    return runs.select("doc_id", "version", "start", "size", shape.alias("seen"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """Documents that hold a benchmark item, nearly or exactly.
-
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
-    are ignored. Returns one row per document and item found: doc_id, item_id,
-    start (word from 0 of the best window, the first of equals), n_words (of the
-    item), similarity (weighted Jaccard of the window's and the item's shingles,
-    at least percent/100).
-
-    Null texts and texts or items without words match nothing. An item of fewer
-    than five words is one shingle, its whole sequence. Repeated rows, or rows
-    with one doc_id, count as one document; rows without doc_id are searched
-    like a document whose doc_id is null. Equal items are each reported.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, version, item_id, start, n_words, similarity); version is a hash
+    of the text."""
+    named = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     items = stored(_items(benchmark), "items")
     shapes = {r["k"]: r["shingles"] for r in items.groupBy("k").agg(F.sum(F.size("shingles")).alias("shingles")).collect()}
     windows = None
     for k, rows in sorted(shapes.items()):
-        found = _windows(docs, items, k, rows <= SENT_ROWS)
+        found = _windows(named, items, k, rows <= SENT_ROWS)
         windows = found if windows is None else windows.unionByName(found)
     if windows is None:
-        windows = _windows(docs, items, SHINGLE, True)
+        windows = _windows(named, items, SHINGLE, True)
     windows = stored(windows, "windows").withColumn("print", fingerprint(F.col("seen")))
 
     blocks = F.sequence(F.lit(0), F.lit(64 // BLOCK_BITS - 1))
@@ -148,21 +138,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     first = F.lit(None).cast("int")
     for b in reversed(range(64 // BLOCK_BITS)):
         first = F.when(F.bit_count(_block(apart, F.lit(b))) <= BLOCK_RADIUS, F.lit(b)).otherwise(first)
-    pairs = pairs.where(F.col("block") == first).select("doc_id", "start", "item", "seen")
+    pairs = pairs.where(F.col("block") == first).select("doc_id", "version", "start", "item", "seen")
 
     pairs = pairs.join(items.select("item", "size", "shape"), "item")
     shared = _weight(F.array_intersect("seen", "shape"))
     pairs = pairs.withColumn("shared", shared).withColumn("both", _weight(F.col("seen")) + _weight(F.col("shape")) - F.col("shared"))
     sure = pairs.where(F.col("shared") * 100 >= F.col("both") * percent)
     sure = sure.withColumn("similarity", F.col("shared") / F.col("both"))
-    return sure.groupBy("doc_id", F.col("item").alias("item_id")).agg(
+    return sure.groupBy("doc_id", "version", F.col("item").alias("item_id")).agg(
         F.max_by("start", F.struct("similarity", -F.col("start"))).cast("long").alias("start"),
         F.first("size").cast("long").alias("n_words"),
         F.max("similarity").alias("similarity"),
     )
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
+    """Documents that hold a benchmark item, nearly or exactly.
+
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
+    are ignored. Returns one row per document and item found: doc_id, item_id,
+    start (word from 0 of the best window, the first of equals), n_words (of the
+    item), similarity (weighted Jaccard of the window's and the item's shingles,
+    at least percent/100).
+
+    Null texts and texts or items without words match nothing. An item of fewer
+    than five words is one shingle, its whole sequence. Repeated rows count as one
+    document, rows that share a doc_id each by their own text; rows without
+    doc_id are searched too. Equal items are each reported.
+    """
+    return _found(docs, benchmark, percent).drop("version")
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    leaks = contaminated(docs.select("doc_id", "text"), benchmark, percent).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leaked"]), "left_anti")
+    leaks = _found(docs, benchmark, percent).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    same = docs["doc_id"].eqNullSafe(leaks["_id"]) & (F.xxhash64(docs["text"]) == leaks["_version"])
+    return docs.join(leaks, same, "left_anti")

@@ -270,3 +270,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "version", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each class, the one with the least doc_id, with all its
+    columns. Of repeated rows one stays; rows without doc_id all stay."""
+    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null")
+    kept = kept.select(F.col("doc_id").alias("__copy_id"), F.col("version").alias("__copy_version")).distinct()
+    named = docs.where("doc_id is not null").withColumn("__copy_version", F.xxhash64("text"))
+    named = named.withColumn("__copy_id", F.col("doc_id").cast("long"))
+    chosen = named.join(kept, ["__copy_id", "__copy_version"], "left_semi").dropDuplicates(["__copy_id", "__copy_version"])
+    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -142,8 +142,8 @@ def _cutoffs(docs: DataFrame, weights: Mapping[str, int], share: tuple[int, int]
 
 
 def _epochs(seed: int, doc_id: Column, max_epochs: int) -> Column:
-    again = _key(seed, F.col("_epochs"), doc_id) <= F.col("_cutoff")
-    return F.least(F.col("_epochs") + again.cast("int"), F.lit(max_epochs)).cast("long")
+    again = _key(seed, F.col("__mix_epochs"), doc_id) <= F.col("__mix_cutoff")
+    return F.least(F.col("__mix_epochs") + again.cast("int"), F.lit(max_epochs)).cast("long")
 
 
 def mix_plan(docs: DataFrame, weights: Mapping[str, int], share: tuple[int, int] = (3, 4), max_epochs: int = 2, seed: int = 7, domain: Column | None = None) -> DataFrame:
@@ -161,7 +161,7 @@ def mix_plan(docs: DataFrame, weights: Mapping[str, int], share: tuple[int, int]
     at most one token of a node's budget for each child unused.
     """
     sized, cut = _cutoffs(docs, weights, share, max_epochs, seed, domain)
-    cut = cut.withColumnsRenamed({"epochs": "_epochs", "cutoff": "_cutoff"})
+    cut = cut.withColumnsRenamed({"epochs": "__mix_epochs", "cutoff": "__mix_cutoff"})
     used = sized.join(cut, list(LEVELS)).withColumn("epochs", _epochs(seed, F.col("doc_id"), max_epochs)).where("epochs > 0")
     return used.select("doc_id", *LEVELS, F.col("tokens").alias("n_tokens"), "epochs")
 
@@ -170,7 +170,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, int], share: tuple[int, int] =
     """The documents that :func:`mix_plan` uses, with all their columns and
     ``epochs``, which takes the place of a column of that name. Texts are not shuffled for it where the nodes are few."""
     _, cut = _cutoffs(docs, weights, share, max_epochs, seed, domain)
-    cut = cut.select(*[F.col(c).alias(f"_{c}") for c in cut.columns])
-    out = docs.withColumns({f"_{n}": c for n, c in _node(docs, domain).items()})
-    out = out.join(cut, [f"_{c}" for c in LEVELS]).withColumn("epochs", _epochs(seed, F.col("doc_id"), max_epochs))
+    cut = cut.select(*[F.col(c).alias(f"__mix_{c}") for c in cut.columns])
+    out = docs.withColumns({f"__mix_{n}": c for n, c in _node(docs, domain).items()})
+    out = out.join(cut, [f"__mix_{c}" for c in LEVELS]).withColumn("epochs", _epochs(seed, F.col("doc_id"), max_epochs))
     return out.where("epochs > 0").select(*[c for c in docs.columns if c != "epochs"], "epochs")

@@ -161,11 +161,11 @@ def _counted(terms):
                 ends = pa.array(np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, hi - lo),
+                        *(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "version")),
                         pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))),
                         pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
                     ],
-                    ["doc_id", "terms", "counts"],
+                    ["doc_id", "version", "terms", "counts"],
                 )
 
     return run
@@ -213,7 +213,8 @@ def _scored(model):
                 results.append(known[key])
             scores = pa.array([r[0] for r in results], pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), scores, pa.array([r[1] for r in results], pa.string())], ["doc_id", "score", "evidence"]
+                [batch.column("doc_id"), batch.column("version"), scores, pa.array([r[1] for r in results], pa.string())],
+                ["doc_id", "version", "score", "evidence"],
             )
 
     return run
@@ -267,28 +268,16 @@ def _model(vectors: DataFrame, examples: DataFrame, n_terms: int, totals: dict[i
     return Model(idf, index, without, curve)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, examples_per_class: int = EXAMPLES) -> DataFrame:
-    """Scores every whole text; ``labels`` has doc_id and toxic (0 or 1).
-
-    ``docs`` has doc_id and text; other columns are ignored. Only labels of
-    documents that are not held out are learned, and of those a sample of
-    ``examples_per_class`` (fewest first by a hash) becomes the index; class
-    rates come from all of them. Returns one row per row: doc_id, held_out,
-    score (0 to 1, higher: toxic likelier), predicted (1 if score >= 0.5),
-    evidence (the nearest examples' doc_id and cosine, best first, or null).
-
-    Null and empty texts, and texts without any term, get the rate of the
-    examples without terms. Labels other than 0 and 1 are ignored, and of
-    several labels of a document the largest counts. Without any learnable
-    label every score is 0. Rows without doc_id are scored and not held out.
-    """
+def _scores(docs: DataFrame, labels: DataFrame, examples_per_class: int) -> DataFrame:
+    """(doc_id, version, score, evidence); version is a hash of the text."""
     spark = docs.sparkSession
     learned = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     learned = learned.where(~held_out(F.col("doc_id")))
     totals = {r["toxic"]: r["count"] for r in learned.groupBy("toxic").count().collect()}
     picked = [learned.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples_per_class) for c in (0, 1)]
     examples = stored(picked[0].unionByName(picked[1]), "examples")
-    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select("doc_id", F.xxhash64(text).alias("version"), text.alias("text"))
     known = named.join(F.broadcast(examples), "doc_id").dropDuplicates(["doc_id"])
 
     seen = known.select("toxic", "text").mapInArrow(_all_words, "toxic int, term long")
@@ -303,17 +292,43 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples_per_class: int =
     terms = np.sort(np.array([r["term"] for r in chosen], dtype=np.int64).view(np.uint64))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    vectors = named.mapInArrow(_counted(spark.sparkContext.broadcast(terms)), f"doc_id {kind}, terms array<int>, counts array<int>")
+    vectors = named.mapInArrow(_counted(spark.sparkContext.broadcast(terms)), f"doc_id {kind}, version long, terms array<int>, counts array<int>")
     vectors = stored(vectors, "term-counts")
     model = _model(vectors, examples, len(terms), totals)
     if model is None:
-        scored = vectors.select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("evidence"))
+        scored = vectors.select("doc_id", "version", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("evidence"))
     else:
-        scored = vectors.mapInArrow(_scored(spark.sparkContext.broadcast(model)), f"doc_id {kind}, score double, evidence string")
-    return scored.select(
+        scored = vectors.mapInArrow(_scored(spark.sparkContext.broadcast(model)), f"doc_id {kind}, version long, score double, evidence string")
+    return scored
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, examples_per_class: int = EXAMPLES) -> DataFrame:
+    """Scores every whole text; ``labels`` has doc_id and toxic (0 or 1).
+
+    ``docs`` has doc_id and text; other columns are ignored. Only labels of
+    documents that are not held out are learned, and of those a sample of
+    ``examples_per_class`` (fewest first by a hash) becomes the index; class
+    rates come from all of them. Returns one row per row: doc_id, held_out,
+    score (0 to 1, higher: toxic likelier), predicted (1 if score >= 0.5),
+    evidence (the nearest examples' doc_id and cosine, best first, or null).
+
+    Null and empty texts, and texts without any term, get the rate of the
+    examples without terms. Labels other than 0 and 1 are ignored, and of
+    several labels of a document the largest counts. Without any learnable
+    label every score is 0. Rows without doc_id are scored and not held out.
+    """
+    return _scores(docs, labels, examples_per_class).select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "evidence",
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, examples_per_class: int = EXAMPLES) -> DataFrame:
+    """The documents predicted not to be toxic, with all their columns."""
+    rejected = _scores(docs, labels, examples_per_class).where("score >= 0.5")
+    rejected = rejected.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    version = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]) & (version == rejected["_version"]), "left_anti")
