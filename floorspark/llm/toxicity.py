@@ -62,39 +62,43 @@ class Index:
         self.members = np.array([p.toxic + p.clean for p in profiles])
         n_blocks = -(-len(profiles) // BLOCK)
         self.bounds = np.zeros((n_terms, n_blocks), dtype=np.float64)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
+        #: For each block, the row of each of its terms (or -1), and the rows:
+        #: the weights of the block's examples.
+        self.rows = np.full((n_blocks, n_terms), -1, dtype=np.int16)
+        self.postings: list[np.ndarray] = []
         for b in range(n_blocks):
-            own: dict[int, tuple[list, list]] = {}
-            for i, p in enumerate(profiles[b * BLOCK : (b + 1) * BLOCK]):
-                for t, w in zip(p.terms.tolist(), p.weights.tolist(), strict=True):
-                    where, weight = own.setdefault(t, ([], []))
-                    where.append(i)
-                    weight.append(w)
-                    self.bounds[t, b] = max(self.bounds[t, b], w)
-            self.postings.append({t: (np.array(i), np.array(w)) for t, (i, w) in own.items()})
+            own = profiles[b * BLOCK : (b + 1) * BLOCK]
+            terms = np.unique(np.concatenate([p.terms for p in own]))
+            self.rows[b, terms] = np.arange(len(terms))
+            weights = np.zeros((len(terms), BLOCK))
+            for i, p in enumerate(own):
+                weights[self.rows[b, p.terms], i] = p.weights
+            self.postings.append(weights)
+            self.bounds[terms, b] = weights.max(axis=1)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, left_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The nearest profiles that hold NEIGHBOURS examples, with all equally
         near, and their cosines; only profiles that share a term. One example
         of profile ``left_out`` does not count."""
         upper = weights @ self.bounds[terms]
-        found = np.zeros(0, dtype=np.int64)
-        near = np.zeros(0)
-        least = 0.0
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or upper[b] < least - 1e-9:
-                break
-            cosine = np.zeros(BLOCK)
-            own = self.postings[b]
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if t in own:
-                    where, weight = own[t]
-                    cosine[where] += w * weight
-            hit = np.flatnonzero(cosine > 0)
-            found = np.concatenate([found, hit + b * BLOCK])
-            near = np.concatenate([near, cosine[hit]])
-            order = np.lexsort((found, -near))
-            found, near = found[order], near[order]
+        order = np.argsort(-upper, kind="stable")
+        found, near = np.zeros(0, dtype=np.int64), np.zeros(0)
+        least, done, step = 0.0, 0, 2
+        while done < len(order) and upper[order[done]] > 0 and upper[order[done]] >= least - 1e-9:
+            places, cosines = [found], [near]
+            for b in order[done : done + step]:
+                if upper[b] <= 0 or upper[b] < least - 1e-9:
+                    break
+                row = self.rows[b, terms]
+                has = row >= 0
+                cosine = weights[has] @ self.postings[b][row[has]]
+                hit = np.flatnonzero(cosine > 0)
+                places.append(hit + b * BLOCK)
+                cosines.append(cosine[hit])
+            done, step = done + step, step * 2
+            found, near = np.concatenate(places), np.concatenate(cosines)
+            best = np.lexsort((found, -near))
+            found, near = found[best], near[best]
             count = np.cumsum(self.members[found] - (found == left_out))
             last = int(np.searchsorted(count, NEIGHBOURS))
             if last < len(near):
