@@ -83,7 +83,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
     shingles = F.lit(None).cast("array<bigint>")
     for k in range(1, SHINGLE + 1):
         shingles = F.when(F.col("k") == k, shingles_of(F.col("words"), k)).otherwise(shingles)
-    items = words.select("item", "size", "k", shingles.alias("shingles"))
+    # item_id may be null or repeat, so items get a number once they are stored.
+    items = words.select(F.monotonically_increasing_id().alias("number"), "item", "size", "k", shingles.alias("shingles"))
     items = items.withColumn("shape", F.array_distinct("shingles"))
     return items.withColumn("print", fingerprint(F.col("shape")))
 
@@ -126,8 +127,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
 
     blocks = F.sequence(F.lit(0), F.lit(64 // BLOCK_BITS - 1))
     near = F.explode(F.array(*[F.lit(m) for m in _NEAR_MASKS]))
-    index = items.select("item", "size", "print", F.explode(blocks).alias("block"))
-    index = index.select("item", "size", F.col("print").alias("item_print"), "block", near.alias("mask"))
+    index = items.select("number", "size", "print", F.explode(blocks).alias("block"))
+    index = index.select("number", "size", F.col("print").alias("item_print"), "block", near.alias("mask"))
     index = index.withColumn("value", _block(F.col("item_print"), F.col("block")).bitwiseXOR(F.col("mask"))).drop("mask")
     probes = windows.select("*", F.explode(blocks).alias("block"))
     probes = probes.withColumn("value", _block(F.col("print"), F.col("block")))
@@ -138,16 +139,16 @@ def _found(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
     first = F.lit(None).cast("int")
     for b in reversed(range(64 // BLOCK_BITS)):
         first = F.when(F.bit_count(_block(apart, F.lit(b))) <= BLOCK_RADIUS, F.lit(b)).otherwise(first)
-    pairs = pairs.where(F.col("block") == first).select("doc_id", "version", "start", "item", "seen")
+    pairs = pairs.where(F.col("block") == first).select("doc_id", "version", "start", "number", "seen")
 
-    pairs = pairs.join(items.select("item", "size", "shape"), "item")
+    pairs = pairs.join(items.select("number", "item", "size", "shape"), "number")
     shared = _weight(F.array_intersect("seen", "shape"))
     pairs = pairs.withColumn("shared", shared).withColumn("both", _weight(F.col("seen")) + _weight(F.col("shape")) - F.col("shared"))
     sure = pairs.where(F.col("shared") * 100 >= F.col("both") * percent)
     sure = sure.withColumn("similarity", F.col("shared") / F.col("both"))
     return sure.groupBy("doc_id", "version", F.col("item").alias("item_id")).agg(
         F.max_by("start", F.struct("similarity", -F.col("start"))).cast("long").alias("start"),
-        F.first("size").cast("long").alias("n_words"),
+        F.max_by("size", "similarity").cast("long").alias("n_words"),
         F.max("similarity").alias("similarity"),
     )
 
@@ -164,7 +165,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     Null texts and texts or items without words match nothing. An item of fewer
     than five words is one shingle, its whole sequence. Repeated rows count as one
     document, rows that share a doc_id each by their own text; rows without
-    doc_id are searched too. Equal items are each reported.
+    doc_id are searched too. Equal items are each reported; items that share an item_id
+    count as one, with the best similarity of them.
     """
     return _found(docs, benchmark, percent).drop("version")
 
