@@ -40,8 +40,9 @@ def iso_day(value: Column | str) -> Column:
 
 
 def clock_time(value: Column | str) -> Column:
-    """Hours and minutes; a missing time shows as empty."""
-    return F.when(col(value).isNull(), "").otherwise(F.date_format(col(value), "HH:mm"))
+    """Hours and minutes; a missing time, or the zero of an unset one, shows as empty."""
+    unset = F.unix_millis(col(value).cast("timestamp")) == 0
+    return F.when(col(value).isNull() | unset, "").otherwise(F.date_format(col(value), "HH:mm"))
 
 
 def fixed(value: Column | str, places: int) -> Column:
@@ -60,7 +61,29 @@ def role_claim(header: Column | str) -> Column:
     """
     payload = F.split_part(F.coalesce(col(header), F.lit("")), F.lit("."), F.lit(2))
     decoded = F.try_to_binary(F.translate(payload, "-_", "+/"), F.lit("base64"))
-    return F.get_json_object(decoded.cast("string"), "$.role")
+    claims = decoded.cast("string")
+    read = F.from_json(F.when(is_one_value(claims), claims), "struct<role:string>", STRICT_JSON)
+    return read["role"]
+
+
+# Plain JSON only, as a browser parses it.
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def elements(text: Column) -> Column:
+    """The texts of a JSON list's elements, given without its brackets."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT_JSON)
+
+
+def is_one_value(text: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    Spark's parser stops after the first value. The text is therefore read once
+    inside a list and once inside an object: what would end the list early is
+    not allowed in the object, and what would go on in one not in the other.
+    """
+    inside = F.from_json(F.concat(F.lit('{"a":'), text, F.lit("}")), "map<string,string>", STRICT_JSON)
+    return F.coalesce((F.size(elements(text)) == 1) & (F.size(inside) == 1), F.lit(False))
 
 
 def display_author(own_role: str = "trolley") -> Column:

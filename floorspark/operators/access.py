@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floorspark.operators.views import on_day, published_jobs
 from floorspark.plans.skew import lookup_join
 
 ROLES = ["anon", "view_only", "full_access"]
@@ -49,19 +50,13 @@ READ_COLUMNS = {("jobs", "anon"): ["id", "job_date"]}
 UPDATE_COLUMNS = {("chat_messages", "anon"): ["read_at", "read_by"]}
 
 
-def _today(published_day: DataFrame) -> DataFrame:
-    """The published day; one row at most, its key being fixed to 1."""
-    day = published_day.where(F.col("id") == 1).select("job_date").limit(1)
-    return F.broadcast(day.withColumn("_today", F.lit(True)))
-
-
 def on_published_day(rows: DataFrame, published_day: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     """Rows with a flag ``_today``; rows without a day take their job's."""
     if jobs is not None:
-        today = jobs.select(F.col("id").alias("job_id"), "job_date").join(_today(published_day), "job_date")
-        flagged = rows.join(today.select("job_id", "_today"), "job_id", "left")
+        today = published_jobs(jobs, published_day).select(F.col("id").alias("job_id"), F.lit(True).alias("_today"))
+        flagged = rows.join(today, "job_id", "left")
     else:
-        flagged = rows.join(_today(published_day), "job_date", "left")
+        flagged = rows.withColumn("_today", on_day(published_day))
     return flagged.withColumn("_today", F.coalesce("_today", F.lit(False)))
 
 

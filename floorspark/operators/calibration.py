@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
-from floorspark.plans.ordered import OrderedGroups
-from floorspark.plans.skew import lookup_join, stored_small
+from floorspark.plans.ordered import OrderedGroups, number_slice
+from floorspark.plans.skew import lookup_join
 
 # Fixed values.
 HALF_BOX = 12
@@ -69,32 +69,31 @@ def fit(points: DataFrame) -> DataFrame:
     )
 
 
-def fit_history(points: DataFrame, **sizing) -> DataFrame:
+def fit_history(points: DataFrame) -> DataFrame:
     """The fit after each added point, in arrival order ``seq``.
 
     Values are taken relative to the device's overall means before they are
-    summed, which keeps long running sums accurate. The table of means has one
-    row per device; it is stored, and broadcast if that is few.
+    summed, and as decimals, which keeps long running sums exact.
     """
-    means = stored_small(
-        points.groupBy("device").agg(F.avg("idx").alias("_mx"), F.avg("temp").alias("_my"), F.count("*").alias("count"))
-    )
-    centred = points.join(means.drop("count"), "device").withColumns(
+    means = points.groupBy("device").agg(F.avg("idx").alias("_mx"), F.avg("temp").alias("_my"))
+    centred = lookup_join(points, means, ["device"]).withColumns(
         {"_x": F.col("idx") - F.col("_mx"), "_y": F.col("temp") - F.col("_my")}
     )
     x, y = F.col("_x"), F.col("_y")
+    exact = lambda value: value.try_cast("decimal(28,15)")
     running = (
-        OrderedGroups(centred, ["device"], [F.col("seq").asc()], sizes=means, **sizing)
+        OrderedGroups(centred, ["device"], [F.col("seq").asc()], number_slice(F.col("seq"), 1 << 16))
         .running(
             n=("sum", F.lit(1).cast("long")),
-            _sx=("sum", x),
-            _sy=("sum", y),
-            _sxx=("sum", x * x),
-            _sxy=("sum", x * y),
-            _syy=("sum", y * y),
+            _sx=("sum", exact(x)),
+            _sy=("sum", exact(y)),
+            _sxx=("sum", exact(x * x)),
+            _sxy=("sum", exact(x * y)),
+            _syy=("sum", exact(y * y)),
         )
         .rows
     )
+    running = running.withColumns({c: F.col(c).cast("double") for c in ("_sx", "_sy", "_sxx", "_sxy", "_syy")})
     n, sx, sy = F.col("n"), F.col("_sx"), F.col("_sy")
     line = _line(
         n,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.functions.text import trimmed_or
-from floorspark.plans.ordered import OrderedGroups
+from floorspark.plans.ordered import OrderedGroups, time_slice
 from floorspark.plans.skew import lookup_join
 
 
@@ -37,12 +37,20 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, order_by: str = "
     Order by its own time stamp to let the newest edit win instead.
     """
     newest = latest(incoming, key, order_by, *([] if order_by == "seq" else ["seq"])).select(*existing.columns)
-    return existing.join(newest.select(key), key, "left_anti").unionByName(newest)
+    fields = [c for c in existing.columns if c != key]
+    row = lambda table, name: table.select(key, F.struct(*fields).alias(name))
+    both = row(existing, "_old").join(row(newest, "_new"), key, "full")
+    return both.select(key, F.coalesce("_new", "_old").alias("_row")).select(
+        *[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in existing.columns]
+    )
 
 
-def insert_missing(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Insert rows whose key is free; others are ignored, one row per new key."""
-    fresh = incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+def insert_missing(existing: DataFrame, incoming: DataFrame, key: str, arrival: str = "seq") -> DataFrame:
+    """Insert rows whose key is free; of several for a key the first to arrive."""
+    fields = [c for c in existing.columns if c != key]
+    first = incoming.groupBy(key).agg(F.min_by(F.struct(*fields), arrival).alias("_row"))
+    first = first.select(key, *[F.col(f"_row.{c}").alias(c) for c in fields])
+    fresh = first.join(existing.select(key), key, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
 
 
@@ -69,11 +77,10 @@ def mark_read(chat: DataFrame, day: DataFrame, read_at: Column, read_by: str) ->
 
     Stamped messages keep their stamp, so a second run changes nothing.
     """
-    today = day.where(F.col("id") == 1).select("job_date", F.lit(True).alias("_today")).limit(1)
-    unread = F.col("_today") & (F.col("sender_role") == "admin") & F.col("read_at").isNull()
+    today = F.col("job_date") == day.where(F.col("id") == 1).select("job_date").scalar()
+    unread = today & (F.col("sender_role") == "admin") & F.col("read_at").isNull()
     return (
-        chat.join(F.broadcast(today), "job_date", "left")
-        .withColumn("_mark", F.coalesce(unread, F.lit(False)))
+        chat.withColumn("_mark", F.coalesce(unread, F.lit(False)))
         .withColumns(
             {
                 "read_at": F.when(F.col("_mark"), read_at).otherwise(F.col("read_at")),
@@ -171,13 +178,13 @@ def publish(published_day: DataFrame, day: DataFrame) -> DataFrame:
     return published_day.withColumn("job_date", day.select("job_date").scalar())
 
 
-def fill_sort_order(jobs: DataFrame, **sizing) -> DataFrame:
+def fill_sort_order(jobs: DataFrame) -> DataFrame:
     """Give unordered jobs their place by creation within the day.
 
     Every job of the day is numbered; only missing orders are filled.
     """
     order = [F.col("created_at").asc_nulls_last(), F.col("id").asc()]
-    numbered = OrderedGroups(jobs, ["job_date"], order, **sizing).numbered("_rn").rows
+    numbered = OrderedGroups(jobs, ["job_date"], order, time_slice(F.col("created_at"), 3600, F.col("id"))).numbered("_rn").rows
     return numbered.withColumn("sort_order", F.coalesce("sort_order", "_rn")).withColumnRenamed("_rn", "created_position")
 
 

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.functions.text import clock_time, display_author, escape_markup
-from floorspark.plans.ordered import OrderedGroups
+from floorspark.plans.ordered import OrderedGroups, time_slice
 
 
-def thread(chat: DataFrame, **sizing) -> DataFrame:
+def thread(chat: DataFrame) -> DataFrame:
     """Each day's messages in order, as they are displayed.
 
     Only keys and times are sorted; the texts join by id.
     """
-    order = [F.col("created_at").asc(), F.col("id").asc()]
+    order = [F.col("created_at").asc_nulls_last(), F.col("id").asc()]
     keys = chat.select("job_date", "created_at", "id")
-    placed = OrderedGroups(keys, ["job_date"], order, **sizing).numbered("place").rows
+    placed = OrderedGroups(keys, ["job_date"], order, time_slice(F.col("created_at"), 3600)).numbered("place").rows
     return chat.join(placed.select("id", "place"), "id").select(
         "job_date",
         "place",

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from floorspark.functions.text import leading_int
 from floorspark.operators.changes import latest
-from floorspark.plans.ordered import OrderedGroups
+from floorspark.plans.ordered import OrderedGroups, number_slice, time_slice
 
 BOXES = ["a", "b"]
+# Edits of one job per slice: by arrival number, and by day.
+SEQ_SLICE, DAY_SECONDS = 1 << 16, 86_400
 
 
 def _step() -> Column:
@@ -20,18 +22,19 @@ def _steps(edits: DataFrame) -> DataFrame:
     return edits.where(F.col("kind").isin("plus", "minus"))
 
 
-def _running_steps(edits: DataFrame, **sizing) -> OrderedGroups:
-    ordered = OrderedGroups(_steps(edits), ["job_id", "box"], [F.col("seq").asc()], **sizing)
+def _running_steps(edits: DataFrame) -> OrderedGroups:
+    cut = number_slice(F.col("seq"), SEQ_SLICE)
+    ordered = OrderedGroups(_steps(edits), ["job_id", "box"], [F.col("seq").asc()], cut)
     return ordered.running(_sum=("sum", _step()))
 
 
-def clamped_counter(edits: DataFrame, **sizing) -> DataFrame:
+def clamped_counter(edits: DataFrame) -> DataFrame:
     """Load counter after each step; it never drops below zero.
 
     A counter that stops at zero equals the plain running sum less its lowest
     point below zero, so two running aggregates replace the step-by-step loop.
     """
-    ordered = _running_steps(edits, **sizing).running(_low=("min", F.col("_sum")))
+    ordered = _running_steps(edits).running(_low=("min", F.col("_sum")))
     return ordered.rows.select(
         "job_id", "box", "seq", (F.col("_sum") - F.least(F.lit(0), F.col("_low"))).cast("long").alias("value")
     )
@@ -46,12 +49,12 @@ def typed_total(edits: DataFrame) -> DataFrame:
     )
 
 
-def fold(edits: DataFrame, stored: DataFrame, **sizing) -> DataFrame:
+def fold(edits: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored counts with a batch of edits applied: one row per edited job.
 
     ``stored`` needs one row per job at most and seeds the counters.
     """
-    counters = _running_steps(edits, **sizing).rows.groupBy("job_id").agg(
+    counters = _running_steps(edits).rows.groupBy("job_id").agg(
         *[F.sum(F.when(F.col("box") == b, _step())).alias(f"_sum_{b}") for b in BOXES],
         *[F.min(F.when(F.col("box") == b, F.col("_sum"))).alias(f"_low_{b}") for b in BOXES],
     )
@@ -103,11 +106,11 @@ def fold(edits: DataFrame, stored: DataFrame, **sizing) -> DataFrame:
     )
 
 
-def bursts(edits: DataFrame, gap_seconds: int, **sizing) -> DataFrame:
+def bursts(edits: DataFrame, gap_seconds: int) -> DataFrame:
     """The last edit of each burst: nothing follows it within the gap."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     ordered = OrderedGroups(
-        edits.withColumn("_at", micros), ["job_id"], [F.col("_at").asc(), F.col("seq").asc()], **sizing
+        edits.withColumn("_at", micros), ["job_id"], [F.col("_at").asc_nulls_last(), F.col("seq").asc()], time_slice(F.col("ts"), DAY_SECONDS)
     ).following("_next", F.col("_at"))
     quiet = F.col("_next").isNull() | (F.col("_next") - F.col("_at") > gap_seconds * 1_000_000)
     return ordered.rows.where(quiet).drop("_at", "_next")

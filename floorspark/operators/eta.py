@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
-from floorspark.operators.views import list_key, list_order
+from floorspark.operators.views import list_key, list_order, list_slice
 from floorspark.plans.ordered import OrderedGroups
 from floorspark.plans.skew import lookup_join
 
@@ -32,34 +32,36 @@ def current_jobs(open_jobs: DataFrame, pace: DataFrame) -> DataFrame:
     )
 
 
-def project(open_jobs: DataFrame, pace: DataFrame, sizes: DataFrame | None = None, **sizing) -> DataFrame:
+def project(open_jobs: DataFrame, pace: DataFrame, plain_jobs: DataFrame | None = None) -> DataFrame:
     """Expected start of every open job, in ms after the day's start.
 
     No estimate without a start or a positive rate, none above the current job
     and none for the current job itself. Each job takes its planned tonnage at
     the day's rate plus a changeover; the current job's tonnage is scaled by
-    the quantity left, if known. The jobs are shuffled and sorted once: their
-    place in the list and the time before them come from the same ordered
-    groups. ``sizes`` may hold the jobs per day as ``count``, where counting
-    ``open_jobs`` would repeat its joins.
+    the quantity left, if known. Places and times before come from one pass
+    over the ordered groups; times are added as decimals. ``plain_jobs`` may be
+    the same jobs without what was joined to them, to find the current ones by.
     """
     rate = F.col("tons_per_hour").cast("double")
     usable = F.col("started_at").isNotNull() & (rate > 0) & (rate < float("inf"))
-    jobs = lookup_join(open_jobs, live_pace(open_jobs, pace), ["job_date"]).withColumns(
+    plain_jobs = open_jobs if plain_jobs is None else plain_jobs
+    first = plain_jobs.groupBy("job_date").agg(F.min(list_key()).alias("_first"))
+    days = first.join(live_pace(plain_jobs, pace), "job_date", "left")
+    days = days.withColumn("_current", F.coalesce("live_key", "_first")).drop("_first", "live_key")
+    jobs = lookup_join(open_jobs, days, ["job_date"]).withColumns(
         {"_key": list_key(), "_usable": F.coalesce(usable, F.lit(False))}
     )
-    sizes = open_jobs.groupBy("job_date").count() if sizes is None else sizes
-    ordered = OrderedGroups(jobs, ["job_date"], list_order(), sizes=sizes, **sizing).numbered("day_position")
-
-    named = F.col("live_key").isNotNull()
-    is_current = F.when(named, F.col("_key") == F.col("live_key")).otherwise(F.col("day_position") == 1)
-    is_below = F.when(named, F.col("_key") > F.col("live_key")).otherwise(F.col("day_position") > 1)
+    is_current, is_below = F.col("_key") == F.col("_current"), F.col("_key") > F.col("_current")
     scaled = is_current & F.col("remaining_qty").isNotNull() & (F.coalesce("planned_qty", F.lit(0)) != 0)
     tonnes = fx.planned_tonnage()
     tonnes = F.when(scaled, tonnes * (F.col("remaining_qty").cast("double") / F.col("planned_qty"))).otherwise(tonnes)
     takes = F.when(is_current | is_below, tonnes / rate * fx.MS_PER_HOUR + fx.CHANGEOVER_MS)
-    ordered = ordered.select_more(_takes=F.when(F.col("_usable"), takes))
-    running = ordered.running(inclusive=False, _before=("sum", F.col("_takes"))).rows
+    exact = F.when(F.col("_usable"), takes).try_cast("decimal(36,16)")
+    ordered = OrderedGroups(jobs.withColumn("_takes", exact), ["job_date"], list_order(), list_slice())
+    one = F.lit(1).cast("long")
+    running = ordered.running(day_position=("sum", one), _upto=("sum", F.col("_takes"))).rows
+    before = (F.col("_upto") - F.coalesce("_takes", F.lit(0))).cast("double")
+    running = running.withColumn("_before", F.when(F.col("day_position") > 1, before))
     offset = F.when(F.col("_usable") & is_below, fx.nearest(F.col("_before")))
     return running.withColumns(
         {
@@ -67,4 +69,4 @@ def project(open_jobs: DataFrame, pace: DataFrame, sizes: DataFrame | None = Non
             "eta_offset_ms": offset,
             "eta_at": F.timestamp_millis(F.unix_millis(F.col("started_at").cast("timestamp")) + offset),
         }
-    ).drop("_key", "_usable", "_takes", "_before", "live_key")
+    ).drop("_key", "_usable", "_takes", "_upto", "_before", "_current")

@@ -9,15 +9,14 @@ from floorspark.functions.text import clock_time
 from floorspark.operators import changes, eta, ingest, parts, views
 
 
-def floor_lines(jobs: DataFrame, counts: DataFrame, pace: DataFrame, notes: DataFrame, **sizing) -> DataFrame:
+def floor_lines(jobs: DataFrame, counts: DataFrame, pace: DataFrame, notes: DataFrame) -> DataFrame:
     """Open jobs of every day with their place, totals, estimates and flags.
 
     One plan: counts join by job, the pace by day, note counts by part, and the
     day's order is sorted once.
     """
     listed = views.trolley_jobs(jobs, counts).withColumnRenamed("job_id", "id")
-    per_day = jobs.where(fx.is_open()).groupBy("job_date").count()
-    etas = eta.project(listed, pace, sizes=per_day, **sizing)
+    etas = eta.project(listed, pace, plain_jobs=jobs.where(fx.is_open()))
     return views.badges(etas, notes).withColumnRenamed("id", "job_id")
 
 

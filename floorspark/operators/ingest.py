@@ -23,7 +23,7 @@ def admission(role: Column | None = None) -> Column:
         F.when(~role.eqNullSafe(F.lit("authenticated")), "authenticated caller required")
         .when(F.coalesce("image_len", F.lit(0)) == 0, "missing imageBase64")
         .when(F.col("image_len") > MAX_IMAGE_LENGTH, "image too large")
-        .when(~F.col("upstream_status").between(200, 299), "upstream error")
+        .when(~F.coalesce(F.col("upstream_status").between(200, 299), F.lit(False)), "upstream error")
         .otherwise("ok")
     )
 

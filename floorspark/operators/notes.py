@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from floorspark.functions import formulas as fx
 from floorspark.functions.text import escape_markup
 from floorspark.operators.views import published_jobs
-from floorspark.plans.ordered import OrderedGroups
+from floorspark.plans.ordered import OrderedGroups, number_slice
 from floorspark.plans.skew import lookup_join
 
 
@@ -23,16 +23,17 @@ def notes_for(parts: DataFrame, notes: DataFrame) -> DataFrame:
     return lookup_join(notes.where(F.col("visible_to_trolley")), wanted, ["item_number"], "left_semi")
 
 
-def newest_first(notes: DataFrame, **sizing) -> DataFrame:
+def newest_first(notes: DataFrame) -> DataFrame:
     """Visible notes with their place in the part's list, newest first.
 
     The list is ordered once per part, one row per note, however many jobs
     show the part. Only keys and times are sorted; the texts join by id.
     """
     shown = notes.where(F.col("visible_to_trolley") & fx.not_blank("item_number"))
-    order = [F.col("created_at").desc(), F.col("id").desc()]
+    order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
+    cut = number_slice(-F.unix_seconds(F.col("created_at").cast("timestamp")), 86_400, -F.col("id"))
     keys = shown.select("item_number", "created_at", "id")
-    placed = OrderedGroups(keys, ["item_number"], order, **sizing).numbered("place").rows
+    placed = OrderedGroups(keys, ["item_number"], order, cut).numbered("place").rows
     return shown.join(placed.select("id", "place"), "id").select(
         "item_number", "place", F.col("id").alias("note_id"), escape_markup("body").alias("body"), "created_at"
     )

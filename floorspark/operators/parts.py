@@ -67,6 +67,18 @@ def minimal_references(job_notes: DataFrame, jobs: DataFrame, reference: DataFra
     return lookup_join(wanted, reference.select("item_number").distinct(), ["item_number"], "left_anti")
 
 
+def new_references(job_notes: DataFrame, jobs: DataFrame, reference: DataFrame) -> DataFrame:
+    """The minimal references that noted parts without any record get.
+
+    A new record's id derives from its six fields, so a second run makes the
+    same ones. Such ids are negative and cannot meet those given out in order.
+    """
+    wanted = minimal_references(job_notes, jobs, reference)
+    named = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in VARIANT])
+    digest = F.conv(F.substring(F.sha2(named, 256), 1, 15), 16, 10).cast("long")
+    return wanted.withColumn("id", -1 - digest)
+
+
 def orphan_notes(job_notes: DataFrame, jobs: DataFrame) -> DataFrame:
     """How many notes belong to a job that names no part."""
     per_job = job_notes.groupBy("job_id").agg(F.count("*").alias("_notes"))
@@ -90,14 +102,14 @@ def migrate_job_notes(
 ) -> DataFrame:
     """Job notes as part notes, attached to each part's latest record.
 
-    Parts without a record get a minimal one first; notes already present
-    (same part, body and time) are left out, so a re-run adds nothing. A part's
-    minimal records have no id or update time yet, so any of them will do: the
-    first variant stands for them and is marked by a null reference id.
+    Parts without a record get minimal ones first, see :func:`new_references`;
+    notes already present (same part, body and time) are left out, so a re-run
+    adds nothing. A part's minimal records have no update time, so the one with
+    the highest id takes the notes, as :func:`latest_reference` would choose.
     """
-    minimal = minimal_references(job_notes, jobs, reference).select("item_number").distinct()
+    created = new_references(job_notes, jobs, reference).groupBy("item_number").agg(F.max("id").alias("item_reference_id"))
     latest = latest_reference(reference).select("item_number", F.col("id").alias("item_reference_id"))
-    records = latest.unionByName(minimal.withColumn("item_reference_id", F.lit(None).cast("long")))
+    records = latest.unionByName(created)
     notes = noted_jobs(job_notes, jobs.where(fx.not_blank("item_number")).select("id", "item_number")).select(
         "note_id", "item_number", "body", "visible_to_trolley", F.col("noted_at").alias("created_at")
     )
@@ -132,7 +144,7 @@ def carry_forward(jobs: DataFrame, counts: DataFrame) -> DataFrame:
     )
     earlier = Window.partitionBy("am_number").orderBy("job_date").rowsBetween(Window.unboundedPreceding, -1)
     sources = per_day.withColumn("_source", F.max("_latest").over(earlier)).where(F.col("_source").isNotNull())
-    uncounted = named.join(counts.select(F.col("job_id").alias("id")), "id", "left_anti")
+    uncounted = counted.where(F.col("job_id").isNull()).select("id", "am_number", "job_date")
     carried = lookup_join(uncounted, sources.select("am_number", "job_date", "_source"), ["am_number", "job_date"], "inner")
     return carried.select(
         F.col("id").alias("job_id"), F.col("_source.id").alias("source_job_id"), *[f"_source.{c}" for c in boxes]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
-from floorspark.plans.ordered import OrderedGroups
+from floorspark.plans.ordered import OrderedGroups, number_slice
 from floorspark.plans.skew import lookup_join
 
 
@@ -15,6 +15,12 @@ def list_order() -> list[Column]:
     return [F.col("sort_order").asc_nulls_last(), F.col("id").asc()]
 
 
+def list_slice() -> Column:
+    """Slices along the list order: order values an hour apart in epoch seconds,
+    unordered jobs by id."""
+    return number_slice(F.col("sort_order"), 3600, F.col("id"))
+
+
 def list_key(sort_order: str = "sort_order", id: str = "id") -> Column:
     """The list order as one comparable value."""
     order = F.col(sort_order)
@@ -78,12 +84,17 @@ def job_summary(jobs: DataFrame, counts: DataFrame, counted: Column | None = Non
 
 
 def published_jobs(jobs: DataFrame, published_day: DataFrame) -> DataFrame:
-    """Jobs of the published day; none when no day is published.
+    """Jobs of the published day; none when no day is published."""
+    return jobs.where(on_day(published_day))
+
+
+def on_day(published_day: DataFrame) -> Column:
+    """Whether a row's job_date is the published one; null when none is.
 
-    ``published_day`` holds one row at most, its key being fixed to 1.
+    ``published_day`` holds one row at most, its key being fixed to 1. A second
+    row is an error and raises one.
     """
-    day = published_day.where(F.col("id") == 1).select("job_date").limit(1)
-    return jobs.join(F.broadcast(day), "job_date", "left_semi")
+    return F.col("job_date") == published_day.where(F.col("id") == 1).select("job_date").scalar()
 
 
 def shown_day(published_day: DataFrame, as_of: Column) -> DataFrame:
@@ -92,14 +103,14 @@ def shown_day(published_day: DataFrame, as_of: Column) -> DataFrame:
     return published.select(F.lit(1).alias("id"), F.coalesce("_day", as_of.cast("date")).alias("job_date"))
 
 
-def positions(rows: DataFrame, **sizing) -> DataFrame:
+def positions(rows: DataFrame) -> DataFrame:
     """Place of each job in its day's list."""
-    return OrderedGroups(rows, ["job_date"], list_order(), **sizing).numbered("day_position").rows
+    return OrderedGroups(rows, ["job_date"], list_order(), list_slice()).numbered("day_position").rows
 
 
-def listed(rows: DataFrame, **sizing) -> DataFrame:
+def listed(rows: DataFrame) -> DataFrame:
     """Newest day first, manual order inside a day; for the final output only."""
-    return positions(rows, **sizing).orderBy(F.col("job_date").desc(), "day_position")
+    return positions(rows).orderBy(F.col("job_date").desc(), "day_position")
 
 
 def badges(etas: DataFrame, notes: DataFrame) -> DataFrame:

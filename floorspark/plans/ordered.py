@@ -1,31 +1,38 @@
 """Running values over ordered groups of any size.
 
-A window partitioned by a group key sorts each group inside one task. When a
-group is too large for that, the groups are cut into ordered slices with a range
-shuffle, each slice is scanned on its own, and what the slices before it add up
-to is joined in. One row per slice is all that the slices exchange.
+A window partitioned by a group key sorts each group inside one task. Groups are
+therefore cut into slices by a fixed function of the order, each slice is sorted
+and scanned on its own, and what the slices before it add up to is joined in.
+The plan is the same at every size, nothing runs while it is built, and nothing
+is stored. Sums must be of whole numbers or decimals, so that the cuts cannot
+change a digit.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floorspark.session import stored
-
 SLICE = "_slice"
-AUTO = -1
-# Groups up to the first size always take a plain window, beyond the second never.
-ALWAYS_PLAIN, NEVER_PLAIN = 5_000_000, 50_000_000
-SLICE_ROWS = 20_000_000
-# Slicing writes, reads and shuffles the rows again, on all cores at once.
-SLICING_COST = 4
 
 _AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def number_slice(value: Column, width: int, then: Column | None = None, then_width: int = 1 << 16) -> Column:
+    """Slices of ``width`` along a number or null; nulls come last, cut by
+    ``then``, which orders them."""
+    last = F.floor(then / then_width) if then is not None else F.lit(0).cast("long")
+    return F.struct(
+        value.isNull().alias("last"),
+        F.when(value.isNull(), last).otherwise(F.floor(value / width)).cast("long").alias("slice"),
+    )
+
+
+def time_slice(value: Column, seconds: int, then: Column | None = None) -> Column:
+    """Slices of so many seconds."""
+    return number_slice(F.unix_seconds(value.cast("timestamp")), seconds, then)
+
+
 def _join_values(how: str, before: Column, here: Column) -> Column:
     if how == "sum":
         return F.when(before.isNull(), here).when(here.isNull(), before).otherwise(before + here)
@@ -35,55 +42,20 @@ def _join_values(how: str, before: Column, here: Column) -> Column:
 class OrderedGroups:
     """Rows in groups ``keys``, ordered by ``order`` inside each group.
 
-    ``order`` must identify a row within its group. Building it measures the
-    largest group: from ``sizes`` (one row per group with its ``count``), or by
-    one pre-aggregated count over the rows. By default a group is sliced when
-    one task would take longer over it than all cores take to slice the table.
-    ``max_group_rows`` sets the limit by hand; None skips measuring, for groups
-    the data model bounds.
+    ``order`` must identify a row within its group. ``cut`` names each row's
+    slice and must not fall along the order; slices should hold some ten
+    thousand rows of a group at most.
     """
 
-    def __init__(
-        self,
-        rows: DataFrame,
-        keys: list[str],
-        order: list[Column],
-        max_group_rows: int | None = AUTO,
-        sizes: DataFrame | None = None,
-        _like: OrderedGroups | None = None,
-    ):
-        self.keys, self.order, self._rows = keys, order, rows
-        self.sliced, self._shared = (_like.sliced, _like._shared) if _like else (False, None)
-        if _like:
-            return
-        if max_group_rows is None:
-            return
-        if sizes is None:
-            sizes = rows.groupBy(*keys).count()
-        largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
-        limit, pieces = max_group_rows, math.ceil((total or 0) / max(max_group_rows, 1))
-        if max_group_rows == AUTO:
-            cores = rows.sparkSession.sparkContext.defaultParallelism
-            limit = min(max(ALWAYS_PLAIN, SLICING_COST * (total or 0) // cores), NEVER_PLAIN)
-            pieces = max(cores, math.ceil((total or 0) / SLICE_ROWS))
-        if (largest or 0) > limit:
-            # Stored, because the range bounds are sampled: a second evaluation
-            # could cut elsewhere.
-            cut = rows.repartitionByRange(max(2, pieces), *keys, *order)
-            self._rows = stored(cut.withColumn(SLICE, F.spark_partition_id()), "slices")
-            # Each cut between two slices falls into one group at most, so fewer
-            # groups than slices go on from one slice to another.
-            spans = self._rows.groupBy(*keys).agg(F.min(SLICE).alias("_from"), F.max(SLICE).alias("_to"))
-            groups = spans.where("_from < _to").select(*keys)
-            self._shared = stored(groups, "shared-groups")
-            self.sliced = True
+    def __init__(self, rows: DataFrame, keys: list[str], order: list[Column], cut: Column):
+        self.keys, self.order = keys, order
+        self._rows = rows.withColumn(SLICE, cut)
+        self._part = [*keys, SLICE]
 
     def _with(self, rows: DataFrame) -> OrderedGroups:
-        return OrderedGroups(rows, self.keys, self.order, _like=self)
-
-    @property
-    def _part(self) -> list[str]:
-        return [*self.keys, SLICE] if self.sliced else self.keys
+        more = object.__new__(OrderedGroups)
+        more.keys, more.order, more._part, more._rows = self.keys, self.order, self._part, rows
+        return more
 
     @property
     def rows(self) -> DataFrame:
@@ -93,20 +65,10 @@ class OrderedGroups:
         """Add row-wise columns."""
         return self._with(self._rows.withColumns(columns))
 
-    @staticmethod
-    def _same(other: DataFrame, keys: list[str]) -> tuple[DataFrame, list[Column]]:
-        """``other`` with its keys renamed, and the null-safe match on them."""
-        renamed = other.withColumnsRenamed({k: f"_key_{k}" for k in keys})
-        return renamed, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-
     def _carry(self, how: dict[str, tuple[str, Column]], later: bool = False) -> DataFrame:
-        """Per slice of a shared group, the aggregate over the slices before it
-        (or of the next one). Fewer rows than there are slice ends."""
-        groups, match = self._same(self._shared, self.keys)
-        totals = (
-            self._rows.join(F.broadcast(groups), match, "left_semi")
-            .groupBy(*self._part)
-            .agg(*[_AGGREGATES[kind](value).alias(name) for name, (kind, value) in how.items()])
+        """Per slice, the aggregate over the slices before it (or of the next one)."""
+        totals = self._rows.groupBy(*self._part).agg(
+            *[_AGGREGATES[kind](value).alias(name) for name, (kind, value) in how.items()]
         )
         window = Window.partitionBy(*self.keys).orderBy(SLICE)
         if later:
@@ -117,21 +79,20 @@ class OrderedGroups:
         return totals.select(*self._part, *carried)
 
     def _attach(self, rows: DataFrame, carried: DataFrame) -> DataFrame:
-        renamed, match = self._same(carried, self._part)
-        return rows.join(F.broadcast(renamed), match, "left").drop(*[f"_key_{k}" for k in self._part])
+        renamed = carried.withColumnsRenamed({k: f"_key_{k}" for k in self._part})
+        match = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in self._part]
+        return rows.join(renamed, match, "left").drop(*[f"_key_{k}" for k in self._part])
 
     def running(self, inclusive: bool = True, **columns: tuple[str, Column]) -> OrderedGroups:
         """Add running aggregates, given as ``name=("sum"|"min"|"max", value)``."""
         window = Window.partitionBy(*self._part).orderBy(*self.order)
         window = window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        rows = self._rows.withColumns(
+        rows = self._attach(self._rows, self._carry(columns)).withColumns(
             {name: _AGGREGATES[kind](value).over(window) for name, (kind, value) in columns.items()}
         )
-        if self.sliced:
-            rows = self._attach(rows, self._carry(columns))
-            rows = rows.withColumns(
-                {n: _join_values(kind, F.col(f"_carry_{n}"), F.col(n)) for n, (kind, _) in columns.items()}
-            ).drop(*[f"_carry_{n}" for n in columns])
+        rows = rows.withColumns(
+            {n: _join_values(kind, F.col(f"_carry_{n}"), F.col(n)) for n, (kind, _) in columns.items()}
+        ).drop(*[f"_carry_{n}" for n in columns])
         return self._with(rows)
 
     def numbered(self, name: str) -> OrderedGroups:
@@ -141,8 +102,6 @@ class OrderedGroups:
     def following(self, name: str, value: Column) -> OrderedGroups:
         """Add ``value`` of the next row; ``value`` must not fall along the order."""
         window = Window.partitionBy(*self._part).orderBy(*self.order)
-        rows = self._rows.withColumn(name, F.lead(value).over(window))
-        if self.sliced:
-            rows = self._attach(rows, self._carry({name: ("min", value)}, later=True))
-            rows = rows.withColumn(name, F.coalesce(F.col(name), F.col(f"_carry_{name}"))).drop(f"_carry_{name}")
+        rows = self._attach(self._rows, self._carry({name: ("min", value)}, later=True))
+        rows = rows.withColumn(name, F.coalesce(F.lead(value).over(window), F.col(f"_carry_{name}"))).drop(f"_carry_{name}")
         return self._with(rows)

@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floorspark.session import stored
-
-SMALL_ROWS = 100_000
-
 
 def _copied(name: str, kind: T.DataType) -> Column:
     """The same value as a new expression, which no longer counts as the
@@ -17,8 +13,14 @@ def _copied(name: str, kind: T.DataType) -> Column:
     value = F.col(name)
     if isinstance(kind, T.StringType):
         return F.concat(value, F.lit(""))
+    if isinstance(kind, T.BinaryType):
+        return F.concat(value, F.lit(b""))
     if isinstance(kind, T.DateType):
         return F.date_add(value, 0)
+    if isinstance(kind, T.TimestampType):
+        return value + F.expr("interval 0 seconds")
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return (value + F.lit(0).cast(kind)).cast(kind)
     if isinstance(kind, T.IntegralType):
         return value.bitwiseOR(F.lit(0).cast(kind))
     return value
@@ -35,13 +37,3 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "
     kinds = {f.name: f.dataType for f in table.schema.fields}
     moved = table.select(*[_copied(c, kinds[c]).alias(c) if c in keys else F.col(c) for c in table.columns])
     return rows.join(moved, keys, how)
-
-
-def stored_small(table: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """The table stored once, marked for broadcast if it is small enough.
-
-    For tables a stream joins with: their size is checked before it starts, and
-    a larger table is joined by shuffling.
-    """
-    kept = stored(table, "small")
-    return F.broadcast(kept) if kept.count() <= max_rows else kept

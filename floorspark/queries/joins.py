@@ -58,8 +58,7 @@ def noted_jobs(t: Tables) -> DataFrame:
     "select j.id, j.job_date from jobs j, published_day p where p.id = 1 and j.job_date = p.job_date",
 )
 def published_day_jobs(t: Tables) -> DataFrame:
-    day = t.published_day.where("id = 1").select("job_date").limit(1)
-    return t.jobs.join(F.broadcast(day), "job_date").select("id", "job_date")
+    return views.published_jobs(t.jobs, t.published_day).select("id", "job_date")
 
 
 @query(
@@ -219,16 +218,34 @@ def remembered_dipping(t: Tables) -> DataFrame:
     return parts.remember_dipping(t.jobs, t.dip_items).select("id", "needs_dipping")
 
 
+# The minimal references of noted parts without any, with ids from their fields.
+CREATED_REFERENCES = """created as (
+  select *, -1 - cast('0x' || left(sha256(concat_ws('|', coalesce(am_number, '?'), item_number, coalesce(grade, '?'),
+    coalesce(cast(weight_kg as varchar), '?'), cast(is_doubles as varchar), cast(needs_dipping as varchar))), 15) as bigint) as id
+  from (select distinct am_number, item_number, grade, weight_kg, ifnull(is_doubles, false) as is_doubles,
+    ifnull(needs_dipping, false) as needs_dipping
+    from jobs where id in (select job_id from job_notes) and item_number <> ''
+      and item_number not in (select item_number from item_reference where item_number is not null)) m)"""
+
+
+@query("jn_18_references", "jobs job_notes item_reference", f"with {CREATED_REFERENCES} select id, am_number, item_number from created")
+def created_references(t: Tables) -> DataFrame:
+    return parts.new_references(t.job_notes, t.jobs, t.item_reference).select("id", "am_number", "item_number")
+
+
 @query(
     "jn_18",
     "jobs job_notes item_reference notes",
     """with named as (select n.id as note_id, j.item_number, n.body, n.created_at, n.visible_to_trolley
   from job_notes n join jobs j on j.id = n.job_id where length(j.item_number) > 0),
 record as (select item_number, id from item_reference
-  qualify rank() over (partition by item_number order by updated_at desc nulls last, id desc) = 1)
+  qualify rank() over (partition by item_number order by updated_at desc nulls last, id desc) = 1
+  union all select item_number, max(id) from created group by item_number)
 select note_id, item_number, r.id as item_reference_id, visible_to_trolley
 from named left join record r using (item_number)
-where (item_number, body, created_at) not in (select (item_number, body, created_at) from notes)""",
+where (item_number, body, created_at) not in (select (item_number, body, created_at) from notes)""".replace(
+        "),\nrecord as", f"),\n{CREATED_REFERENCES},\nrecord as"
+    ),
 )
 def migrated_notes(t: Tables) -> DataFrame:
     migrated = parts.migrate_job_notes(t.job_notes, t.jobs, t.item_reference, t.notes)

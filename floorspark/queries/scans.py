@@ -36,8 +36,7 @@ def day_scan(t: Tables) -> DataFrame:
 @query(
     "sc_03",
     "jobs job_pace",
-    """with rated as (select * from job_pace where tons_per_hour > 0
-  union all select * from job_pace where remaining_qty = 0)
+    """with rated as (select * from job_pace union all select * from job_pace where remaining_qty = 0)
 select d.job_date, case count(r.job_date) when 0 then 'missing' when 1 then 'ok' else 'multiple' end as status,
  case when count(r.job_date) = 1 then min(r.current_job_id) end as current_job_id,
  case when count(r.job_date) = 1 then min(r.remaining_qty) end as remaining_qty
@@ -45,7 +44,7 @@ from (select distinct job_date from jobs) d left join rated r on r.job_date = d.
 )
 def single_lookup(t: Tables) -> DataFrame:
     pace = t.job_pace
-    rated = pace.where("tons_per_hour > 0").unionByName(pace.where("remaining_qty = 0"))
+    rated = pace.unionByName(pace.where("remaining_qty = 0"))
     days = t.jobs.select("job_date").distinct()
     return views.lookup(days, rated, "job_date", ["current_job_id", "remaining_qty"])
 
@@ -157,14 +156,15 @@ def upserted_counts(t: Tables) -> DataFrame:
 @query(
     "sc_10",
     "jobs dip_items",
-    """select distinct item_number, true as needs_dipping from (select item_number from dip_items
-  union all select item_number from jobs where item_number <> '' and needs_dipping) d""",
+    """select item_number, true as needs_dipping, cast(floor(epoch(arg_min(d.moment, d.arrival))) as bigint) as updated_at
+from (select item_number, updated_at as moment, -1 as arrival from dip_items
+  union all select item_number, created_at, id from jobs where item_number <> '' and needs_dipping) d group by item_number""",
 )
 def inserted_missing(t: Tables) -> DataFrame:
     ticked = t.jobs.where(F.col("needs_dipping") & fx.not_blank("item_number")).select(
-        "item_number", "needs_dipping", F.col("created_at").alias("updated_at")
+        "item_number", "needs_dipping", F.col("created_at").alias("updated_at"), F.col("id").alias("seq")
     )
-    return changes.insert_missing(t.dip_items, ticked, "item_number").select("item_number", "needs_dipping")
+    return plain(changes.insert_missing(t.dip_items, ticked, "item_number").select("item_number", "needs_dipping", "updated_at"))
 
 
 DIPPING_TICKS = """ticks as (select j.item_number, max(g.ts) as learned_at from toggles g join jobs j on j.id = g.job_id
@@ -282,17 +282,16 @@ def sample_box(t: Tables) -> DataFrame:
 @query(
     "sc_19",
     "app_users",
-    """select c.c_custkey as user_id, u.name, case when c.c_acctbal > 0 then 'full_access' else 'view_only' end as permission,
+    """select c.c_custkey as user_id, u.name, case when c.c_acctbal > 0 then 'full_access' else u.permission end as permission,
  case when c.c_acctbal > 0 then true else u.is_owner end as is_owner
-from customer c join app_users u on u.user_id = c.c_custkey where c.c_acctbal > 0 or u.permission = 'view_only'""",
+from customer c join app_users u on u.user_id = c.c_custkey""",
 )
 def partial_upsert(t: Tables) -> DataFrame:
-    existing = t.app_users.where(F.col("permission") == "view_only")
     owners = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
     incoming = t.app_users.join(owners, "user_id", "left_semi").withColumns(
         {"permission": F.lit("full_access"), "is_owner": F.lit(True)}
     )
-    merged = changes.upsert_fields(existing, incoming, "user_id", ["is_owner", "permission"])
+    merged = changes.upsert_fields(t.app_users, incoming, "user_id", ["is_owner", "permission"])
     return merged.select("user_id", "name", "permission", "is_owner")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorspark.operators import calibration, changes, edits
-from floorspark.plans.skew import stored_small
+from floorspark.operators import calibration, changes, edits, views
+from floorspark.session import stored
 from floorspark.streaming.run import ChangeLog
 
 COUNT_COLUMNS = (
@@ -80,8 +80,7 @@ def follow_replays(saves: DataFrame, jobs: DataFrame, name: str, **options) -> C
 
 def day_feed(messages: DataFrame, published_day: DataFrame) -> DataFrame:
     """Messages of the published day as they arrive."""
-    day = published_day.where(F.col("id") == 1).select("job_date").limit(1)
-    return messages.join(F.broadcast(day), "job_date", "left_semi")
+    return messages.where(views.on_day(published_day))
 
 
 def follow_office_messages(messages: DataFrame, name: str, **options) -> ChangeLog:
@@ -117,7 +116,7 @@ def live_temperatures(pixels: DataFrame, fits: DataFrame, width: int, height: in
     box = calibration.centre_box(pixels.where(~F.col("frozen")), width, height)
     timed = box.withWatermark("captured_at", delay)
     frames = calibration.frame_index(timed, "captured_at")
-    return calibration.scored(frames, fits, lambda rows, lines, keys: rows.join(stored_small(lines), keys, "left"))
+    return calibration.scored(frames, fits, lambda rows, lines, keys: rows.join(stored(lines, "fits"), keys, "left"))
 
 
 def winners(saves: DataFrame) -> DataFrame:

@@ -91,14 +91,13 @@ C = job(3, am_number="C", sort_order=3)
         (1, None, 12, None, {}),
     ],
 )
-@pytest.mark.parametrize("largest", [1, 1000])
-def test_eta(spark, current, left, tph, started, expected, largest):
+def test_eta(spark, current, left, tph, started, expected):
     pace = {"job_date": DAY, "current_job_id": current, "started_at": started}
     pace |= {"tons_per_hour": tph and Decimal(tph), "remaining_qty": None if left is None else Decimal(left)}
     if tph == 0:
         pace["tons_per_hour"] = Decimal(0)
     jobs = jobs_table(spark, [C, A, B])
-    rows = eta.project(jobs, table(spark, "job_pace", [pace]), max_group_rows=largest)
+    rows = eta.project(jobs, table(spark, "job_pace", [pace]))
     shown = rows.select("id", tx.clock_time("eta_at").alias("eta"), "eta_offset_ms").collect()
     assert {r["id"]: r["eta"] for r in shown if r["eta"]} == expected
     if left == 25:
@@ -110,8 +109,9 @@ def test_eta_without_pace_row(spark):
     assert {r["id"]: (r["is_current"], r["eta_at"]) for r in rows} == {1: (True, None), 2: (False, None)}
 
 
-@pytest.mark.parametrize("largest", [4, 10**6])
-def test_clamped_counter_equals_loop(spark, largest):
+@pytest.mark.parametrize("width", [4, 10**6])
+def test_clamped_counter_equals_loop(spark, monkeypatch, width):
+    monkeypatch.setattr(edits, "SEQ_SLICE", width)
     rng, events, expected = random.Random(7), [], {}
     for job_id in range(30):
         value = 0
@@ -123,7 +123,7 @@ def test_clamped_counter_equals_loop(spark, largest):
             expected[job_id, seq] = value
     rng.shuffle(events)
     frame = spark.createDataFrame(events, "job_id long, seq long, box string, kind string")
-    rows = edits.clamped_counter(frame, max_group_rows=largest).collect()
+    rows = edits.clamped_counter(frame).collect()
     assert {(r["job_id"], r["seq"]): r["value"] for r in rows} == expected
 
 

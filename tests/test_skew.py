@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
-from floorspark.operators import calibration, changes, chat, edits, eta, notes, parts, views
-from floorspark.plans.ordered import OrderedGroups
-from floorspark.plans.skew import lookup_join, stored_small
+from floorspark.operators import calibration, edits, eta, notes, parts, views
+from floorspark.plans.ordered import SLICE, OrderedGroups, number_slice
+from floorspark.plans.skew import lookup_join
 from floorspark.sources.tables import Tables
 from tests.checks import DATA, spark_rows
 
@@ -25,42 +26,59 @@ def tables(spark):
     return t
 
 
-CASES = {
-    "positions": lambda t, n: views.positions(t.jobs, max_group_rows=n).select("id", "day_position"),
-    "sort order": lambda t, n: changes.fill_sort_order(t.jobs, max_group_rows=n).select("id", "created_position"),
-    "thread": lambda t, n: chat.thread(t.chat_messages, max_group_rows=n).drop("body"),
-    "etas": lambda t, n: eta.project(t.jobs.where(fx.is_open()), t.job_pace, max_group_rows=n).select(
-        "id", "eta_offset_ms", "is_current"
-    ),
-    "counters": lambda t, n: edits.clamped_counter(t.edits, max_group_rows=n),
-    "fold": lambda t, n: edits.fold(t.edits, t.counts, max_group_rows=n),
-    "bursts": lambda t, n: edits.bursts(t.edits, 3600, max_group_rows=n).select("job_id", "seq"),
-    "fits": lambda t, n: calibration.fit_history(t.cal_seq, max_group_rows=n).select(
-        "device", "seq", "n", *[F.round(c, 5).alias(c) for c in ("a", "b", "r2")]
-    ),
-    "notes": lambda t, n: notes.newest_first(t.notes, max_group_rows=n).select("note_id", "place"),
-}
+def day_ordered(rows, keys, order):
+    """Places by a plain window, for comparing."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-@pytest.mark.parametrize("case", list(CASES))
-def test_sliced_groups_give_the_same_rows(tables, case):
-    whole, sliced = (spark_rows(CASES[case](tables, n)) for n in (None, 10 if case != "notes" else 2))
-    assert whole[1] == sliced[1] and whole[1]
+def test_sliced_positions_equal_a_plain_window(tables):
+    placed = views.positions(tables.jobs).select("id", "day_position")
+    whole = day_ordered(tables.jobs, ["job_date"], views.list_order()).select("id", F.col("place").cast("long").alias("day_position"))
+    assert spark_rows(placed)[1] == spark_rows(whole)[1]
 
 
 def test_a_hot_group_is_cut_into_slices(spark):
     rows = spark.range(9000).select(F.when(F.col("id") < 6000, 0).otherwise(F.col("id")).alias("k"), "id")
-    ordered = OrderedGroups(rows, ["k"], [F.col("id").asc()], max_group_rows=1000)
-    assert ordered.sliced
-    sizes = ordered._rows.where("k = 0").groupBy("_slice").count().collect()
-    assert len(sizes) >= 5 and max(r["count"] for r in sizes) < 2500
+    ordered = OrderedGroups(rows, ["k"], [F.col("id").asc()], number_slice(F.col("id"), 1000))
+    sizes = ordered._rows.where("k = 0").groupBy(SLICE).count().collect()
+    assert len(sizes) == 6 and max(r["count"] for r in sizes) == 1000
     placed = ordered.numbered("place").rows.where("k = 0")
     assert placed.where("place <> id + 1").count() == 0 and placed.count() == 6000
 
 
-def test_small_groups_are_not_cut(spark):
-    rows = spark.range(100).select((F.col("id") % 10).alias("k"), "id")
-    assert not OrderedGroups(rows, ["k"], [F.col("id").asc()], max_group_rows=10).sliced
+def test_slices_carry_every_kind(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("k"), "id", (F.col("id") * 37 % 101).alias("v"))
+    rows = rows.withColumn("at", F.when(F.col("id") % 7 > 0, F.col("id")))
+    order = [F.col("at").asc_nulls_last(), F.col("id").asc()]
+    cut = number_slice(F.col("at"), 20, F.col("id"), 50)
+    got = OrderedGroups(rows, ["k"], order, cut).running(s=("sum", F.col("v")), lo=("min", F.col("v")), hi=("max", F.col("v"))).rows
+    w = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    want = rows.withColumns({"s": F.sum("v").over(w), "lo": F.min("v").over(w), "hi": F.max("v").over(w)})
+    assert spark_rows(got)[1] == spark_rows(want)[1]
+    before = OrderedGroups(rows, ["k"], order, cut).running(inclusive=False, s=("sum", F.col("v"))).rows
+    w = w.rowsBetween(Window.unboundedPreceding, -1)
+    assert spark_rows(before)[1] == spark_rows(rows.withColumn("s", F.sum("v").over(w)))[1]
+    after = OrderedGroups(rows.where("at is not null"), ["k"], order, cut).following("next", F.col("at")).rows
+    want = rows.where("at is not null").withColumn("next", F.lead("at").over(Window.partitionBy("k").orderBy(*order)))
+    assert spark_rows(after)[1] == spark_rows(want)[1]
+
+
+def test_building_a_query_runs_no_job(spark):
+    t = Tables(spark, f"{DATA}/sf0.001")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("built", "building only")
+    eta.project(t.jobs.where(fx.is_open()), t.job_pace)
+    edits.clamped_counter(t.edits)
+    calibration.fit_history(t.cal_seq)
+    notes.newest_first(t.notes)
+    assert list(tracker.getJobIdsForGroup("built")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_two_published_rows_are_an_error(tables, spark):
+    days = spark.createDataFrame([(1, dt.date(1998, 1, 1)), (1, dt.date(1998, 1, 2))], "id int, job_date date")
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        views.published_jobs(tables.jobs, days).collect()
 
 
 @pytest.fixture
@@ -125,10 +143,3 @@ def test_hot_parts_are_split_in_operators(spark, eager_splits):
     memory = jobs.where("id = 0").select("item_number", F.lit(True).alias("needs_dipping"))
     plan, rows = final_plan(parts.remember_dipping(jobs, memory))
     assert "skew=true" in plan and sum(r["needs_dipping"] for r in rows) == 66_800
-
-
-def test_small_tables_are_checked_before_broadcast(spark):
-    table = spark.range(50)
-    small = stored_small(table, max_rows=50)._jdf.queryExecution().logical().toString()
-    large = stored_small(table, max_rows=49)._jdf.queryExecution().logical().toString()
-    assert "broadcast" in small.lower() and "broadcast" not in large.lower()
