@@ -69,11 +69,10 @@ union all
 select req_id, null, null, null, null, 'parse_failed' from envelopes where length(body) between 3 and 20""",
 )
 def extraction_rows(t: Tables) -> DataFrame:
-    rows = ingest.extracted_rows(t.requests).select(
-        "req_id", "row_no", "am_number", "planned_qty", "weight_kg", F.lit("row").alias("kind")
+    kind = F.when(F.col("reason").isNull(), "row").otherwise("parse_failed")
+    return plain(
+        ingest.sorted_out(t.requests).select("req_id", "row_no", "am_number", "planned_qty", "weight_kg", kind.alias("kind"))
     )
-    failed = ingest.parse_failures(t.requests).select("req_id", F.lit("parse_failed").alias("kind"))
-    return plain(rows.unionByName(failed, allowMissingColumns=True))
 
 
 @query(

@@ -74,11 +74,8 @@ FLOOR = {
 # length, the upstream status and the extracted text.
 REQUESTS = "req_id long, authorization string, image_len long, upstream_status int, body string"
 
-# Rows a plan-photo extraction returns, inside a frame that shows whether the
-# text was parsed to its end. Numbers are decimals because an int field that is
-# given 3.0 would parse to null.
+# An extracted job as it is given: all cells as text, read afterwards.
 EXTRACTION = (
-    "struct<rows: array<struct<grade: string, am_number: string, item_number: string, customer_name: string, "
-    "weight_kg: decimal(18,3), planned_qty: decimal(18,3), mingzhi_hansberg_no: string, status: string, "
-    "is_trial: boolean, is_doubles: boolean, ratio: string>>, complete: boolean>"
+    "struct<grade: string, am_number: string, item_number: string, customer_name: string, weight_kg: string, "
+    "planned_qty: string, mingzhi_hansberg_no: string, status: string, is_trial: string, is_doubles: string, ratio: string>"
 )

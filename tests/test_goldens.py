@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
+import json
 import random
 from decimal import Decimal
 
@@ -418,9 +420,17 @@ def test_fit_history_equals_refitting(spark):
     "text, grades",
     [
         ('[{"grade":"G"},{"grade":null}]', ["G", None]),
-        ('[{"grade":"G","planned_qty":"abc"}]', ["G"]),
+        ('[{"grade":"G","planned_qty":"12"}]', ["G"]),
         ("[]", []),
-        ("null", []),
+        (" [ ] ", []),
+        ("null", "failed"),
+        ('{"grade":"G"}', "failed"),
+        ('[],"complete":true} junk', "failed"),
+        ('[{"grade":"G"}],[{"grade":"H"}]', "failed"),
+        ('[{"grade":"G","planned_qty":"abc"}]', "failed"),
+        ('[{"grade":"G","planned_qty":9999999999}]', "failed"),
+        ('[{"grade":"G","weight_kg":1e30}]', "failed"),
+        ('[{"grade":"G","is_trial":"perhaps"}]', "failed"),
         (None, []),
         ('[{"grade":"G"}] and more', "failed"),
         ('[{"grade":"G"}]]', "failed"),
@@ -439,6 +449,45 @@ def test_only_whole_json_is_parsed(spark, text, grades):
     assert not (failed and rows)
 
 
+def test_unreadable_elements_are_kept_apart(spark):
+    text = '[1,{"am_number":"B","planned_qty":3},{"am_number":"C","weight_kg":"heavy"},null]'
+    response = json.dumps({"candidates": [{"content": {"parts": [{"text": text}]}}]})
+    requests = spark.createDataFrame([(1, response), (2, "{}")], "req_id long, response string")
+    rows = ingest.normalised(ingest.extracted_rows(requests)).collect()
+    assert [(r["req_id"], r["row_no"], r["am_number"], r["planned_qty"]) for r in rows] == [(1, 1, "B", 3)]
+    failed = ingest.parse_failures(requests).orderBy("row_no").collect()
+    assert [(r["row_no"], r["reason"]) for r in failed] == [(0, "not an object"), (2, "unreadable weight_kg"), (3, "not an object")]
+    assert failed[1]["raw"] == '{"am_number":"C","weight_kg":"heavy"}'
+
+
+@pytest.mark.parametrize(
+    "claims, role",
+    [
+        ('{"role":"authenticated"}', "authenticated"),
+        (' {"sub":"u", "role":"authenticated"} ', "authenticated"),
+        ('{"role":"authenticated"} garbage', None),
+        ("{'role':'authenticated'}", None),
+        ('{"role":"authenticated","role":"anon"}', "anon"),
+        ('{"role":"authenticated"},{"role":"anon"}', None),
+        ('[{"role":"authenticated"}]', None),
+        ('{"role":"authenticated"}],[{}', None),
+        ("", None),
+    ],
+)
+def test_claims_are_read_strictly(spark, claims, role):
+    token = "Bearer h." + base64.urlsafe_b64encode(claims.encode()).decode().rstrip("=") + ".s"
+    rows = spark.createDataFrame([(token, 1000, 200), (token, 1000, None)], "authorization string, image_len long, upstream_status int")
+    assert [r[0] for r in rows.select(tx.role_claim("authorization")).collect()] == [role] * 2
+    statuses = [r[0] for r in rows.select(ingest.admission()).collect()]
+    assert statuses == (["ok", "upstream error"] if role == "authenticated" else ["authenticated caller required"] * 2)
+
+
+def test_first_arrival_is_kept(spark):
+    stored = spark.createDataFrame([("A", 1)], "k string, v int")
+    arriving = spark.createDataFrame([("A", 5, 0), *[("B", i, i) for i in range(900, 0, -1)]], "k string, v int, seq long")
+    assert sorted(map(tuple, changes.insert_missing(stored, arriving, "k").collect())) == [("A", 1), ("B", 1)]
+
+
 def test_response_text(spark):
     responses = [
         '{"candidates":[{"content":{"parts":[{"text":"[{\\"grade\\":1}]"}]}}]}',
