@@ -27,7 +27,7 @@ EXAMPLES, TERMS = 4000, 4096
 #: Least chi-square of a term against the label (p = 0.001), and least examples.
 LEAST_CHI2, LEAST_EXAMPLES = 10.83, 3
 #: Nearest examples that vote, and the examples of a block.
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK = 15, 512
 #: Added to a distance before it divides a vote, and the prior's share of votes.
 SOFT, PRIOR_VOTES = 0.05, 0.5
 EVIDENCE = 3
@@ -92,11 +92,14 @@ class Index:
                 row = self.rows[b, terms]
                 has = row >= 0
                 cosine = weights[has] @ self.postings[b][row[has]]
-                hit = np.flatnonzero(cosine > 0)
+                hit = np.flatnonzero(cosine >= max(least - 1e-9, 1e-12))
                 places.append(hit + b * BLOCK)
                 cosines.append(cosine[hit])
             done, step = done + step, step * 2
             found, near = np.concatenate(places), np.concatenate(cosines)
+            if len(near) > NEIGHBOURS + 1:  # each profile holds an example, one may be left out
+                keep = near >= np.partition(near, -NEIGHBOURS - 1)[-NEIGHBOURS - 1] - 1e-9
+                found, near = found[keep], near[keep]
             best = np.lexsort((found, -near))
             found, near = found[best], near[best]
             count = np.cumsum(self.members[found] - (found == left_out))

@@ -68,7 +68,8 @@ def test_held_out_labels_change_nothing(spark):
     assert scores[0] == scores[1]
 
 
-def test_index_equals_trying_all_examples():
+def test_index_equals_trying_all_examples(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
     rng = np.random.default_rng(1)
     profiles = []
     for n in range(300):
