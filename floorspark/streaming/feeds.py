@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +37,24 @@ ARRIVAL = ("batch", "seq")
 EVENT_TIME = ("updated_at", "seq")
 
 
-def follow_saves(saves: DataFrame, name: str, by_event_time: bool = False, **options) -> ChangeLog:
+def follow_saves(saves: DataFrame, name: str, by_event_time: bool = False, folder: str | None = None, **options) -> ChangeLog:
     """Latest-wins upserts: each micro-batch logs the last payload of each job.
 
     By arrival a replayed payload wins over newer ones; by event time it loses.
     Read the log back with the same choice, ``order_by=ARRIVAL`` or
     ``EVENT_TIME``.
     """
-    log = ChangeLog.create(saves.sparkSession, name, f"{COUNT_COLUMNS}, updated_at timestamp, seq long")
     rank = EVENT_TIME if by_event_time else ("seq",)
+    columns = f"{COUNT_COLUMNS}, updated_at timestamp, seq long"
+    log = ChangeLog.create(
+        saves.sparkSession, name, columns, folder, key="job_id", order_by=EVENT_TIME if by_event_time else ("batch",)
+    )
     return log.follow(saves, lambda rows, batch: changes.latest(rows, "job_id", *rank), **options)
 
 
-def follow_edits(stream: DataFrame, stored: DataFrame, name: str, **options) -> ChangeLog:
+def follow_edits(stream: DataFrame, stored: DataFrame, name: str, folder: str | None = None, **options) -> ChangeLog:
     """Edits folded into counts, each batch starting from the state before it."""
-    log = ChangeLog.create(stream.sparkSession, name, COUNT_COLUMNS)
+    log = ChangeLog.create(stream.sparkSession, name, COUNT_COLUMNS, folder, key="job_id")
     columns = [c.split()[0] for c in COUNT_COLUMNS.split(", ")]
 
     def change(rows: DataFrame, batch: int) -> DataFrame:
@@ -59,16 +64,19 @@ def follow_edits(stream: DataFrame, stored: DataFrame, name: str, **options) ->
     return log.follow(stream, change, **options)
 
 
-def follow_replays(saves: DataFrame, jobs: DataFrame, name: str, **options) -> ChangeLog:
-    """Offline saves with their outcome: applied, pending or dropped.
+def follow_replays(saves: DataFrame, jobs: DataFrame, name: str, folder: str | None = None, **options) -> ChangeLog:
+    """Offline saves with their whole payload and their outcome: applied, pending
+    or dropped.
 
     Pending payloads of one batch are retried with the next; a newer payload of
-    the job replaces them.
+    the job replaces them. Fields that ``saves`` lacks are null.
     """
-    log = ChangeLog.create(
-        saves.sparkSession, name, "job_id long, seq long, group_a_cores int, group_a_trolleys int, outcome string"
-    )
-    kept = ["job_id", "seq", "group_a_cores", "group_a_trolleys"]
+    columns = f"{COUNT_COLUMNS}, updated_at timestamp, seq long"
+    log = ChangeLog.create(saves.sparkSession, name, f"{columns}, outcome string", folder)
+    typed = dict(c.split() for c in columns.split(", "))
+    kept = list(typed)
+    lacking = {c: F.lit(None).cast(kind) for c, kind in typed.items() if c not in saves.columns}
+    saves = saves.withColumns(lacking) if lacking else saves
 
     def change(rows: DataFrame, batch: int) -> DataFrame:
         waiting = log.rows(batch=batch - 1).where(F.col("outcome") == "pending")
@@ -83,27 +91,49 @@ def day_feed(messages: DataFrame, published_day: DataFrame) -> DataFrame:
     return messages.where(views.on_day(published_day))
 
 
-def follow_office_messages(messages: DataFrame, name: str, **options) -> ChangeLog:
+def applied_replays(log: ChangeLog, counts: DataFrame) -> DataFrame:
+    """Counts with every payload that a replay applied, the last of each job."""
+    applied = log.rows().where(F.col("outcome") == "applied").drop("outcome")
+    newest = changes.latest(applied, "job_id", "batch").select(*[c for c in counts.columns])
+    return changes.upsert(counts, newest.withColumn("seq", F.lit(0)), "job_id")
+
+
+def follow_office_messages(messages: DataFrame, name: str, folder: str | None = None, **options) -> ChangeLog:
     """Per day, the newest office message so far; the state is one row per day."""
     newest = messages.groupBy("job_date").agg(
         F.max(F.when(F.col("sender_role") == "admin", F.col("created_at"))).alias("newest_office")
     )
-    log = ChangeLog.create(messages.sparkSession, name, "job_date date, newest_office timestamp")
+    log = ChangeLog.create(messages.sparkSession, name, "job_date date, newest_office timestamp", folder, key="job_date")
     return log.follow(newest, lambda rows, batch: rows, mode="update", **options)
 
 
 def follow_receipts(
-    messages: DataFrame, published_day: DataFrame, read_at: Column, read_by: str, name: str, **options
+    messages: DataFrame,
+    published_day: DataFrame | Callable[[], DataFrame],
+    read_at: Column,
+    read_by: str,
+    name: str,
+    folder: str | None = None,
+    **options,
 ) -> ChangeLog:
-    """Messages with the read stamp set as they are shown."""
-    log = ChangeLog.create(
-        messages.sparkSession,
-        name,
-        "id long, job_date date, sender_role string, body string, created_at timestamp, read_at timestamp, read_by string",
-    )
-    return log.follow(
-        messages, lambda rows, batch: changes.mark_read(rows, published_day, read_at, read_by), **options
-    )
+    """Messages with the read stamp set as they are shown.
+
+    Office messages that arrived before their day was published are looked at
+    again with every batch. Give ``published_day`` as a function where it changes
+    while the stream runs.
+    """
+    columns = "id long, job_date date, sender_role string, body string, created_at timestamp, read_at timestamp, read_by string"
+    log = ChangeLog.create(messages.sparkSession, name, columns, folder, key="id")
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def change(rows: DataFrame, batch: int) -> DataFrame:
+        day = published_day() if callable(published_day) else published_day
+        unread = (F.col("sender_role") == "admin") & F.col("read_at").isNull()
+        waiting = log.newest("id", before=batch).where(unread).select(*names)
+        again = changes.mark_read(waiting, day, read_at, read_by).where(F.col("read_at").isNotNull())
+        return changes.mark_read(rows.select(*names), day, read_at, read_by).unionByName(again)
+
+    return log.follow(messages, change, **options)
 
 
 def live_temperatures(pixels: DataFrame, fits: DataFrame, width: int, height: int, delay: str) -> DataFrame:

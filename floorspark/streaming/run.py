@@ -40,26 +40,48 @@ class ChangeLog:
     """Rows a stream writes per micro-batch, the newest of each key being current.
 
     A batch that runs again after a failure overwrites its own rows, so every
-    batch counts once.
+    batch counts once. A log in a named folder goes on where it ended. A log with
+    a ``key`` settles itself: after every SETTLE_EVERY batches the newest row of
+    each key is written to one table, which then stands for all batches before,
+    so that reading the log does not grow with the stream's age.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, columns: str):
-        self.spark, self.folder, self.columns = spark, folder, columns
+    SETTLE_EVERY = 20
+
+    def __init__(
+        self, spark: SparkSession, folder: str, columns: str, key: str | None = None, order_by: tuple[str, ...] = ("batch",)
+    ):
+        self.spark, self.folder, self.columns, self.key, self.order_by = spark, folder, columns, key, order_by
         empty = spark.createDataFrame([], columns)
         empty.write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
+        empty.withColumn("batch", F.lit(-1).cast("long")).write.mode("overwrite").parquet(f"{folder}/settled/upto=-1")
 
     @classmethod
-    def create(cls, spark: SparkSession, name: str, columns: str) -> ChangeLog:
-        return cls(spark, new_folder(spark, name), columns)
+    def create(cls, spark: SparkSession, name: str, columns: str, folder: str | None = None, **how) -> ChangeLog:
+        """A log in ``folder``, or in a new one of its own."""
+        return cls(spark, folder or new_folder(spark, name), columns, **how)
+
+    def _batches(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.columns}, batch long").parquet(f"{self.folder}/rows")
 
     def rows(self, before: int | None = None, batch: int | None = None) -> DataFrame:
-        """Logged rows with their batch number; older or single batches prune files."""
-        logged = self.spark.read.schema(f"{self.columns}, batch long").parquet(f"{self.folder}/rows")
+        """Logged rows with their batch number; of settled batches the newest of
+        each key. Older or single batches prune files."""
+        if batch is not None:
+            return self._batches().where(F.col("batch") == batch)
+        settled = self.spark.read.schema(f"{self.columns}, batch long, upto long").parquet(f"{self.folder}/settled")
+        if before is not None:
+            settled = settled.where(F.col("upto") < before)
+        upto = settled.agg(F.coalesce(F.max("upto"), F.lit(-1)).alias("upto")).scalar()
+        logged = self._batches().where(F.col("batch") > upto)
         if before is not None:
             logged = logged.where(F.col("batch") < before)
-        if batch is not None:
-            logged = logged.where(F.col("batch") == batch)
-        return logged
+        return settled.where(F.col("upto") == upto).drop("upto").unionByName(logged)
+
+    def settle(self, batch: int) -> None:
+        """Let one table stand for the batches up to this one."""
+        newest = latest(self.rows(before=batch + 1), self.key, *self.order_by)
+        newest.write.mode("overwrite").parquet(f"{self.folder}/settled/upto={batch}")
 
     def write(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch}")
@@ -71,7 +93,11 @@ class ChangeLog:
         names = [c.split()[0] for c in self.columns.split(",")]
 
         def on_batch(rows: DataFrame, batch: int) -> None:
+            rows.persist()  # read once, however often it is used below
             self.write(change(rows, batch).select(*names), batch)
+            rows.unpersist()
+            if self.key and (batch + 1) % self.SETTLE_EVERY == 0:
+                self.settle(batch)
 
         run(stream.writeStream.outputMode(mode).foreachBatch(on_batch), self.folder, **options)
         return self

@@ -137,3 +137,78 @@ def test_plan_rows_on_a_stream(tables):
     arriving_tables._known["envelopes"] = arriving(tables, "orders", "envelopes", "o_orderkey")
     streamed = collect_rows(flows.plan_rows(arriving_tables.requests, *static).select(*columns), "plan-rows")
     assert spark_rows(streamed) == spark_rows(flows.plan_rows(tables.requests, *static).select(*columns))
+
+
+RESUMED = {
+    "saves": (
+        "events",
+        "event_id",
+        lambda t, arriving, folder: feeds.follow_saves(incoming_saves(_with(t, "saves", arriving)), "saves", folder=folder),
+        lambda t, log: log.current(stamped(t.counts), "job_id").select("job_id", "group_a_cores", "comment"),
+        lambda t: changes.upsert(t.counts, incoming_saves(t), "job_id").select("job_id", "group_a_cores", "comment"),
+    ),
+    "edits": (
+        "events",
+        "event_id",
+        lambda t, arriving, folder: feeds.follow_edits(arriving, t.counts, "edits", folder=folder),
+        lambda t, log: log.newest("job_id"),
+        lambda t: edits.fold(t.edits, t.counts).drop("updated_at"),
+    ),
+    "chat_messages": (
+        "conversations",
+        "conv_id",
+        lambda t, arriving, folder: feeds.follow_office_messages(arriving, "unread", folder=folder),
+        lambda t, log: log.newest("job_date"),
+        lambda t: chat.newest_office(t.chat_messages),
+    ),
+}
+
+
+def _with(tables, name, rows):
+    changed = Tables(tables.spark, tables.folder)
+    changed._known[name] = rows
+    return changed
+
+
+@pytest.mark.parametrize("binding", list(RESUMED))
+def test_a_stream_goes_on_after_a_restart(tables, binding, monkeypatch):
+    monkeypatch.setattr(ChangeLog, "SETTLE_EVERY", 2)
+    source, order, start, read, expected = RESUMED[binding]
+    spark, folder, log_folder = tables.spark, new_folder(tables.spark, "arriving"), new_folder(tables.spark, "log")
+    rows = tables.table(source)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    for i in range(3):
+        cut = [low + (high + 1 - low) * k // 3 for k in (i, i + 1)]
+        rows.where((F.col(order) >= cut[0]) & (F.col(order) < cut[1])).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(SOURCES[source]).option("maxFilesPerTrigger", 1).parquet(folder)
+        log = start(tables, tables.derive(binding, **{source: stream}), log_folder)
+    assert log._batches().where("batch >= 0").select("batch").distinct().count() == 3
+    assert spark.read.parquet(f"{log_folder}/settled").where("upto = 1").count() > 0
+    assert spark_rows(read(tables, log)) == spark_rows(expected(tables))
+
+
+def test_receipts_reach_messages_published_later(spark):
+    import datetime as dt
+
+    folder = new_folder(spark, "messages")
+    columns = "id long, job_date date, sender_role string, body string, created_at timestamp, read_at timestamp, read_by string"
+    day, now = dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 6)
+    published = [dt.date(2024, 1, 1)]
+    of_day = lambda: spark.createDataFrame([(1, published[0])], "id int, job_date date")
+    log_folder = new_folder(spark, "log")
+    for i, shown in enumerate([dt.date(2024, 1, 1), day]):
+        published[0] = shown
+        spark.createDataFrame([(i, day, "admin", "b", now, None, None)], columns).write.mode("append").parquet(folder)
+        messages = spark.readStream.schema(columns).parquet(folder)
+        log = feeds.follow_receipts(messages, of_day, F.lit(now), "Sam", "receipts", folder=log_folder)
+    assert {r["id"]: r["read_by"] for r in log.newest("id").collect()} == {0: "Sam", 1: "Sam"}
+
+
+def test_applied_replays_reach_the_counts(tables):
+    jobs = tables.jobs.where("status <> 'pulled'")
+    changed = _with(tables, "saves", arriving(tables, "events", "saves", "event_id"))
+    whole = incoming_saves(changed).withColumn("offline", F.lit(False))
+    log = feeds.follow_replays(whole, jobs, "replays")
+    alive = incoming_saves(tables).join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
+    expected = changes.upsert(tables.counts, alive, "job_id")
+    assert spark_rows(feeds.applied_replays(log, tables.counts)) == spark_rows(expected.select(*tables.counts.columns))
