@@ -32,12 +32,13 @@ ROWS, BANDS = 6, 40
 #: Members up to which all pairs of a bucket are compared at once.
 FEW = 4
 #: Growth of the number of hubs from round to round.
-MORE_HUBS = 8
-#: Standard deviations below the threshold from which a signature rules a pair out.
-SURE = 4.5
+MORE_HUBS = 64
+#: Coordinates of the longer signature that members of open buckets get, and
+#: the standard deviations below the threshold from which it rules a pair out.
+SKETCH, SURE = 960, 4.5
 
-_PACKED = ROWS * BANDS // 16  # numbers that hold four bits of each coordinate
-_SIGNATURE = "id long, version long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+_PACKED = SKETCH // 16  # numbers that hold four bits of each coordinate
+_SIGNATURE = "id long, version long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def _permuted(x: np.ndarray) -> np.ndarray:
@@ -80,35 +81,51 @@ def _lists(values: np.ndarray, width: int) -> pa.ListArray:
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = {name: [] for name in ("n", "a", "b", "bands", "sketch")}
+            parts = {name: [] for name in ("n", "a", "b", "bands")}
             for _, sets in shingle_sets(batch.column("text"), k):
                 sizes = np.array([len(s) for s in sets])
                 digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 full = np.flatnonzero(sizes)
                 keys = np.zeros((len(sets), BANDS), dtype=np.int64)
-                sketch = np.zeros((len(sets), _PACKED), dtype=np.uint64)
                 if len(full):
                     at = np.concatenate([[0], np.cumsum(sizes[full])])
-                    signature = circulant(np.concatenate([sets[i] for i in full]), at, ROWS * BANDS)
-                    for band in range(BANDS):
-                        rows = signature[band * ROWS : (band + 1) * ROWS].T.copy()
-                        keys[full, band] = [xxhash.xxh3_64_intdigest(r.tobytes(), seed=band) - (1 << 63) for r in rows]
-                    low = (signature.T & np.uint32(15)).astype(np.uint64).reshape(len(full), _PACKED, 16)
-                    sketch[full] = np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+                    keys[full] = _band_keys(circulant(np.concatenate([sets[i] for i in full]), at, ROWS * BANDS))
                 parts["n"].append(sizes)
                 parts["a"].append(np.array([(d >> 64) - (1 << 63) for d in digests], dtype=np.int64))
                 parts["b"].append(np.array([(d & ((1 << 64) - 1)) - (1 << 63) for d in digests], dtype=np.int64))
                 parts["bands"].append(keys)
-                parts["sketch"].append(sketch.view(np.int64))
-            n, a, b, bands, sketch = (np.concatenate(parts[x]) if parts[x] else np.zeros(0, np.int64) for x in parts)
+            n, a, b, bands = (np.concatenate(parts[x]) if parts[x] else np.zeros(0, np.int64) for x in parts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("version"), *(pa.array(x.astype(np.int64)) for x in (n, a, b)), _lists(bands, BANDS), _lists(sketch, _PACKED)],
-                ["id", "version", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                [batch.column("id"), batch.column("version"), *(pa.array(x.astype(np.int64)) for x in (n, a, b)), _lists(bands, BANDS)],
+                ["id", "version", "n_shingles", "set_a", "set_b", "bands"],
             )
 
     return run
 
 
+def _band_keys(signature: np.ndarray) -> np.ndarray:
+    """(texts x BANDS): the bucket of each band."""
+    keys = np.empty((signature.shape[1], BANDS), dtype=np.int64)
+    for band in range(BANDS):
+        rows = signature[band * ROWS : (band + 1) * ROWS].T.copy()
+        keys[:, band] = [xxhash.xxh3_64_intdigest(r.tobytes(), seed=band) - (1 << 63) for r in rows]
+    return keys
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets and the longer signature of stored sets."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in part.column("grams")]
+            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            signature = circulant(np.concatenate(sets), at, SKETCH)
+            low = (signature.T & np.uint32(15)).astype(np.uint64).reshape(len(sets), _PACKED, 16)
+            packed = np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+            lists = _lists(_band_keys(signature), BANDS), _lists(packed.view(np.int64), _PACKED)
+            yield pa.RecordBatch.from_arrays([part.column("id"), *lists], ["id", "bands", "sketch"])
+
+
 def _set_bytes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,13 +168,13 @@ def _open(members: DataFrame, below: float) -> DataFrame:
 
 
 def _may_reach(percent: int) -> Column:
-    """Whether the signatures of two members leave room for the threshold.
+    """Whether the longer signatures of two members leave room for the threshold.
 
     Four bits of each coordinate agree as often as the sets, and by chance in a
     sixteenth of the rest. Pairs at the threshold differ in more coordinates
     than allowed here once in 300,000.
     """
-    size, odds = ROWS * BANDS, (1 - percent / 100) * 15 / 16
+    size, odds = SKETCH, (1 - percent / 100) * 15 / 16
     most = size * odds + SURE * (size * odds * (1 - odds)) ** 0.5
     differ = F.lit(0)
     for i in range(_PACKED):
@@ -180,12 +197,16 @@ def _hub_pairs(members: DataFrame, seen: float, upto: float, percent: int) -> Da
         hub = hub & ~before
         members = members.withColumn("before", before)
     sketched = "sketch" in members.columns
-    extra = [F.col("sketch").alias("sketch_a")] if sketched else []
+    extra = [F.col(c).alias(f"{c}_a") for c in ("sketch", "bands")] if sketched else []
     hubs = members.where(hub).select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a"), *extra)
     rest = (members.where("not before") if seen else members).withColumn("hub", hub)
     near = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("label") != F.col("label_a"))
     if sketched:
-        near = near & _may_reach(percent)
+        # A pair that shares several buckets meets in the first of them only; a
+        # bucket that another text of the same doc_id brought counts by itself.
+        first = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("bucket")
+        own = F.array_contains("bands", F.col("bucket")) & F.array_contains("bands_a", F.col("bucket"))
+        near = near & _may_reach(percent) & (first | ~own)
     once = ~F.col("hub") | (F.struct("turn", "id") > F.struct("turn_a", "a"))
     pairs = rest.join(hubs, "bucket").where(once & (F.col("a") != F.col("id")) & near)
     return pairs.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
@@ -219,7 +240,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = stored(classes.select("set_a", "set_b", F.col("one.id").alias("id"), F.col("one.version").alias("version")), "classes")
     chosen = classes.select("id", "version")
     member = linked.join(chosen, ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
-    sketches = member.groupBy("id").agg(F.max_by("sketch", "version").alias("sketch"))
     member = member.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     member = member.withColumn("turn", F.xxhash64("id") / F.lit(2.0**64) + 0.5)
     buckets = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min("turn").alias("least")).where("size > 1")
@@ -255,7 +275,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             done = max(float(FEW), seen)
         members = _open(_merged(members, labels), done)
         if "sketch" not in members.columns:
-            members = members.join(sketches, "id")
+            members = stored(members, "members")
+            open_sets = sets.withColumnRenamed("key", "id").join(members.select("id").distinct(), "id", "left_semi")
+            members = members.join(open_sets.mapInArrow(_sketched, "id long, bands array<long>, sketch array<long>"), "id")
         members = stored(members, "members")
 
     final = classes.select("set_a", "set_b", "id", F.col("id").alias("component_id"))
