@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
 from floorspark.functions.text import clock_time
-from floorspark.operators import changes, eta, ingest, parts, views
+from floorspark.operators import changes, edits, eta, ingest, parts, views
 
 
 def floor_lines(jobs: DataFrame, counts: DataFrame, pace: DataFrame, notes: DataFrame) -> DataFrame:
@@ -53,3 +54,30 @@ def plan_rows(
     rows = changes.with_defaults(ingest.normalised(ingest.extracted_rows(ingest.admitted(requests))), as_of)
     ticked = parts.remember_dipping(rows, dip_items)
     return parts.classify_incoming(parts.with_cross_check(ticked, reference), saved)
+
+
+def save_outcomes(
+    edit_log: DataFrame, counts: DataFrame, jobs: DataFrame, published_day: DataFrame, gap_seconds: int
+) -> DataFrame:
+    """What becomes of the edits of each job, from the keys pressed to the table.
+
+    Edits are folded into the job's counts and saved at the end of each burst.
+    ``outcome`` is ``applied``, or why the save goes to the dead letter:
+    ``deleted`` (the job is gone) or ``not published`` (its day is not the
+    published one). ``saves`` is how often the job was saved.
+    """
+    folded = edits.fold(edit_log, counts)
+    saves = edits.bursts(edit_log, gap_seconds).groupBy("job_id").agg(F.count("*").alias("saves"))
+    known = jobs.select(F.col("id").alias("job_id"), "job_date", F.lit(True).alias("_known"))
+    outcome = (
+        F.when(F.col("_known").isNull(), "deleted")
+        .when(F.coalesce(views.on_day(published_day), F.lit(False)), "applied")
+        .otherwise("not published")
+    )
+    return folded.join(saves, "job_id").join(known, "job_id", "left").withColumn("outcome", outcome).drop("_known", "job_date")
+
+
+def saved_counts(outcomes: DataFrame, counts: DataFrame) -> DataFrame:
+    """The counts with every applied save in place of the row it replaces."""
+    applied = outcomes.where(F.col("outcome") == "applied").withColumn("seq", F.lit(0))
+    return changes.upsert(counts, applied, "job_id")

@@ -39,11 +39,24 @@ def newest_first(notes: DataFrame) -> DataFrame:
     )
 
 
+def under_jobs(jobs: DataFrame, notes: DataFrame, published_day: DataFrame) -> DataFrame:
+    """Under each job of the published day, its part's visible notes, newest first.
+
+    Ids meet first; the texts join once the day's notes are known. ``place`` is
+    the note's place under the job, which is its place in the part's list.
+    """
+    today = published_jobs(jobs, published_day).where(fx.not_blank("item_number")).select(F.col("id").alias("job_id"), "item_number")
+    parts = today.select("item_number").distinct()
+    listed = newest_first(notes_for(parts, notes))
+    return lookup_join(today, listed, ["item_number"], "inner").select("job_id", "item_number", "place", "note_id", "body")
+
+
 def fan_out(open_jobs: DataFrame, notes: DataFrame, published_day: DataFrame) -> DataFrame:
     """Visible notes on every open job of the published day that runs the part."""
     today = published_jobs(open_jobs, published_day).where(fx.not_blank("item_number")).select("job_id", "item_number")
-    shown = notes.where(F.col("visible_to_trolley"))
-    return today.join(shown.select("item_number", F.col("id").alias("note_id"), "body", "created_at"), "item_number")
+    shown = notes_for(today, notes)
+    ids = today.join(shown.select("item_number", F.col("id").alias("note_id")), "item_number")
+    return ids.join(shown.select(F.col("id").alias("note_id"), "body", "created_at"), "note_id")
 
 
 def note_counts(jobs: DataFrame, notes: DataFrame) -> DataFrame:

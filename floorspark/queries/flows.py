@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorspark.operators import flows
+from floorspark.operators import flows, notes
 from floorspark.queries.columns import ETA_STEPS, EXTRACTED, PRODUCT, TOTAL
 from floorspark.queries.registry import query
+from floorspark.queries.streams import BURSTS, FOLD_RESULT, FOLD_STEPS, GAP_SECONDS
 from floorspark.sources.tables import Tables
 
 AS_OF = "timestamp'2024-01-02 06:00:00'"
@@ -49,3 +50,62 @@ select req_id, row_no, dipping as needs_dipping,
 def plan_rows(t: Tables) -> DataFrame:
     rows = flows.plan_rows(t.requests, t.jobs, t.item_reference, t.dip_items, F.expr(AS_OF))
     return rows.select("req_id", "row_no", "needs_dipping", "part_check", "differing_fields", "action")
+
+
+# Pulled jobs stand for deleted ones; the busiest edited day for the published one.
+_SAVE_JOBS = "jobs where status <> 'pulled'"
+_SAVE_DAY = f"""(select job_date from (select job_date, count(*) as n from {_SAVE_JOBS}
+  and id in (select job_id from edits) group by job_date) b order by n desc, job_date desc limit 1)"""
+
+
+def _save_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
+    jobs = t.jobs.where("status <> 'pulled'")
+    edited = t.edits.select(F.col("job_id").alias("id")).distinct()
+    busiest = jobs.join(edited, "id", "left_semi").groupBy("job_date").agg(F.count("*").alias("_n"))
+    day = busiest.agg(F.max_by("job_date", F.struct("_n", "job_date")).alias("job_date")).withColumn("id", F.lit(1))
+    return jobs, day
+
+
+@query(
+    "save_flow",
+    "counts edits jobs",
+    f"""with {BURSTS}, {FOLD_STEPS}, folded as ({FOLD_RESULT}),
+sent as (select job_id, count(*) as saves from bursts group by job_id)
+select folded.*, saves, case when j.id is null then 'deleted' when j.job_date = {_SAVE_DAY} then 'applied' else 'not published' end as outcome
+from folded join sent using (job_id) left join (select id, job_date from {_SAVE_JOBS}) j on j.id = folded.job_id""",
+    recursive=True,
+)
+def save_flow(t: Tables) -> DataFrame:
+    jobs, day = _save_tables(t)
+    return flows.save_outcomes(t.edits, t.counts, jobs, day, GAP_SECONDS).drop("updated_at")
+
+
+@query(
+    "save_flow_counts",
+    "counts edits jobs",
+    f"""with {FOLD_STEPS}, folded as ({FOLD_RESULT}),
+applied as (select * from folded where job_id in (select id from {_SAVE_JOBS} and job_date = {_SAVE_DAY}))
+select job_id, group_a_cores, group_a_trolleys, group_b_cores, group_b_trolleys, manual_total_override from applied
+union all
+select job_id, group_a_cores, group_a_trolleys, group_b_cores, group_b_trolleys, manual_total_override from counts
+where job_id not in (select job_id from applied)""",
+    recursive=True,
+)
+def save_flow_counts(t: Tables) -> DataFrame:
+    jobs, day = _save_tables(t)
+    outcomes = flows.save_outcomes(t.edits, t.counts, jobs, day, GAP_SECONDS)
+    kept = ["job_id", "group_a_cores", "group_a_trolleys", "group_b_cores", "group_b_trolleys", "manual_total_override"]
+    return flows.saved_counts(outcomes, t.counts.select(*kept))
+
+
+@query(
+    "floor_notes",
+    "jobs notes published_day",
+    """select j.id as job_id, j.item_number, n.id as note_id,
+ row_number() over (partition by j.id order by n.created_at desc, n.id desc) as place,
+ replace(replace(replace(replace(n.body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as body
+from jobs j join published_day p on p.job_date = j.job_date and p.id = 1 join notes n on n.item_number = j.item_number
+where n.visible_to_trolley and j.item_number <> ''""",
+)
+def floor_notes(t: Tables) -> DataFrame:
+    return notes.under_jobs(t.jobs, t.notes, t.published_day)

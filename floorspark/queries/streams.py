@@ -79,7 +79,7 @@ def replay_stream(t: Tables) -> DataFrame:
 
 
 # Every edit applied one after the other to the stored counts.
-FOLDED = """numbered as (select *, row_number() over (partition by job_id order by seq) as rn,
+FOLD_STEPS = """numbered as (select *, row_number() over (partition by job_id order by seq) as rn,
   count(*) over (partition by job_id) as n, case when raw = 'n/a' then null else cast(replace(raw, 'x', '') as int) end as num from edits),
 state as (
  select distinct e.job_id, cast(0 as bigint) as rn, ifnull(group_a_cores, 0) as ac, ifnull(group_a_trolleys, 0) as "at",
@@ -93,10 +93,11 @@ state as (
   if(kind in ('plus', 'minus') and box = 'b', greatest(0, bt + if(kind = 'plus', 1, -1)), bt),
   case when kind in ('plus', 'minus', 'cores') then null when kind = 'total' then num else total end,
   if(kind = 'comment', raw, comment), if(kind = 'making', checked, making)
- from state s join numbered n on n.job_id = s.job_id and n.rn = s.rn + 1)
-select s.job_id, cast(ac as int) as group_a_cores, cast("at" as int) as group_a_trolleys, cast(bc as int) as group_b_cores,
+ from state s join numbered n on n.job_id = s.job_id and n.rn = s.rn + 1)"""
+FOLD_RESULT = """select s.job_id, cast(ac as int) as group_a_cores, cast("at" as int) as group_a_trolleys, cast(bc as int) as group_b_cores,
  cast(bt as int) as group_b_trolleys, cast(total as int) as manual_total_override, comment, making as still_making
 from state s join (select distinct job_id, n from numbered) l on l.job_id = s.job_id and l.n = s.rn"""
+FOLDED = f"{FOLD_STEPS}\n{FOLD_RESULT}"
 
 
 @query("st_04", "counts edits", f"with {FOLDED}", recursive=True)
