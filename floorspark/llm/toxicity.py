@@ -31,6 +31,8 @@ NEIGHBOURS, BLOCK = 15, 512
 #: Added to a distance before it divides a vote, and the prior's share of votes.
 SOFT, PRIOR_VOTES = 0.05, 0.5
 EVIDENCE = 3
+#: Documents that one task scores: their term counts are few bytes, but much work.
+TASK_DOCS = 4000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -227,9 +229,8 @@ def _scored(model):
     return run
 
 
-def _model(vectors: DataFrame, examples: DataFrame, n_terms: int, totals: dict[int, int]) -> Model | None:
+def _model(vectors: DataFrame, n_docs: int, examples: DataFrame, n_terms: int, totals: dict[int, int]) -> Model | None:
     """The model from the stored term counts of all documents and the sample."""
-    n_docs = vectors.count()
     df = np.zeros(n_terms)
     for row in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
         df[row["term"]] = row["count"]
@@ -301,11 +302,13 @@ def _scores(docs: DataFrame, labels: DataFrame, examples_per_class: int) -> Data
     kind = docs.schema["doc_id"].dataType.simpleString()
     vectors = named.mapInArrow(_counted(spark.sparkContext.broadcast(terms)), f"doc_id {kind}, version long, terms array<int>, counts array<int>")
     vectors = stored(vectors, "term-counts")
-    model = _model(vectors, examples, len(terms), totals)
+    n_docs = vectors.count()
+    model = _model(vectors, n_docs, examples, len(terms), totals)
     if model is None:
         scored = vectors.select("doc_id", "version", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("evidence"))
     else:
-        scored = vectors.mapInArrow(_scored(spark.sparkContext.broadcast(model)), f"doc_id {kind}, version long, score double, evidence string")
+        spread = vectors.repartition(n_docs // TASK_DOCS + 1)
+        scored = spread.mapInArrow(_scored(spark.sparkContext.broadcast(model)), f"doc_id {kind}, version long, score double, evidence string")
     return scored
 
 
