@@ -6,7 +6,9 @@ signed-in users.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.operators.views import on_day, published_jobs
@@ -88,23 +90,56 @@ def admit(
 
     ``changed`` names the columns an update sets.
     """
+    reason = _reason(relation, operation, role, changed)
+    if "_today" not in reason.used:
+        return writes.withColumn("reason", reason.column)
+    return on_published_day(writes, published_day, jobs).withColumn("reason", reason.column).drop("_today")
+
+
+class _Reason(NamedTuple):
+    """Why a row is refused, null if it is not, and the flags that decide."""
+
+    column: Column
+    used: tuple[str, ...] = ()
+
+
+def _reason(relation: str, operation: str, role: str, changed: list[str] | None = None) -> _Reason:
     rule = RULES[relation].get(role, {}).get(operation)
     if rule is None:
-        return writes.withColumn("reason", F.lit("not granted"))
+        return _Reason(F.lit("not granted"))
     grantable = UPDATE_COLUMNS.get((relation, role))
     if operation == "update" and grantable and not set(changed or []) <= set(grantable):
-        return writes.withColumn("reason", F.lit("column not granted"))
-    if rule == ALL:
-        return writes.withColumn("reason", F.lit(None).cast("string"))
-    allowed = F.col("_today")
+        return _Reason(F.lit("column not granted"))
+    allowed, used = F.lit(True), ()
+    if PUBLISHED in rule:
+        allowed, used = F.col("_today"), ("_today",)
+    if FLAGGED in rule:
+        allowed = allowed & F.col("visible_to_trolley")
     if rule == TROLLEY_PUBLISHED:
         allowed = allowed & (F.col("sender_role") == "trolley")
     if rule == ADMIN_PUBLISHED:
         allowed = allowed & (F.col("sender_role") == "admin")
-    flagged = on_published_day(writes, published_day, jobs)
-    return flagged.withColumn(
-        "reason", F.when(~F.coalesce(allowed, F.lit(False)), "outside the role's rows")
-    ).drop("_today")
+    return _Reason(F.when(~F.coalesce(allowed, F.lit(False)), "outside the role's rows"), used)
+
+
+def every_cell(
+    relation: str,
+    rows: DataFrame,
+    published_day: DataFrame | None = None,
+    jobs: DataFrame | None = None,
+    changed: list[str] | None = None,
+) -> DataFrame:
+    """Each row for every role and operation, with the ``reason`` it is refused
+    for; rows that a role does not read are left out. One scan of ``rows``."""
+    cells, used = [], set()
+    for role in ROLES:
+        for operation in OPERATIONS:
+            reason = _reason(relation, operation, role, changed)
+            used |= set(reason.used)
+            cells.append(F.struct(F.lit(role).alias("role"), F.lit(operation).alias("operation"), reason.column.alias("reason")))
+    flagged = on_published_day(rows, published_day, jobs) if "_today" in used else rows
+    each = flagged.select("*", F.inline(F.array(*cells))).drop("_today")
+    return each.where((F.col("operation") != "select") | F.col("reason").isNull())
 
 
 def split(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -156,23 +156,8 @@ _SIZES_SQL = "\n union all ".join(
 
 def _governed(t: Tables, relation: str, rows: DataFrame, key: str) -> DataFrame:
     """Per role, the rows it reads and what becomes of each row it writes."""
-    results = []
-    for role in access.ROLES:
-        read = access.visible(relation, role, rows, t.published_day).withColumn("reason", F.lit(None).cast("string"))
-        results.append((role, "select", read))
-        for operation in access.OPERATIONS[1:]:
-            results.append((role, operation, access.admit(relation, operation, role, rows, t.published_day)))
-    return _union(
-        [
-            df.select(
-                F.lit(role).alias("role"),
-                F.lit(operation).alias("operation"),
-                F.col(key).cast("string").alias("row_key"),
-                "reason",
-            )
-            for role, operation, df in results
-        ]
-    )
+    cells = access.every_cell(relation, rows, t.published_day)
+    return cells.select("role", "operation", F.col(key).cast("string").alias("row_key"), "reason")
 
 
 def _governed_sql(relation: str, table: str, key: str) -> str:
@@ -205,6 +190,86 @@ for _row in _GOVERNED:
     _register_governed(*_row)
 
 
+# The same for the relations whose rules look at the row.
+_OUTSIDE = "'outside the role''s rows'"
+
+
+def _cells_sql(source: str, key: str, cells: dict[tuple[str, str], str]) -> str:
+    """``cells`` has the condition, or 'all' or a quoted refusal, of each role and
+    operation; those not named are not granted."""
+    parts = []
+    for role in ("anon", "view_only", "full_access"):
+        for operation in ("select", "insert", "update", "delete"):
+            rule = cells.get((role, operation), "'not granted'")
+            reason = "null" if rule == "all" else rule if rule.startswith("'") else f"case when not ifnull({rule}, false) then {_OUTSIDE} end"
+            parts.append(f"select '{role}' as role, '{operation}' as operation, {key} as row_key, {reason} as reason from s")
+    return f"with s as ({source}), e as ({' union all '.join(parts)}) select * from e where operation <> 'select' or reason is null"
+
+
+_ALL_WRITES = {("view_only", "select"): "all"} | {("full_access", op): "all" for op in ("select", "insert", "update", "delete")}
+
+
+@query(
+    "ac_02_cells",
+    "jobs counts published_day",
+    _cells_sql(
+        "select c.*, j.job_date = (select job_date from published_day) as today from counts c left join jobs j on j.id = c.job_id",
+        "job_id",
+        {("anon", "select"): "all", ("anon", "insert"): "today", ("anon", "update"): "today"}
+        | {(r, op): "all" for r in ("view_only", "full_access") for op in ("select", "insert")},
+    ),
+)
+def all_counts_cells(t: Tables) -> DataFrame:
+    cells = access.every_cell("counts", t.counts, t.published_day, t.jobs)
+    return cells.select("role", "operation", F.col("job_id").alias("row_key"), "reason")
+
+
+@query(
+    "ac_06_cells",
+    "chat_messages published_chat_day",
+    _cells_sql(
+        "select m.*, m.job_date = (select job_date from published_chat_day) as today from chat_messages m",
+        "id",
+        {
+            ("anon", "select"): "today",
+            ("anon", "insert"): "today and sender_role = 'trolley'",
+            ("anon", "update"): "today and sender_role = 'admin'",
+            ("view_only", "select"): "all",
+            ("full_access", "select"): "all",
+            ("full_access", "insert"): "all",
+        },
+    ),
+)
+def all_chat_cells(t: Tables) -> DataFrame:
+    cells = access.every_cell("chat_messages", t.chat_messages, t.published_chat_day, changed=["read_at", "read_by"])
+    return cells.select("role", "operation", F.col("id").alias("row_key"), "reason")
+
+
+@query(
+    "ac_07_cells",
+    "notes",
+    _cells_sql("select * from notes", "id", {("anon", "select"): "visible_to_trolley"} | _ALL_WRITES),
+)
+def all_part_note_cells(t: Tables) -> DataFrame:
+    cells = access.every_cell("item_reference_notes", t.notes)
+    return cells.select("role", "operation", F.col("id").alias("row_key"), "reason")
+
+
+@query(
+    "ac_13_cells",
+    "job_notes jobs published_day",
+    _cells_sql(
+        """select n.*, j.job_date = (select job_date from published_day) as today
+  from job_notes n left join jobs j on j.id = n.job_id""",
+        "id",
+        {("anon", "select"): "visible_to_trolley and today"} | _ALL_WRITES,
+    ),
+)
+def all_job_note_cells(t: Tables) -> DataFrame:
+    cells = access.every_cell("job_notes", t.job_notes, t.published_day, t.jobs)
+    return cells.select("role", "operation", F.col("id").alias("row_key"), "reason")
+
+
 @query(
     "ac_11",
     "jobs counts published_day",
