@@ -114,6 +114,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     up to date. Documents of which nothing is left go."""
     others = [c for c in docs.columns if c != "text"]
     done = remove_repeats(docs.select("doc_id", "text", F.struct(*others).alias("row")))
+    # Unpacked from a list, so that Spark does not move the filter on the new text
+    # down to where the text would be put together anew for each of its pieces.
+    done = done.select("row", F.inline_outer(F.array(F.struct("text", "n_lines", "n_removed"))))
     changed = F.col("n_removed") > 0
     left = done.where(~changed | (F.trim("text", F.lit(_BLANK)) != ""))
     new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text")).otherwise(F.col("row.n_chars")).cast("long")}
