@@ -176,12 +176,15 @@ def _may_reach(percent: int) -> Column:
     """
     size, odds = SKETCH, (1 - percent / 100) * 15 / 16
     most = size * odds + SURE * (size * odds * (1 - odds)) ** 0.5
-    differ = F.lit(0)
-    for i in range(_PACKED):
-        x = F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_a", F.lit(i)))
-        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(1)))
-        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(2)))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    def apart(x: Column, y: Column) -> Column:
+        either = F.lit(0).cast("long")
+        for i in range(4):
+            either = either.bitwiseOR(F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.lit(i)))
+        return F.bit_count(either.bitwiseAND(F.lit(0x1111111111111111)))
+
+    # One expression for all numbers: written out, it would swell every plan.
+    differ = F.aggregate(F.zip_with("sketch", "sketch_a", apart), F.lit(0), lambda total, n: total + n)
     return differ <= int(most)
 
 
