@@ -40,12 +40,14 @@ def day_scan(t: Tables) -> DataFrame:
 select d.job_date, case count(r.job_date) when 0 then 'missing' when 1 then 'ok' else 'multiple' end as status,
  case when count(r.job_date) = 1 then min(r.current_job_id) end as current_job_id,
  case when count(r.job_date) = 1 then min(r.remaining_qty) end as remaining_qty
-from (select distinct job_date from jobs) d left join rated r on r.job_date = d.job_date group by d.job_date""",
+from (select distinct job_date from jobs union all select distinct job_date + 20000 from jobs) d left join rated r on r.job_date = d.job_date group by d.job_date""",
 )
 def single_lookup(t: Tables) -> DataFrame:
     pace = t.job_pace
     rated = pace.unionByName(pace.where("remaining_qty = 0"))
     days = t.jobs.select("job_date").distinct()
+    # Days long after the last one have no pace.
+    days = days.unionByName(days.select(F.date_add("job_date", 20_000).alias("job_date")))
     return views.lookup(days, rated, "job_date", ["current_job_id", "remaining_qty"])
 
 

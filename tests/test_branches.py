@@ -19,7 +19,7 @@ BRANCHES = [
     ("sc_14", "is_done", {True, False, None}),
     ("jn_15", "action", {"edit", "insert"}),
     ("jn_16", "status", {"new_part", "exact", "variant"}),
-    ("jn_18", "item_reference_id is null", {True, False}),
+    ("jn_18", "item_reference_id < 0", {True, False}),
     ("pr_10", "rebuilt_override is null", {True, False}),
     ("pr_13", "is_current", {True, False}),
     ("pr_13", "has_eta", {True, False}),
@@ -29,6 +29,7 @@ BRANCHES = [
     ("pr_16", "temperature is null", {True, False}),
     ("st_08", "tier", {"good", "fair", "poor", "uncalibrated"}),
     ("st_03", "outcome", {"applied", "pending", "dropped"}),
+    ("save_flow", "outcome", {"applied", "deleted", "not published"}),
     ("st_04", "manual_total_override is null", {True, False}),
     ("st_06", "unread", {True, False}),
     ("st_09", "regressed", {True, False}),
