@@ -35,9 +35,9 @@ FEW = 4
 MORE_HUBS = 64
 #: Coordinates of the longer signature that members of open buckets get, and
 #: the standard deviations below the threshold from which it rules a pair out.
-SKETCH, SURE = 960, 4.5
+SKETCH, SURE = 1920, 4.5
 
-_PACKED = SKETCH // 16  # numbers that hold four bits of each coordinate
+_PACKED = SKETCH // 64  # numbers that hold one bit of each coordinate
 _SIGNATURE = "id long, version long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -120,9 +120,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in part.column("grams")]
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             signature = circulant(np.concatenate(sets), at, SKETCH)
-            low = (signature.T & np.uint32(15)).astype(np.uint64).reshape(len(sets), _PACKED, 16)
-            packed = np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
-            lists = _lists(_band_keys(signature), BANDS), _lists(packed.view(np.int64), _PACKED)
+            bits = np.ascontiguousarray((signature & np.uint32(1)).T)
+            packed = np.ascontiguousarray(np.packbits(bits.astype(bool), axis=1)).view(np.int64)
+            lists = _lists(_band_keys(signature), BANDS), _lists(packed, _PACKED)
             yield pa.RecordBatch.from_arrays([part.column("id"), *lists], ["id", "bands", "sketch"])
 
 
@@ -170,21 +170,15 @@ def _open(members: DataFrame, below: float) -> DataFrame:
 def _may_reach(percent: int) -> Column:
     """Whether the longer signatures of two members leave room for the threshold.
 
-    Four bits of each coordinate agree as often as the sets, and by chance in a
-    sixteenth of the rest. Pairs at the threshold differ in more coordinates
-    than allowed here once in 300,000.
+    One bit of each coordinate agrees as often as the sets, and by chance in half
+    of the rest. Pairs at the threshold differ in more bits than allowed here
+    once in 300,000.
     """
-    size, odds = SKETCH, (1 - percent / 100) * 15 / 16
+    size, odds = SKETCH, (1 - percent / 100) / 2
     most = size * odds + SURE * (size * odds * (1 - odds)) ** 0.5
-
-    def apart(x: Column, y: Column) -> Column:
-        either = F.lit(0).cast("long")
-        for i in range(4):
-            either = either.bitwiseOR(F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.lit(i)))
-        return F.bit_count(either.bitwiseAND(F.lit(0x1111111111111111)))
-
     # One expression for all numbers: written out, it would swell every plan.
-    differ = F.aggregate(F.zip_with("sketch", "sketch_a", apart), F.lit(0), lambda total, n: total + n)
+    apart = F.zip_with("sketch", "sketch_a", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(apart, F.lit(0), lambda total, n: total + n)
     return differ <= int(most)
 
 
