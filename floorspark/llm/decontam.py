@@ -1,9 +1,9 @@
 """Benchmark passages in documents, by SimHash windows of the size of an item.
 
-Only Spark expressions are used. A window has as many words as an item and lies
-where a shingle of the document equals one of that item, on the same diagonal;
-any other window shares no shingle with the item and has similarity 0. Each
-window's fingerprint is looked up among all items of that size by blocks: two
+Only Spark expressions are used. A window has as many words as an item and holds
+a shingle of an item of that size; any other window has similarity 0. Windows are
+tried at every start, unless shingles of no such item weigh so much in them that
+they cannot reach the similarity. Each window's fingerprint is looked up among all items of that size by blocks: two
 fingerprints within RADIUS bits differ in some block by at most BLOCK_RADIUS,
 and every item is stored under all values that close. Candidates are confirmed
 by the exact weighted Jaccard of their shingles.
@@ -15,6 +15,8 @@ short common words count for less.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,26 +91,50 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return items.withColumn("print", fingerprint(F.col("shape")))
 
 
-def _windows(named: DataFrame, items: DataFrame, k: int, small: bool) -> DataFrame:
-    """Windows on the diagonals where shingles of k words agree with an item."""
+def _hits(named: DataFrame, items: DataFrame, k: int, small: bool) -> DataFrame:
+    """For each text and size, the places of shingles that an item of the size has."""
     own = items.where(F.col("k") == k)
-    places = own.select("size", "shingles", F.posexplode("shingles").alias("place", "shingle"))
-    before = F.when(F.col("place") > 0, F.get("shingles", F.col("place") - 1))
-    places = places.select("shingle", "place", "size", before.alias("before")).distinct()
+    shingles = own.select("size", F.explode("shape").alias("shingle")).distinct()
     if small:
-        places = F.broadcast(places)
+        shingles = F.broadcast(shingles)
     docs = named.select("doc_id", "version", words_of(F.col("text")).alias("words"))
-    docs = docs.select("doc_id", "version", shingles_of(F.col("words"), k).alias("found"))
     # The outer form: Spark adds a size filter to the other one and, moving it
     # down, would split the text anew for every shingle.
-    hits = docs.select("doc_id", "version", "found", F.posexplode_outer("found").alias("at", "shingle")).join(places, "shingle")
-    # One window for each run of equal shingles: where the run begins.
-    runs = hits.where(~F.coalesce(F.get("found", F.col("at") - 1) == F.col("before"), F.lit(False)))
-    last = F.greatest(F.size("found") - 1 - (F.col("size") - k), F.lit(0))
-    start = F.least(F.greatest(F.col("at") - F.col("place"), F.lit(0)), last)
-    runs = runs.withColumn("start", start)
-    shape = F.array_distinct(F.slice("found", F.col("start") + 1, F.col("size") - k + 1))
-    return runs.select("doc_id", "version", "start", "size", shape.alias("seen"))
+    found = docs.select("doc_id", "version", F.posexplode_outer(shingles_of(F.col("words"), k)).alias("at", "shingle"))
+    places = found.join(shingles, "shingle").groupBy("doc_id", "version", "size").agg(F.collect_set("at").alias("places"))
+    sizes = places.groupBy("doc_id", "version").agg(F.collect_list(F.struct("size", "places")).alias("sizes"))
+    return sizes.select("doc_id", "version", F.lit(k).alias("k"), "sizes")
+
+
+def _windows(named: DataFrame, hits: DataFrame, k: int, percent: int) -> DataFrame:
+    """All windows that may reach the similarity with an item of k-word shingles.
+
+    Those hold a shingle of an item of their size, so each begins at most its own
+    length before one. Shingles that no such item has cannot be shared: a window
+    where they weigh too much is left out."""
+    own = hits.where(F.col("k") == k).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "sizes")
+    same = named["doc_id"].eqNullSafe(own["_id"]) & (named["version"] == own["_version"])
+    # Words in a step of their own, so that a text is not split for every shingle.
+    docs = named.join(own, same).select("doc_id", "version", words_of(F.col("text")).alias("words"), "sizes")
+    docs = docs.select("doc_id", "version", shingles_of(F.col("words"), k).alias("found"), "sizes")
+    docs = docs.select("doc_id", "version", "found", F.inline_outer("sizes"))
+    docs = docs.withColumn("places", F.array_sort("places"))
+    width = F.col("size") - k + 1
+    last = F.greatest(F.size("found") - width, F.lit(0))
+
+    # Each window once: under the first of the places in it.
+    def starts(at: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get("places", i - 1)).otherwise(F.lit(-1))
+        lo, hi = F.greatest(before + 1, at - width + 1, F.lit(0)), F.least(at, last)
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    known = F.array_distinct(F.transform("places", lambda at: F.get("found", at)))
+    docs = docs.select("doc_id", "version", "size", "found", known.alias("known"), F.flatten(F.transform("places", starts)).alias("starts"))
+    windows = docs.select("doc_id", "version", "size", "found", "known", F.explode_outer("starts").alias("start"))
+    seen = F.array_distinct(F.slice("found", F.col("start") + 1, F.col("size") - k + 1))
+    windows = windows.select("doc_id", "version", "start", "size", seen.alias("seen"), "known")
+    windows = windows.where(_weight(F.array_intersect("seen", "known")) * 100 >= _weight(F.col("seen")) * percent)
+    return windows.drop("known")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
@@ -117,12 +143,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
     named = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     items = stored(_items(benchmark), "items")
     shapes = {r["k"]: r["shingles"] for r in items.groupBy("k").agg(F.sum(F.size("shingles")).alias("shingles")).collect()}
-    windows = None
-    for k, rows in sorted(shapes.items()):
-        found = _windows(named, items, k, rows <= SENT_ROWS)
-        windows = found if windows is None else windows.unionByName(found)
-    if windows is None:
-        windows = _windows(named, items, SHINGLE, True)
+    lengths = sorted(shapes) or [SHINGLE]
+    hits = stored(reduce(DataFrame.unionByName, [_hits(named, items, k, shapes.get(k, 0) <= SENT_ROWS) for k in lengths]), "hits")
+    windows = reduce(DataFrame.unionByName, [_windows(named, hits, k, percent) for k in lengths])
     windows = stored(windows, "windows").withColumn("print", fingerprint(F.col("seen")))
 
     blocks = F.sequence(F.lit(0), F.lit(64 // BLOCK_BITS - 1))

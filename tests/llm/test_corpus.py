@@ -219,6 +219,30 @@ def test_leak_edges(spark):
     assert out.columns == extra.columns and [r.doc_id for r in out.collect()] == [1]
 
 
+def edited_items(seed=6):
+    """Items with words put in or left out at one place, or their halves
+    exchanged, in other text: many near 0.8, the best window between diagonals."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    items = [[word() for _ in range(rng.randrange(30, 60))] for _ in range(12)]
+    texts = []
+    for item in items:
+        for edit in range(1, 6):
+            at = rng.randrange(4, len(item) - 4)
+            more = [*item[:at], *(word() for _ in range(edit)), *item[at:]]
+            for changed in (more, item[:at] + item[at + edit :], item[at:] + item[:at]):
+                texts.append(" ".join([*(word() for _ in range(30)), *changed, *(word() for _ in range(30))]))
+    return dict(enumerate(texts)), dict(enumerate(map(" ".join, items)))
+
+
+def test_leaks_between_diagonals(spark):
+    texts, items = edited_items()
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs_of(spark, list(texts.values())), bench).collect()}
+    want = plain_leaks(texts, items)
+    assert got == want and sum(x < 0.82 for x in want.values()) >= 3
+
+
 def test_near_blocks_cover_the_radius():
     rng = random.Random(4)
     for _ in range(300):
