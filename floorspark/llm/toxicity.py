@@ -236,7 +236,9 @@ def _model(vectors: DataFrame, n_docs: int, examples: DataFrame, n_terms: int, t
         df[row["term"]] = row["count"]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
-    rows = vectors.join(F.broadcast(examples), "doc_id").select("doc_id", "toxic", "terms", "counts").collect()
+    # A repeated row is one example; of several texts, that of the least version.
+    rows = vectors.join(F.broadcast(examples), "doc_id").groupBy("doc_id", "toxic")
+    rows = rows.agg(F.min_by(F.struct("terms", "counts"), "version").alias("own")).select("doc_id", "toxic", "own.*").collect()
     seen = {label: sum(r["toxic"] == label for r in rows) for label in (0, 1)}
     if not rows:
         return None
@@ -286,7 +288,7 @@ def _scores(docs: DataFrame, labels: DataFrame, examples_per_class: int) -> Data
     examples = stored(picked[0].unionByName(picked[1]), "examples")
     text = F.coalesce("text", F.lit(""))
     named = docs.select("doc_id", F.xxhash64(text).alias("version"), text.alias("text"))
-    known = named.join(F.broadcast(examples), "doc_id").dropDuplicates(["doc_id"])
+    known = named.join(F.broadcast(examples), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", "version").alias("text"))
 
     seen = known.select("toxic", "text").mapInArrow(_all_words, "toxic int, term long")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}

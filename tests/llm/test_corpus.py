@@ -92,6 +92,14 @@ def test_index_equals_trying_all_examples(monkeypatch):
             assert set(found) >= set(np.flatnonzero(cosine > best[-1] + 1e-9))
 
 
+def test_repeated_example_counts_once(spark):
+    rows = [(0, 0, [0], [1])] * 1000 + [(1, 1, [1], [1]), (2, 2, [0, 1], [1, 1])]
+    vectors = spark.createDataFrame(rows, "doc_id long, version long, terms array<int>, counts array<int>")
+    examples = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    model = toxicity._model(vectors, len(rows), examples, 2, {0: 2, 1: 1})
+    assert model.index.members.sum() == 3 and model.index.rates == (1.0, 1.0)
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     texts = [None, "", "vile", "x " * 40_000]
