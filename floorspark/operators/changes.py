@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.functions.text import trimmed_or
-from floorspark.plans.ordered import OrderedGroups, time_slice
+from floorspark.plans.ordered import OrderedGroups
 from floorspark.plans.skew import lookup_join
 
 
@@ -181,11 +181,14 @@ def publish(published_day: DataFrame, day: DataFrame) -> DataFrame:
 def fill_sort_order(jobs: DataFrame) -> DataFrame:
     """Give unordered jobs their place by creation within the day.
 
-    Every job of the day is numbered; only missing orders are filled.
+    Every job of the day is numbered; only missing orders are filled. Only keys
+    are ordered, the rest joins by id.
     """
     order = [F.col("created_at").asc_nulls_last(), F.col("id").asc()]
-    numbered = OrderedGroups(jobs, ["job_date"], order, time_slice(F.col("created_at"), 3600, F.col("id"))).numbered("_rn").rows
-    return numbered.withColumn("sort_order", F.coalesce("sort_order", "_rn")).withColumnRenamed("_rn", "created_position")
+    keys = jobs.select("job_date", "created_at", "id")
+    numbered = OrderedGroups(keys, ["job_date"], order).numbered("created_position").rows
+    placed = lookup_join(jobs, numbered.select("id", "created_position"), ["id"])
+    return placed.withColumn("sort_order", F.coalesce("sort_order", "created_position"))
 
 
 def default_sort_order(jobs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.functions.text import clock_time, display_author, escape_markup
-from floorspark.plans.ordered import OrderedGroups, time_slice
+from floorspark.plans.ordered import OrderedGroups
 
 
 def thread(chat: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def thread(chat: DataFrame) -> DataFrame:
     """
     order = [F.col("created_at").asc_nulls_last(), F.col("id").asc()]
     keys = chat.select("job_date", "created_at", "id")
-    placed = OrderedGroups(keys, ["job_date"], order, time_slice(F.col("created_at"), 3600)).numbered("place").rows
+    placed = OrderedGroups(keys, ["job_date"], order).numbered("place").rows
     return chat.join(placed.select("id", "place"), "id").select(
         "job_date",
         "place",

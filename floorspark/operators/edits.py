@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from floorspark.functions.text import leading_int
 from floorspark.operators.changes import latest
-from floorspark.plans.ordered import OrderedGroups, number_slice, time_slice
+from floorspark.plans.ordered import OrderedGroups, number_slice
 
 BOXES = ["a", "b"]
-# Edits of one job per slice: by arrival number, and by day.
-SEQ_SLICE, DAY_SECONDS = 1 << 16, 86_400
+# Edits of one job per slice, by arrival number.
+SEQ_SLICE = 1 << 16
 
 
 def _step() -> Column:
@@ -109,9 +109,8 @@ def fold(edits: DataFrame, stored: DataFrame) -> DataFrame:
 def bursts(edits: DataFrame, gap_seconds: int) -> DataFrame:
     """The last edit of each burst: nothing follows it within the gap."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    ordered = OrderedGroups(
-        edits.withColumn("_at", micros), ["job_id"], [F.col("_at").asc_nulls_last(), F.col("seq").asc()], time_slice(F.col("ts"), DAY_SECONDS)
-    ).following("_next", F.col("_at"))
+    order = [F.col("_at").asc_nulls_last(), F.col("seq").asc()]
+    ordered = OrderedGroups(edits.withColumn("_at", micros), ["job_id"], order).following("_next", F.col("_at"))
     quiet = F.col("_next").isNull() | (F.col("_next") - F.col("_at") > gap_seconds * 1_000_000)
     return ordered.rows.where(quiet).drop("_at", "_next")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
-from floorspark.operators.views import list_key, list_order, list_slice
+from floorspark.operators.views import list_key, list_order
 from floorspark.plans.ordered import OrderedGroups
 from floorspark.plans.skew import lookup_join
 
@@ -39,8 +39,9 @@ def project(open_jobs: DataFrame, pace: DataFrame, plain_jobs: DataFrame | None
     and none for the current job itself. Each job takes its planned tonnage at
     the day's rate plus a changeover; the current job's tonnage is scaled by
     the quantity left, if known. Places and times before come from one pass
-    over the ordered groups; times are added as decimals. ``plain_jobs`` may be
-    the same jobs without what was joined to them, to find the current ones by.
+    over the ordered keys; times are added as decimals, and the rest of the jobs
+    joins by id. ``plain_jobs`` may be the same jobs without what was joined to
+    them: then that join is not evaluated for the keys.
     """
     rate = F.col("tons_per_hour").cast("double")
     usable = F.col("started_at").isNotNull() & (rate > 0) & (rate < float("inf"))
@@ -48,7 +49,8 @@ def project(open_jobs: DataFrame, pace: DataFrame, plain_jobs: DataFrame | None
     first = plain_jobs.groupBy("job_date").agg(F.min(list_key()).alias("_first"))
     days = first.join(live_pace(plain_jobs, pace), "job_date", "left")
     days = days.withColumn("_current", F.coalesce("live_key", "_first")).drop("_first", "live_key")
-    jobs = lookup_join(open_jobs, days, ["job_date"]).withColumns(
+    measures = plain_jobs.select("job_date", "sort_order", "id", "planned_qty", "weight_kg", "is_doubles")
+    jobs = lookup_join(measures, days, ["job_date"]).withColumns(
         {"_key": list_key(), "_usable": F.coalesce(usable, F.lit(False))}
     )
     is_current, is_below = F.col("_key") == F.col("_current"), F.col("_key") > F.col("_current")
@@ -57,16 +59,20 @@ def project(open_jobs: DataFrame, pace: DataFrame, plain_jobs: DataFrame | None
     tonnes = F.when(scaled, tonnes * (F.col("remaining_qty").cast("double") / F.col("planned_qty"))).otherwise(tonnes)
     takes = F.when(is_current | is_below, tonnes / rate * fx.MS_PER_HOUR + fx.CHANGEOVER_MS)
     exact = F.when(F.col("_usable"), takes).try_cast("decimal(36,16)")
-    ordered = OrderedGroups(jobs.withColumn("_takes", exact), ["job_date"], list_order(), list_slice())
+    keys = jobs.select(
+        "job_date", "sort_order", "id", "started_at", exact.alias("_takes"), is_current.alias("is_current"),
+        (F.col("_usable") & is_below).alias("_timed"), *[c for c in pace.columns if c not in ("job_date", "current_job_id", "started_at")],
+    )
+    ordered = OrderedGroups(keys, ["job_date"], list_order())
     one = F.lit(1).cast("long")
     running = ordered.running(day_position=("sum", one), _upto=("sum", F.col("_takes"))).rows
     before = (F.col("_upto") - F.coalesce("_takes", F.lit(0))).cast("double")
     running = running.withColumn("_before", F.when(F.col("day_position") > 1, before))
-    offset = F.when(F.col("_usable") & is_below, fx.nearest(F.col("_before")))
-    return running.withColumns(
+    offset = F.when(F.col("_timed"), fx.nearest(F.col("_before")))
+    timed = running.withColumns(
         {
-            "is_current": is_current,
             "eta_offset_ms": offset,
             "eta_at": F.timestamp_millis(F.unix_millis(F.col("started_at").cast("timestamp")) + offset),
         }
-    ).drop("_key", "_usable", "_takes", "_upto", "_before", "_current")
+    )
+    return lookup_join(open_jobs, timed.drop("job_date", "sort_order", "_takes", "_upto", "_before", "_timed"), ["id"])

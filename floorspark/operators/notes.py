@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from floorspark.functions import formulas as fx
 from floorspark.functions.text import escape_markup
 from floorspark.operators.views import published_jobs
-from floorspark.plans.ordered import OrderedGroups, number_slice
+from floorspark.plans.ordered import OrderedGroups
 from floorspark.plans.skew import lookup_join
 
 
@@ -30,25 +30,30 @@ def newest_first(notes: DataFrame) -> DataFrame:
     show the part. Only keys and times are sorted; the texts join by id.
     """
     shown = notes.where(F.col("visible_to_trolley") & fx.not_blank("item_number"))
-    order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
-    cut = number_slice(-F.unix_seconds(F.col("created_at").cast("timestamp")), 86_400, -F.col("id"))
-    keys = shown.select("item_number", "created_at", "id")
-    placed = OrderedGroups(keys, ["item_number"], order, cut).numbered("place").rows
-    return shown.join(placed.select("id", "place"), "id").select(
+    return lookup_join(shown, _places(shown).select("id", "place"), ["id"], "inner").select(
         "item_number", "place", F.col("id").alias("note_id"), escape_markup("body").alias("body"), "created_at"
     )
 
 
+def _places(shown: DataFrame) -> DataFrame:
+    """The place of each note in its part's list, without texts."""
+    order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
+    keys = shown.select("item_number", "created_at", "id")
+    return OrderedGroups(keys, ["item_number"], order).numbered("place").rows
+
+
 def under_jobs(jobs: DataFrame, notes: DataFrame, published_day: DataFrame) -> DataFrame:
     """Under each job of the published day, its part's visible notes, newest first.
 
-    Ids meet first; the texts join once the day's notes are known. ``place`` is
+    Ids and places meet first; bodies join by the note's id last. ``place`` is
     the note's place under the job, which is its place in the part's list.
     """
     today = published_jobs(jobs, published_day).where(fx.not_blank("item_number")).select(F.col("id").alias("job_id"), "item_number")
-    parts = today.select("item_number").distinct()
-    listed = newest_first(notes_for(parts, notes))
-    return lookup_join(today, listed, ["item_number"], "inner").select("job_id", "item_number", "place", "note_id", "body")
+    shown = notes_for(today, notes)
+    places = _places(shown).select("item_number", "place", F.col("id").alias("note_id"))
+    ids = lookup_join(today, places, ["item_number"], "inner")
+    bodies = shown.select(F.col("id").alias("note_id"), escape_markup("body").alias("body"))
+    return lookup_join(ids, bodies, ["note_id"], "inner").select("job_id", "item_number", "place", "note_id", "body")
 
 
 def fan_out(open_jobs: DataFrame, notes: DataFrame, published_day: DataFrame) -> DataFrame:

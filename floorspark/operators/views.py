@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.functions import formulas as fx
-from floorspark.plans.ordered import OrderedGroups, number_slice
+from floorspark.plans.ordered import OrderedGroups
 from floorspark.plans.skew import lookup_join
 
 
@@ -15,12 +15,6 @@ def list_order() -> list[Column]:
     return [F.col("sort_order").asc_nulls_last(), F.col("id").asc()]
 
 
-def list_slice() -> Column:
-    """Slices along the list order: order values an hour apart in epoch seconds,
-    unordered jobs by id."""
-    return number_slice(F.col("sort_order"), 3600, F.col("id"))
-
-
 def list_key(sort_order: str = "sort_order", id: str = "id") -> Column:
     """The list order as one comparable value."""
     order = F.col(sort_order)
@@ -104,8 +98,10 @@ def shown_day(published_day: DataFrame, as_of: Column) -> DataFrame:
 
 
 def positions(rows: DataFrame) -> DataFrame:
-    """Place of each job in its day's list."""
-    return OrderedGroups(rows, ["job_date"], list_order(), list_slice()).numbered("day_position").rows
+    """Place of each job in its day's list; only keys are ordered, the rest joins by id."""
+    keys = rows.select("job_date", "sort_order", "id")
+    placed = OrderedGroups(keys, ["job_date"], list_order()).numbered("day_position").rows
+    return lookup_join(rows, placed.select("id", "day_position"), ["id"])
 
 
 def listed(rows: DataFrame) -> DataFrame:

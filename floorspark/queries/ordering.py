@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from floorspark.functions import formulas as fx
 from floorspark.operators import calibration, changes, chat, edits, eta, parts, views
 from floorspark.operators.notes import note_counts
-from floorspark.plans.ordered import OrderedGroups, time_slice
+from floorspark.plans.ordered import OrderedGroups
 from floorspark.queries.columns import ETA_STEPS, OPEN, project_etas
 from floorspark.queries.registry import plain, query
 from floorspark.sources.tables import Tables
@@ -135,7 +135,7 @@ from (select *, cast(created_at as date) as created_day from app_users) u order
 def listed_users(t: Tables) -> DataFrame:
     users = t.app_users.withColumn("created_day", F.col("created_at").cast("date"))
     order = [F.col("created_at").asc_nulls_last(), F.col("user_id").asc()]
-    placed = OrderedGroups(users, ["created_day"], order, time_slice(F.col("created_at"), 3600)).numbered("place")
+    placed = OrderedGroups(users, ["created_day"], order).numbered("place")
     return placed.rows.orderBy("created_at", "user_id").select("user_id", "email", "created_day", "place")
 
 

@@ -8,8 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from floorspark.functions import formulas as fx
-from floorspark.operators import calibration, edits, eta, notes, parts, views
+from floorspark.operators import calibration, edits, parts, views
 from floorspark.plans.ordered import SLICE, OrderedGroups, number_slice
 from floorspark.plans.skew import lookup_join
 from floorspark.sources.tables import Tables
@@ -63,14 +62,61 @@ def test_slices_carry_every_kind(spark):
     assert spark_rows(after)[1] == spark_rows(want)[1]
 
 
-def test_building_a_query_runs_no_job(spark):
+def tied_rows(spark):
+    """9,000 rows; a third of all, in one group, share a single order value."""
+    tied = F.col("id") % 3 == 0
+    return spark.range(9000, numPartitions=5).select(
+        F.when(tied, 0).otherwise(F.col("id") % 50).alias("k"),
+        F.when(tied, 7).when(F.col("id") % 100 > 1, F.col("id") % 6).alias("at"),
+        (F.col("id") * 7919 % 9000).alias("id"),
+        (F.col("id") * 37 % 101).alias("v"),
+    )
+
+
+def test_tied_rows_of_a_hot_group_are_cut(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be merged
+    ordered = OrderedGroups(tied_rows(spark), ["k"], [F.col("at").asc_nulls_last(), F.col("id").asc()])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in ordered._rows.where("k = 0 and at = 7").groupBy(SLICE).count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) >= 2 and max(sizes) <= 2 * 9000 / 8
+
+
+def test_range_slices_carry_every_kind(spark):
+    rows, order = tied_rows(spark), [F.col("at").asc_nulls_last(), F.col("id").asc()]
+    w = Window.partitionBy("k").orderBy(*order)
+    numbered = OrderedGroups(rows, ["k"], order).numbered("n").rows
+    assert spark_rows(numbered)[1] == spark_rows(rows.withColumn("n", F.row_number().over(w).cast("long")))[1]
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    got = OrderedGroups(rows, ["k"], order).running(s=("sum", F.col("v")), lo=("min", F.col("v")), hi=("max", F.col("v"))).rows
+    want = rows.withColumns({"s": F.sum("v").over(upto), "lo": F.min("v").over(upto), "hi": F.max("v").over(upto)})
+    assert spark_rows(got)[1] == spark_rows(want)[1]
+    timed = rows.where("at is not null")
+    after = OrderedGroups(timed, ["k"], order).following("next", F.col("at")).rows
+    assert spark_rows(after)[1] == spark_rows(timed.withColumn("next", F.lead("at").over(w)))[1]
+    falling = [F.col("at").desc_nulls_last(), F.col("id").desc()]
+    back = OrderedGroups(rows, ["k"], falling).numbered("n").rows
+    w = Window.partitionBy("k").orderBy(*falling)
+    assert spark_rows(back)[1] == spark_rows(rows.withColumn("n", F.row_number().over(w).cast("long")))[1]
+
+
+def test_range_slices_of_nothing_and_of_null_groups(spark):
+    order = [F.col("id").asc()]
+    none = spark.createDataFrame([], "k int, id long")
+    assert OrderedGroups(none, ["k"], order).numbered("n").rows.collect() == []
+    rows = spark.createDataFrame([(None, 3), (None, 1), (2, 5)], "k int, id long")
+    placed = {(r["k"], r["id"]): r["n"] for r in OrderedGroups(rows, ["k"], order).numbered("n").rows.collect()}
+    assert placed == {(None, 1): 1, (None, 3): 2, (2, 5): 1}
+
+
+def test_building_on_arrival_numbers_runs_no_job(spark):
+    """Range partitions store the ordered keys; cuts by a number store nothing."""
     t = Tables(spark, f"{DATA}/sf0.001")
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("built", "building only")
-    eta.project(t.jobs.where(fx.is_open()), t.job_pace)
     edits.clamped_counter(t.edits)
     calibration.fit_history(t.cal_seq)
-    notes.newest_first(t.notes)
+    parts.carry_forward(t.jobs, t.counts)
+    views.job_summary(t.jobs, t.counts)
     assert list(tracker.getJobIdsForGroup("built")) == []
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
