@@ -61,6 +61,10 @@ def entries_count(entries: Column | str) -> Column:
     return F.when(col(entries).isNull(), F.lit(0)).otherwise(F.size(col(entries)))
 
 
+def counted_total_v1(override: str = "manual_total_override", entries: str = "trolley_entries") -> Column:
+    return F.coalesce(F.col(override), entries_total(entries))
+
+
 def effective_qty(total: Column | str, is_doubles: Column | str = "is_doubles") -> Column:
     """Moulds used: two cores share one when the job runs doubles."""
     # Wide enough for any int, narrow enough for the tonnage product to stay exact.

@@ -10,11 +10,12 @@ from floorspark.plans.ordered import OrderedGroups
 from floorspark.plans.skew import lookup_join
 
 
-def latest(rows: DataFrame, key: str, *rank: str) -> DataFrame:
+def latest(rows: DataFrame, key: str | list[str], *rank: str) -> DataFrame:
     """The row of each key that ranks highest, by aggregation rather than a sort."""
-    fields = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(*rank)).alias("_row")).select(
-        key, *[F.col(f"_row.{c}").alias(c) for c in fields]
+    keys = [key] if isinstance(key, str) else list(key)
+    fields = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.struct(*rank)).alias("_row")).select(
+        *keys, *[F.col(f"_row.{c}").alias(c) for c in fields]
     )
 
 

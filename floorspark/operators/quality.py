@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from floorspark.plans.skew import lookup_join
@@ -32,7 +33,29 @@ def null_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def outside_domain(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """Rows whose value is not allowed; null passes, as in a check constraint."""
-    return rows.where(~F.col(column).isin(allowed))
+    return rows.where(not_allowed(column, allowed))
+
+
+def write_checked(rows: DataFrame, checks: dict[str, Column], write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Write rows and return how many of them meet each condition.
+
+    The counts are taken while the rows are stored, not by scans of their own;
+    ``write`` gets the observed rows and must write them in one go.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.coalesce(condition, F.lit(False))).alias(name) for name, condition in checks.items()]
+    write(rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counts))
+    return {name: seen.get[name] for name in ("rows", *checks)}
+
+
+def missing(column: str) -> Column:
+    """Null where a value is required."""
+    return F.col(column).isNull()
+
+
+def not_allowed(column: str, allowed: list[str]) -> Column:
+    """Outside the domain; null passes, as in a check constraint."""
+    return ~F.col(column).isin(allowed)
 
 
 def singleton_state(rows: DataFrame) -> DataFrame:
@@ -53,14 +76,14 @@ def command_result(commands: DataFrame, users: DataFrame) -> DataFrame:
 
     Messages are fixed values.
     """
-    missing = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
     owners = users.where("is_owner").select(F.col("user_id").alias("caller_id"), F.lit(True).alias("_owner")).distinct()
     in_domain = F.coalesce(F.col("permission").isin(PERMISSIONS), F.lit(False))
-    given = ~missing("permission")
+    given = ~blank("permission")
     action = F.col("action")
     own = F.col("user_id").eqNullSafe(F.col("caller_id"))
     create = (
-        F.when(missing("email") | missing("password") | missing("name"), "email, password, and name are required")
+        F.when(blank("email") | blank("password") | blank("name"), "email, password, and name are required")
         .when(F.length("password") < MIN_PASSWORD, "password must be at least 8 characters")
         .when(~in_domain, "invalid permission")
         .otherwise("ok")

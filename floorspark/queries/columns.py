@@ -9,6 +9,8 @@ from floorspark.functions import formulas as fx
 from floorspark.functions import text as tx
 from floorspark.operators import calibration, changes, eta, flows, ingest, views
 from floorspark.queries.registry import plain, query
+from floorspark.session import new_folder
+from floorspark.sources import storage
 from floorspark.sources.tables import Tables
 
 OPEN = "not coalesce(is_done, false)"
@@ -96,10 +98,26 @@ def counted_total_v1(t: Tables) -> DataFrame:
     return t.counts_v1.select(
         "job_id",
         fx.entries_count("trolley_entries").cast("long").alias("trolley_count"),
-        F.coalesce("manual_total_override", fx.entries_total("trolley_entries")).cast("long").alias("counted_total"),
+        fx.counted_total_v1().cast("long").alias("counted_total"),
     )
 
 
+@query(
+    "pr_05_layouts",
+    "counts_v0 counts",
+    f"""with {ENTRY_ROWS}
+select 'v0' as layout, job_id, cast(coalesce(manual_total_override, cores_per_trolley * trolley_count, 0) as bigint) as counted_total, null as still_making from counts_v0
+union all select 'v1', o_orderkey, cast(case when o_orderkey % 7 = 0 then o_orderkey % 90 else ifnull(sum(entry), 0) end as bigint), null
+from orders left join entries e on e.job_id = o_orderkey group by o_orderkey
+union all select 'v2', job_id, cast(coalesce(manual_total_override, {PRODUCT}) as bigint), still_making from counts""",
+)
+def totals_of_all_layouts(t: Tables) -> DataFrame:
+    folder = new_folder(t.spark, "counts")
+    for name, rows in (("2023", t.counts_v0), ("2024", t.counts_v1), ("2025", t.counts)):
+        rows.write.parquet(f"{folder}/{name}")
+    return storage.read_counts(t.spark, folder).select("layout", "job_id", "counted_total", "still_making")
+
+
 @query(
     "pr_07",
     "jobs counts",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from floorspark.operators import access, parts, quality, views
 from floorspark.queries.registry import query
 from floorspark.queries.scans import incoming_saves
+from floorspark.session import new_folder
 from floorspark.sources.tables import Tables
 
 
@@ -379,6 +380,38 @@ def null_columns(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "dq_02_observed",
+    "jobs chat_messages app_users",
+    """select 'jobs' as relation, unnest(['rows', 'no am_number', 'no grade', 'no job_date']) as check_name,
+ unnest([count(*), count(*) - count(am_number), count(*) - count(grade), count(*) - count(job_date)]) as found from jobs
+union all select 'chat_messages', unnest(['rows', 'no sender_name', 'sender_role']),
+ unnest([count(*), count(*) filter (sender_name is null), count(*) filter (sender_role not in ('admin', 'trolley'))]) from chat_messages
+union all select 'app_users', unnest(['rows', 'permission', 'wrong key']),
+ unnest([count(*), count(*) filter (permission not in ('view_only', 'full_access')), count(*) filter (user_id <> 1)]) from app_users""",
+)
+def observed_while_stored(t: Tables) -> DataFrame:
+    checked = [
+        ("jobs", t.jobs, {f"no {c}": quality.missing(c) for c in ("am_number", "grade", "job_date")}),
+        (
+            "chat_messages",
+            t.chat_messages,
+            {"no sender_name": quality.missing("sender_name"), "sender_role": quality.not_allowed("sender_role", quality.SENDER_ROLES)},
+        ),
+        (
+            "app_users",
+            t.app_users,
+            {"permission": quality.not_allowed("permission", quality.PERMISSIONS), "wrong key": F.col("user_id") != 1},
+        ),
+    ]
+    found = []
+    for relation, rows, checks in checked:
+        folder = new_folder(t.spark, relation)
+        counts = quality.write_checked(rows, checks, lambda seen, folder=folder: seen.write.parquet(folder))
+        found += [(relation, name, count) for name, count in counts.items()]
+    return t.spark.createDataFrame(found, "relation string, check_name string, found long")
+
+
 @query(
     "dq_03",
     "chat_messages additions user_commands",

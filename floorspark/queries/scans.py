@@ -9,6 +9,8 @@ from floorspark.functions import formulas as fx
 from floorspark.operators import calibration, changes, ingest, notes, parts, views
 from floorspark.queries.columns import EXTRACTED, HEIGHT, OPEN, PRODUCT, WIDTH
 from floorspark.queries.registry import plain, query
+from floorspark.session import new_folder
+from floorspark.sources import storage
 from floorspark.sources.tables import Tables
 
 
@@ -224,6 +226,25 @@ def toggled_jobs(t: Tables) -> DataFrame:
     return changes.apply_toggles(t.jobs, t.toggles, t.app_users, "is_done").select("id", "is_done")
 
 
+@query(
+    "sc_14_days",
+    "jobs toggles",
+    """with last as (select job_id, arg_max(flag, seq) as flag from toggles group by job_id)
+select id, if(id % 5 = 0 and l.job_id is not null, date '1992-01-01', job_date) as job_date, coalesce(l.flag, is_done) as is_done
+from jobs left join last l on l.job_id = id where l.job_id is null or id % 7 <> 0""",
+)
+def toggled_days(t: Tables) -> DataFrame:
+    """Toggles, moves to another day and deletes, written into the stored day folders they touch."""
+    folder = new_folder(t.spark, "jobs")
+    storage.write_days(t.jobs, folder)
+    last = changes.latest(t.toggles.select("job_id", "seq", "flag"), "job_id", "seq").withColumnRenamed("job_id", "id")
+    touched = t.jobs.join(last.drop("seq"), "id")
+    moved = F.when(F.col("id") % 5 == 0, F.lit("1992-01-01").cast("date")).otherwise(F.col("job_date"))
+    changed = touched.withColumns({"is_done": F.coalesce("flag", "is_done"), "job_date": moved}).drop("flag")
+    storage.upsert_days(t.spark, folder, "jobs", changed.where("id % 7 <> 0"), gone=touched.where("id % 7 = 0"))
+    return storage.read_floor(t.spark, folder, "jobs").select("id", "job_date", "is_done")
+
+
 @query(
     "sc_15",
     "jobs counts job_pace",

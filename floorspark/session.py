@@ -19,6 +19,10 @@ SESSION_SETTINGS = {
 }
 
 
+#: Folders made by this process.
+_MADE: list[str] = []
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings every operator relies on."""
     for key, value in SESSION_SETTINGS.items():
@@ -74,4 +78,32 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own inside the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Remove what this process stored in the shared folder.
+
+    Call it once the results are written elsewhere: tables, logs and streams in
+    folders of the caller's own stay.
+    """
+    while _MADE:
+        remove_folder(spark, _MADE.pop())
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder of any store Spark reads; none if it is absent."""
+    files, at = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, at = _hadoop(spark, path)
+    files.delete(at, True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floorspark.operators import ingest, views
-from floorspark.session import new_folder, shared_folder
+from floorspark.session import folder_names, new_folder, shared_folder
 from floorspark.sources import storage
 from floorspark.sources.bindings import BINDINGS, with_clause
 from floorspark.sources.tables import Tables
@@ -88,3 +88,58 @@ def test_configured_folder_is_used(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         assert configured.rstrip("/") in shared_folder(spark)
+
+
+def files_of(spark, path):
+    """Folder names with the files in each."""
+    return {day: folder_names(spark, f"{path}/{day}") for day in folder_names(spark, path) if day.startswith("job_date=")}
+
+
+def test_only_changed_days_are_written(tables):
+    spark, path = tables.spark, new_folder(tables.spark, "jobs")
+    storage.write_days(tables.jobs, path)
+    before, jobs = files_of(spark, path), storage.read_floor(spark, path, "jobs")
+    lonely = tables.jobs.groupBy("job_date").count().where("count = 1").orderBy("job_date").first()["job_date"]
+    others = [r["id"] for r in tables.jobs.where(F.col("job_date") != lonely).orderBy("id").limit(3).collect()]
+    target = tables.jobs.where(F.col("id") == others[0]).first()["job_date"]
+    # One job leaves its day empty, one is changed in place, one is new, one is deleted.
+    alone = tables.jobs.where(F.col("job_date") == lonely).withColumn("job_date", F.lit(target))
+    edited = tables.jobs.where(F.col("id") == others[1]).withColumn("grade", F.lit("edited"))
+    new = tables.jobs.where(F.col("id") == others[0]).withColumns({"id": F.lit(-5).cast("long"), "job_date": F.lit("2031-05-05").cast("date")})
+    gone = tables.jobs.where(F.col("id") == others[2])
+    changed = alone.unionByName(edited).unionByName(new)
+    expected = tables.jobs.join(changed.select("id").unionByName(gone.select("id")), "id", "left_anti").unionByName(changed)
+    days = storage.upsert_days(spark, path, "jobs", changed, gone=gone)
+    after = files_of(spark, path)
+    names = {f"job_date={d}" for d in days}
+    assert {d for d in before | after if before.get(d) != after.get(d)} == names and len(names) <= 5 < len(before)
+    assert f"job_date={lonely}" not in after and "job_date=2031-05-05" in after
+    rows = lambda df: spark_rows(df.select("id", "job_date", "grade", "planned_qty"))
+    assert rows(storage.read_floor(spark, path, "jobs")) == rows(expected) and jobs.schema == storage.read_floor(spark, path, "jobs").schema
+    assert storage.upsert_days(spark, path, "jobs", changed.limit(0)) == [] and files_of(spark, path) == after
+
+
+def test_counts_of_all_layouts_in_one_table(tables):
+    spark, path = tables.spark, new_folder(tables.spark, "counts")
+    tables.counts_v0.write.parquet(f"{path}/a")
+    tables.counts_v1.write.parquet(f"{path}/b")
+    tables.counts.drop("still_making", "comment").where("job_id % 2 = 0").write.parquet(f"{path}/c")
+    tables.counts.where("job_id % 2 = 1").write.mode("append").parquet(f"{path}/c")
+    both = storage.read_counts(spark, path)
+    per = {r["layout"]: r["count"] for r in both.groupBy("layout").count().collect()}
+    assert per == {"v0": tables.counts_v0.count(), "v1": tables.counts_v1.count(), "v2": tables.counts.count()}
+    nulls = both.where("layout = 'v0' and trolley_count is null").count() + both.where("layout = 'v2' and trolley_count is not null").count()
+    assert nulls == 0 and both.where("counted_total is null").count() == 0
+    assert both.where("layout = 'v2' and still_making is not null").where("job_id % 2 = 0").count() == 0
+
+
+def test_stored_folders_can_be_removed(spark):
+    from floorspark import session
+
+    kept, session._MADE[:] = list(session._MADE), []
+    rows = session.stored(spark.range(3), "short-lived")
+    assert rows.count() == 3
+    folder = session._MADE[0]
+    session.remove_stored(spark)
+    assert folder_names(spark, folder) == [] and session._MADE == []
+    session._MADE[:] = kept

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from floorspark.operators import changes, chat, edits
+from floorspark.operators import calibration, changes, chat, edits
 from floorspark.queries.scans import incoming_saves
 from floorspark.queries.streams import stamped
 from floorspark.session import new_folder
@@ -212,3 +212,211 @@ def test_applied_replays_reach_the_counts(tables):
     alive = incoming_saves(tables).join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
     expected = changes.upsert(tables.counts, alive, "job_id")
     assert spark_rows(feeds.applied_replays(log, tables.counts)) == spark_rows(expected.select(*tables.counts.columns))
+
+
+def test_open_bursts_come_from_the_state(tables):
+    """Every burst is there, closed or open, also while the stream goes on."""
+    folder = new_folder(tables.spark, "bursts")
+    every = feeds.all_bursts(arriving(tables, "events", "edits", "event_id"), "1 hour", "10 minutes", folder)
+    columns = ["job_id", "seq", "kind", "raw"]
+    assert spark_rows(every.select(*columns)) == spark_rows(edits.bursts(tables.edits, 3600).select(*columns))
+    assert feeds.open_bursts(tables.spark, folder, every.columns).count() > 0
+
+
+POINTS = "device long, seq long, idx double, temp double, added_at timestamp"
+PIXELS = "frame_id long, device long, x int, y int, r double, g double, b double, frozen boolean, captured_at timestamp"
+
+
+def clock(minute):
+    import datetime as dt
+
+    return dt.datetime(2024, 1, 1, 6) + dt.timedelta(minutes=minute)
+
+
+def test_a_point_added_midway_changes_later_frames_only(spark):
+    """Points and frames come in turns; frames after the second run see its points."""
+    points_at, pixels_at = new_folder(spark, "points"), new_folder(spark, "pixels")
+    fits_at, frames_at = new_folder(spark, "fits"), new_folder(spark, "frames")
+    points = [[(1, 0, 0.0, 1000.0, clock(0)), (1, 1, 0.5, 1100.0, clock(1))], [(1, 2, 0.25, 1500.0, clock(10)), (2, 3, 0.1, 900.0, clock(11))]]
+    frames = [[(1, 1, clock(0)), (2, 1, clock(5)), (3, 2, clock(5))], [(4, 1, clock(9)), (5, 1, clock(12)), (6, 2, clock(12))]]
+    for added, shown in zip(points, frames, strict=True):
+        spark.createDataFrame(added, POINTS).coalesce(1).write.mode("append").parquet(points_at)
+        pixels = [(f, d, 25, 25, 60.0, 0.0, 20.0, False, at) for f, d, at in shown] + [(f, d, 1, 1, 9.0, 9.0, 9.0, False, at) for f, d, at in shown]
+        spark.createDataFrame(pixels, PIXELS).coalesce(1).write.mode("append").parquet(pixels_at)
+        versions = feeds.follow_points(spark.readStream.schema(POINTS).parquet(points_at), "points", fits_at)
+        current = lambda log=versions: calibration.version_fits(log.newest(["device", "seq"]))
+        log = feeds.follow_temperatures(spark.readStream.schema(PIXELS).parquet(pixels_at), current, 50, 50, "10 minutes", "frames", frames_at)
+    found = {r["frame_id"]: (r["points"], r["temperature"]) for r in log.newest("frame_id").collect()}
+    # idx is 0.5: on the line through two points 1100, on the refit 1200 + ...
+    whole = calibration.fit(spark.createDataFrame([p for run in points for p in run if p[0] == 1], POINTS)).first()
+    after = int(whole["a"] * (40 / (80 + 1e-6)) + whole["b"] + 0.5)
+    assert found == {1: (1, None), 2: (2, 1100), 3: (None, None), 4: (2, 1100), 5: (3, after), 6: (1, None)} and after != 1100
+    versions = {(r["device"], r["seq"]): r["n"] for r in versions.rows().where("batch >= 0").collect()}
+    assert versions == {(1, 0): 1, (1, 1): 2, (1, 2): 3, (2, 3): 1}
+
+
+def test_versions_do_not_depend_on_the_batches(tables):
+    points = arriving(tables, "events", "cal_seq", "event_id").withColumn("added_at", F.timestamp_seconds("seq"))
+    log = feeds.follow_points(points, "points")
+    assert batches(log) == 4
+    rounded = lambda rows: spark_rows(rows.select("device", "seq", "n", *[F.round(c, 6).alias(c) for c in ("a", "b", "r2")]))
+    assert rounded(calibration.version_fits(log.newest(["device", "seq"]))) == rounded(calibration.fit_history(tables.cal_seq))
+
+
+def test_frames_take_the_version_of_their_time(spark):
+    """A third of all frames on one device, equal times, devices without a version."""
+    frames = spark.range(900).select(
+        F.col("id").alias("frame_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).cast("long").alias("device"),
+        F.timestamp_seconds(F.col("id") % 60).alias("captured_at"),
+    )
+    versions = spark.range(300).select(
+        (F.col("id") % 40).alias("device"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") * 7 % 60).alias("added_at"), (F.col("id") * 3).alias("value")
+    )
+    got = {r["frame_id"]: r["value"] for r in calibration.as_of(frames, versions, "captured_at").collect()}
+    known = versions.collect()
+    for f in frames.collect():
+        there = [(v["added_at"], v["seq"], v["value"]) for v in known if v["device"] == f["device"] and v["added_at"] <= f["captured_at"]]
+        assert got[f["frame_id"]] == (max(there)[2] if there else None)
+
+
+def test_the_clock_retries_without_new_saves(spark):
+    """Two payloads wait, the network comes back with the third tick; a newer save replaces one."""
+    saves_at, ticks_at, log_at = new_folder(spark, "saves"), new_folder(spark, "ticks"), new_folder(spark, "log")
+    columns = "job_id long, seq long, updated_at timestamp, offline boolean"
+    jobs = spark.createDataFrame([(1,), (2,), (4,)], "id long")
+
+    def go(new=()):
+        if new:
+            spark.createDataFrame(list(new), columns).coalesce(1).write.mode("append").parquet(saves_at)
+        spark.range(1).write.mode("append").parquet(ticks_at)
+        ticks = spark.readStream.schema("id long").parquet(ticks_at)
+        saves = spark.readStream.schema(columns).parquet(saves_at)
+        log = feeds.follow_replays(saves, jobs, "replays", log_at, ticks=ticks, unreachable=lambda batch: F.lit(batch < 3))
+        return {r["job_id"]: (r["seq"], r["attempts"], r["outcome"]) for r in log.newest("job_id").collect()}
+
+    assert go([(1, 0, clock(0), True), (2, 1, clock(0), True), (3, 2, clock(0), True), (4, 3, clock(0), False)]) == {
+        1: (0, 1, "pending"), 2: (1, 1, "pending"), 3: (2, 1, "pending"), 4: (3, 1, "applied")
+    }
+    assert go() == {1: (0, 2, "pending"), 2: (1, 2, "pending"), 3: (2, 2, "pending"), 4: (3, 1, "applied")}
+    assert go([(2, 9, clock(5), False)]) == {1: (0, 3, "pending"), 2: (9, 1, "applied"), 3: (2, 3, "pending"), 4: (3, 1, "applied")}
+    assert go() == {1: (0, 4, "applied"), 2: (9, 1, "applied"), 3: (2, 4, "dropped"), 4: (3, 1, "applied")}
+    assert go() == {1: (0, 4, "applied"), 2: (9, 1, "applied"), 3: (2, 4, "dropped"), 4: (3, 1, "applied")}
+
+
+def test_a_running_clock_ticks(spark):
+    import time
+
+    from floorspark.streaming.run import run
+
+    folder = new_folder(spark, "clock")
+    stream = run(feeds.retry_clock(spark, 1).writeStream.format("parquet").option("path", f"{folder}/rows"), folder, continuous=True, every="1 second")
+    until = time.time() + 30
+    while time.time() < until and spark.read.schema("value long").parquet(f"{folder}/rows" if stream.lastProgress else ChangeLog.create(spark, "no", "value long").folder + "/rows").count() < 2:
+        time.sleep(0.5)
+    stream.stop()
+    assert spark.read.schema("value long").parquet(f"{folder}/rows").count() >= 2
+
+
+def deleted_stream(spark, folder, ids):
+    spark.createDataFrame([(i,) for i in ids], "job_id long").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema("job_id long").parquet(folder)
+
+
+def test_deleted_jobs_end_their_counts_and_notes(tables):
+    """Deletes in the middle of a stream: counts, notes and later saves of the job go."""
+    spark, gone_at, log_at, events_at = tables.spark, new_folder(tables.spark, "gone"), new_folder(tables.spark, "log"), new_folder(tables.spark, "events")
+    saved = [r["job_id"] for r in tables.saves.select("job_id").distinct().orderBy("job_id").limit(4).collect()]
+    middle = tables.events.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    for i, ids in enumerate([saved[:1], saved[1:3]]):
+        part = tables.events.where(F.col("event_id") < middle if i == 0 else F.col("event_id") >= middle)
+        part.coalesce(1).write.mode("append").parquet(events_at)
+        stream = tables.derive("saves", events=spark.readStream.schema(SOURCES["events"]).parquet(events_at))
+        log = feeds.follow_saves(incoming_saves(_with(tables, "saves", stream)), "saves", folder=log_at, deletes=deleted_stream(spark, gone_at, ids))
+    assert {r["job_id"] for r in log.ended_keys().collect()} == set(saved[:3])
+    left = log.current(stamped(feeds.surviving(tables.counts, "job_id", log)), "job_id")
+    expected = changes.upsert(tables.counts, incoming_saves(tables), "job_id").where(~F.col("job_id").isin(saved[:3]))
+    kept = ["job_id", "group_a_cores", "comment"]
+    assert spark_rows(left.select(*kept)) == spark_rows(expected.select(*kept))
+    notes = feeds.surviving(tables.job_notes, "job_id", log)
+    assert spark_rows(notes.select("id")) == spark_rows(tables.job_notes.where(~F.col("job_id").isin(saved[:3])).select("id"))
+
+
+def test_edits_of_deleted_jobs_are_left_out(tables):
+    spark, gone_at = tables.spark, new_folder(tables.spark, "gone")
+    ids = [r["job_id"] for r in tables.edits.select("job_id").distinct().orderBy("job_id").limit(2).collect()]
+    log = feeds.follow_edits(
+        arriving(tables, "events", "edits", "event_id"), tables.counts, "fold", deletes=deleted_stream(spark, gone_at, ids)
+    )
+    expected = edits.fold(tables.edits, tables.counts).drop("updated_at").where(~F.col("job_id").isin(ids))
+    assert spark_rows(log.newest("job_id")) == spark_rows(expected)
+
+
+def test_resent_payloads_count_once_across_batches(spark):
+    folder, columns = new_folder(spark, "saves"), "job_id long, seq long, updated_at timestamp, arrived_at timestamp"
+    rows = [[(1, 0, clock(0), clock(0)), (1, 1, clock(0), clock(1))], [(1, 2, clock(0), clock(2)), (2, 3, clock(-500), clock(3))], [(2, 4, clock(-500), clock(4)), (1, 5, clock(5), clock(5))]]
+    for part in rows:
+        spark.createDataFrame(part, columns).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = collect_rows(feeds.once(stream, "arrived_at", "10 minutes"), "once").collect()
+    assert sorted((r["job_id"], r["updated_at"]) for r in found) == [(1, clock(0)), (1, clock(5)), (2, clock(-500))]
+
+
+def test_markers_and_messages_meet_while_both_arrive(tables):
+    """The dot goes when the panel is opened and comes back with a newer message."""
+    import datetime as dt
+
+    spark, day = tables.spark, dt.date(2024, 1, 1)
+    said_at, seen_at, log_at = (new_folder(tables.spark, n) for n in ("said", "seen", "log"))
+    said, seen = "job_date date, sender_role string, created_at timestamp", "job_date date, viewer string, seen_at timestamp"
+
+    def go(message, marker):
+        spark.createDataFrame([(day, *message)], said).coalesce(1).write.mode("append").parquet(said_at)
+        spark.createDataFrame([(day, *marker)], seen).coalesce(1).write.mode("append").parquet(seen_at)
+        log = feeds.follow_unread(spark.readStream.schema(said).parquet(said_at), spark.readStream.schema(seen).parquet(seen_at), "unread", log_at)
+        return {r["viewer"]: r["unread"] for r in feeds.unread_by_viewer(log).collect()}
+
+    assert go(("admin", clock(0)), ("Ann", clock(-1))) == {"Ann": True}
+    assert go(("trolley", clock(9)), ("Ann", clock(1))) == {"Ann": False}
+    assert go(("admin", clock(2)), ("Bob", clock(3))) == {"Ann": True, "Bob": False}
+
+
+def test_a_log_settles_in_levels_and_drops_what_is_settled(spark, monkeypatch):
+    monkeypatch.setattr(ChangeLog, "SETTLE_EVERY", 3)
+    log = ChangeLog.create(spark, "levels", "job_id long, total int", key="job_id")
+    state = {}
+    for batch in range(20):
+        rows = [(batch % 4, batch), (100 + batch, batch)]
+        state |= dict(rows)
+        log.write(spark.createDataFrame(rows, "job_id long, total int"), batch)
+        if (batch + 1) % 3 == 0:
+            log.settle(batch)
+        if batch in (2, 7, 8, 13, 17, 19):
+            assert {r["job_id"]: r["total"] for r in log.newest("job_id").collect()} == state
+            earlier = {r["job_id"]: r["total"] for r in log.newest("job_id", before=batch).collect()}
+            assert earlier == {k: v for k, v in _state_before(batch).items()}
+    assert log._settled(None) == ([(2, 8), (2, 17)], 18)
+    assert min(n for n in log._numbers("rows") if n >= 0) >= 15 and len(log._numbers("settled/level=1")) <= 6
+
+
+def _state_before(batch):
+    state = {}
+    for b in range(batch):
+        state |= {b % 4: b, 100 + b: b}
+    return state
+
+
+def test_checks_are_counted_while_a_stream_is_stored(spark):
+    from floorspark.operators import quality
+
+    columns = "id long, sender_role string"
+    checks = {"no role": quality.missing("sender_role"), "role": quality.not_allowed("sender_role", quality.SENDER_ROLES)}
+    folder = new_folder(spark, "roles")
+    for part in ([(1, "admin"), (2, None)], [(3, "boss"), (4, "boss"), (5, "trolley")]):
+        spark.createDataFrame(part, columns).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(folder)
+    log = ChangeLog.create(spark, "checked", columns, key="id", checks=checks).follow(stream, lambda rows, batch: rows)
+    found = {}
+    for r in log.violations().collect():
+        found.setdefault(r["batch"], {})[r["check_name"]] = r["rows"]
+    assert found == {0: {"rows": 2, "no role": 1, "role": 0}, 1: {"rows": 3, "no role": 0, "role": 2}}
+    assert log.newest("id").count() == 5
