@@ -236,7 +236,7 @@ from jobs left join last l on l.job_id = id where l.job_id is null or id % 7 <>
 def toggled_days(t: Tables) -> DataFrame:
     """Toggles, moves to another day and deletes, written into the stored day folders they touch."""
     folder = new_folder(t.spark, "jobs")
-    storage.write_days(t.jobs, folder)
+    t.jobs.repartition(8, "job_date").write.partitionBy("job_date").parquet(folder)
     last = changes.latest(t.toggles.select("job_id", "seq", "flag"), "job_id", "seq").withColumnRenamed("job_id", "id")
     touched = t.jobs.join(last.drop("seq"), "id")
     moved = F.when(F.col("id") % 5 == 0, F.lit("1992-01-01").cast("date")).otherwise(F.col("job_date"))
