@@ -3,10 +3,10 @@
 Only Spark expressions are used. A window has as many words as an item and holds
 a shingle of an item of that size; any other window has similarity 0. Windows are
 tried at every start, unless shingles of no such item weigh so much in them that
-they cannot reach the similarity. Each window's fingerprint is looked up among all items of that size by blocks: two
-fingerprints within RADIUS bits differ in some block by at most BLOCK_RADIUS,
-and every item is stored under all values that close. Candidates are confirmed
-by the exact weighted Jaccard of their shingles.
+they cannot reach the similarity. Each window's fingerprint is looked up among all
+items of that size by blocks: two fingerprints within RADIUS bits differ in some block
+by at most BLOCK_RADIUS, and every item is stored under all values that close.
+Candidates are confirmed by the exact weighted Jaccard of their shingles.
 
 A shingle is a 64-bit number: a hash above its weight in the six lowest bits. The
 weight is the number of its letters and digits, 63 at most, so that runs of
@@ -26,9 +26,12 @@ from floorspark.session import stored
 SHINGLE, BLOCK_BITS, BLOCK_RADIUS = 5, 8, 2
 #: Fingerprints as close as this share a close block, by counting.
 RADIUS = 64 // BLOCK_BITS * (BLOCK_RADIUS + 1) - 1
-#: Item shingles up to which their table is sent to every task; beyond, both
-#: sides are shuffled. A row has under 100 bytes.
-SENT_ROWS = 1 << 18
+#: Bits of a hash that name a text's place on the bitmap of texts with hits, which is
+#: sent to every task: 4 MB at any size of the data. When it fills up, more texts are
+#: shuffled, none is missed.
+ROUTE_BITS = 25
+#: Starts of a stretch whose windows are cut out together.
+STRETCH = 64
 
 _WEIGHT = 63
 _NEAR_MASKS = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= BLOCK_RADIUS]
@@ -56,22 +59,36 @@ def _weight(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda total, x: total + x.bitwiseAND(F.lit(_WEIGHT)))
 
 
-def fingerprint(shingles: Column) -> Column:
-    """64-bit SimHash of weighted shingles."""
+def _lanes(hashes: Column, wide: int) -> Column:
+    """SimHash with the votes of 64 / ``wide`` bits counted in one number each."""
+    mask = sum(1 << at for at in range(0, 64, wide))
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    total = F.aggregate(hashes, F.lit(0).cast("long"), lambda t, x: t + x["weight"])
+
+    def lane(b: Column) -> Column:
+        step = lambda t, x: t + F.call_function("shiftright", x["hash"], b).bitwiseAND(F.lit(signed(mask))) * x["weight"]
+        return F.aggregate(hashes, F.lit(0).cast("long"), step)
 
-    def bit(b: Column) -> Column:
-        def vote(total: Column, x: Column) -> Column:
-            weight = x.bitwiseAND(F.lit(_WEIGHT))
-            # Any bit of the hash: the shingle's own upper bits, mixed once more.
-            shifted = F.call_function("shiftright", F.xxhash64(x), b)
-            return total + F.when(shifted.bitwiseAND(F.lit(1)) == 1, weight).otherwise(-weight)
+    def bits(whole: Column, b: Column, votes: Column) -> Column:
+        for at in range(0, 64, wide):
+            share = F.shiftrightunsigned(votes, at).bitwiseAND(F.lit((1 << wide) - 1))
+            one = F.call_function("shiftleft", F.lit(1).cast("long"), b + at)
+            whole = whole.bitwiseOR(F.when(share * 2 > total, one).otherwise(F.lit(0).cast("long")))
+        return whole
 
-        return F.aggregate(shingles, F.lit(0).cast("long"), vote) > 0
+    lanes = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda b: F.struct(b.alias("b"), lane(b).alias("votes")))
+    return F.aggregate(lanes, F.lit(0).cast("long"), lambda whole, x: bits(whole, x["b"], x["votes"]))
 
-    def put(total: Column, b: Column) -> Column:
-        return total.bitwiseOR(F.when(bit(b), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), put)
+def fingerprint(shingles: Column) -> Column:
+    """64-bit SimHash of weighted shingles: a bit is set where more than half of the
+    weight is for it.
+
+    Four votes of 16 bits share a number, as long as the weights fit.
+    """
+    # Any bit of the hash: the shingle's own upper bits, mixed once more.
+    hashes = F.transform(shingles, lambda x: F.struct(F.xxhash64(x).alias("hash"), x.bitwiseAND(F.lit(_WEIGHT)).alias("weight")))
+    return F.when(F.size(shingles) * _WEIGHT < 1 << 16, _lanes(hashes, 16)).otherwise(_lanes(hashes, 32))
 
 
 def _block(value: Column, b: Column) -> Column:
@@ -91,12 +108,10 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return items.withColumn("print", fingerprint(F.col("shape")))
 
 
-def _hits(named: DataFrame, items: DataFrame, k: int, small: bool) -> DataFrame:
+def _hits(named: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """For each text and size, the places of shingles that an item of the size has."""
     own = items.where(F.col("k") == k)
     shingles = own.select("size", F.explode("shape").alias("shingle")).distinct()
-    if small:
-        shingles = F.broadcast(shingles)
     docs = named.select("doc_id", "version", words_of(F.col("text")).alias("words"))
     # The outer form: Spark adds a size filter to the other one and, moving it
     # down, would split the text anew for every shingle.
@@ -106,16 +121,34 @@ def _hits(named: DataFrame, items: DataFrame, k: int, small: bool) -> DataFrame:
     return sizes.select("doc_id", "version", F.lit(k).alias("k"), "sizes")
 
 
+def _place() -> Column:
+    """A text's place on the bitmap, from 1."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "version"), 64 - ROUTE_BITS) + 1
+
+
+def _with_hits(named: DataFrame, hits: DataFrame) -> DataFrame:
+    """The texts that have hits, and by chance a few more, before any text moves."""
+    pages = hits.groupBy(F.bitmap_bucket_number(_place()).alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_place())).alias("_bits"))
+    at = F.bitmap_bit_position(_place())
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    routed = named.withColumn("_page", F.bitmap_bucket_number(_place())).join(F.broadcast(pages), "_page")
+    return routed.where(set_).drop("_page", "_bits")
+
+
 def _windows(named: DataFrame, hits: DataFrame, k: int, percent: int) -> DataFrame:
     """All windows that may reach the similarity with an item of k-word shingles.
 
     Those hold a shingle of an item of their size, so each begins at most its own
     length before one. Shingles that no such item has cannot be shared: a window
-    where they weigh too much is left out."""
+    where they weigh too much is left out. Windows are cut out of stretches of the
+    text, so that no window carries the whole text along."""
     own = hits.where(F.col("k") == k).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "sizes")
     same = named["doc_id"].eqNullSafe(own["_id"]) & (named["version"] == own["_version"])
+    # Both sides are shuffled at every size: few texts are left here.
+    docs = named.join(own.hint("merge"), same)
     # Words in a step of their own, so that a text is not split for every shingle.
-    docs = named.join(own, same).select("doc_id", "version", words_of(F.col("text")).alias("words"), "sizes")
+    docs = docs.select("doc_id", "version", words_of(F.col("text")).alias("words"), "sizes")
     docs = docs.select("doc_id", "version", shingles_of(F.col("words"), k).alias("found"), "sizes")
     docs = docs.select("doc_id", "version", "found", F.inline_outer("sizes"))
     docs = docs.withColumn("places", F.array_sort("places"))
@@ -126,12 +159,20 @@ def _windows(named: DataFrame, hits: DataFrame, k: int, percent: int) -> DataFra
     def starts(at: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get("places", i - 1)).otherwise(F.lit(-1))
         lo, hi = F.greatest(before + 1, at - width + 1, F.lit(0)), F.least(at, last)
-        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+        cuts = F.sequence(lo, hi, F.lit(STRETCH))
+        stretch = lambda s: F.struct(
+            s.alias("lo"),
+            F.least(s + STRETCH - 1, hi).alias("hi"),
+            F.slice("found", s + 1, F.least(F.lit(STRETCH), hi - s + 1) + width - 1).alias("part"),
+        )
+        return F.when(lo <= hi, F.transform(cuts, stretch)).otherwise(F.array().cast("array<struct<lo:int,hi:int,part:array<bigint>>>"))
 
     known = F.array_distinct(F.transform("places", lambda at: F.get("found", at)))
-    docs = docs.select("doc_id", "version", "size", "found", known.alias("known"), F.flatten(F.transform("places", starts)).alias("starts"))
-    windows = docs.select("doc_id", "version", "size", "found", "known", F.explode_outer("starts").alias("start"))
-    seen = F.array_distinct(F.slice("found", F.col("start") + 1, F.col("size") - k + 1))
+    docs = docs.select("doc_id", "version", "size", known.alias("known"), F.flatten(F.transform("places", starts)).alias("stretches"))
+    parts = docs.select("doc_id", "version", "size", "known", F.inline_outer("stretches"))
+    parts = parts.select("doc_id", "version", "size", "lo", "hi", "part", F.array_intersect("known", "part").alias("known"))
+    windows = parts.select("doc_id", "version", "size", "lo", "part", "known", F.explode_outer(F.sequence("lo", "hi")).alias("start"))
+    seen = F.array_distinct(F.slice("part", F.col("start") - F.col("lo") + 1, F.col("size") - k + 1))
     windows = windows.select("doc_id", "version", "start", "size", seen.alias("seen"), "known")
     windows = windows.where(_weight(F.array_intersect("seen", "known")) * 100 >= _weight(F.col("seen")) * percent)
     return windows.drop("known")
@@ -142,10 +183,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
     of the text."""
     named = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     items = stored(_items(benchmark), "items")
-    shapes = {r["k"]: r["shingles"] for r in items.groupBy("k").agg(F.sum(F.size("shingles")).alias("shingles")).collect()}
-    lengths = sorted(shapes) or [SHINGLE]
-    hits = stored(reduce(DataFrame.unionByName, [_hits(named, items, k, shapes.get(k, 0) <= SENT_ROWS) for k in lengths]), "hits")
-    windows = reduce(DataFrame.unionByName, [_windows(named, hits, k, percent) for k in lengths])
+    lengths = sorted(r["k"] for r in items.select("k").distinct().collect()) or [SHINGLE]
+    hits = stored(reduce(DataFrame.unionByName, [_hits(named, items, k) for k in lengths]), "hits")
+    routed = _with_hits(named, hits)
+    windows = reduce(DataFrame.unionByName, [_windows(routed, hits, k, percent) for k in lengths])
     windows = stored(windows, "windows").withColumn("print", fingerprint(F.col("seen")))
 
     blocks = F.sequence(F.lit(0), F.lit(64 // BLOCK_BITS - 1))
