@@ -31,11 +31,12 @@ from floorspark.session import stored
 ROWS, BANDS = 6, 40
 #: Members up to which all pairs of a bucket are compared at once.
 FEW = 4
-#: Growth of the number of hubs from round to round.
-MORE_HUBS = 64
+#: Growth of the number of hubs from round to round: few new ones at a time, so that
+#: most members are in one class before the many would meet them.
+MORE_HUBS = 8
 #: Coordinates of the longer signature that members of open buckets get, and
 #: the standard deviations below the threshold from which it rules a pair out.
-SKETCH, SURE = 1920, 4.5
+SKETCH, SURE = 1920, 6.0
 
 _PACKED = SKETCH // 64  # numbers that hold one bit of each coordinate
 _SIGNATURE = "id long, version long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -171,8 +172,9 @@ def _may_reach(percent: int) -> Column:
     """Whether the longer signatures of two members leave room for the threshold.
 
     One bit of each coordinate agrees as often as the sets, and by chance in half
-    of the rest. Pairs at the threshold differ in more bits than allowed here
-    once in 300,000.
+    of the rest. Pairs at the threshold would differ in more bits than allowed here
+    once in a thousand million, were the coordinates independent; the tests measure
+    how far pairs at exactly 0.8 stray.
     """
     size, odds = SKETCH, (1 - percent / 100) / 2
     most = size * odds + SURE * (size * odds * (1 - odds)) ** 0.5

@@ -38,6 +38,27 @@ def test_signature_is_the_shifted_permutation():
         assert list(got[k]) == [second[:20].min(), second[20:].min()]
 
 
+def test_pairs_at_the_threshold_stay_within_the_sketch():
+    """8,000 pairs of exactly 0.8, from 20 to 400 shingles: how far their bits stray."""
+    rng = np.random.default_rng(7)
+    odds = 0.1
+    most = []
+    for shared in (16, 40, 120, 320):
+        sizes = shared + shared // 8
+        for _ in range(20):
+            sets, at = [], [0]
+            for _ in range(100):
+                values = rng.integers(0, 2**64, shared + shared // 4, dtype=np.uint64)
+                both, rest = values[:shared], values[shared:]
+                sets += [both, rest[: shared // 8], both, rest[shared // 8 :]]
+                at += [at[-1] + sizes, at[-1] + 2 * sizes]
+            bits = minhash.circulant(np.concatenate(sets), np.array(at), minhash.SKETCH) & 1
+            differ = (bits[:, 0::2] != bits[:, 1::2]).sum(axis=0)
+            most.append((differ.max() - minhash.SKETCH * odds) / (minhash.SKETCH * odds * (1 - odds)) ** 0.5)
+    print("farthest pair of 8,000:", max(most))
+    assert max(most) < minhash.SURE
+
+
 def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     texts = [None, "", " \t\n", "one", "ONE", "two words", "Two  WORDS", long, long + " more", "one"]
