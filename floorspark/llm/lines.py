@@ -1,9 +1,10 @@
 """Repeated passages by windows of three lines.
 
-A line ends at a line break or, because many texts put a whole paragraph on one
-line, at the end of a sentence. Three consecutive lines that are not blank make
-a window. Of all windows with the same lines the first stays, by doc_id and then
-place; the lines that later ones cover are removed, blank ones between them too.
+Three consecutive lines that are not blank make a window, at any length. Because many
+texts put a whole paragraph on one line, sentences are windows besides: three
+consecutive ones, of SENTENCE_CHARS together, that are not whole lines already. Of all
+windows with the same three lines or sentences the first stays, by doc_id and then
+place; what later ones cover is removed, blank lines between them too.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 
 from floorspark.plans.skew import lookup_join
 
-#: Lines of a window, and characters its lines must have together: shorter ones
-#: ("Yes. No. Yes.") repeat by chance.
-WINDOW, LEAST_CHARS = 3, 40
+#: Lines of a window.
+WINDOW = 3
+#: Characters that the sentences of a window must have together where they are not
+#: lines of their own: shorter ones ("Yes. No. Yes.") repeat by chance. Windows of
+#: whole lines have no such minimum.
+SENTENCE_CHARS = 40
 
 _LINE_ENDS = r"(?<=\n)|(?<=[.!?] )"
 _BLANK = " \t\r\n"
@@ -27,38 +31,75 @@ def _pieces(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Adds the lines that are not blank, each with the place of its piece."""
-    # The same cuts as in _pieces, at a third of the time: one plain character
-    # instead of an expression that looks behind.
-    ends = F.col("text")
-    for mark in ".!?":
-        ends = F.replace(ends, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
-    docs = docs.withColumn("cut", F.split(ends, "\n"))
-    lines = F.transform("cut", lambda p, i: F.struct(F.trim(p, F.lit(_BLANK)).alias("line"), i.alias("place")))
-    filled = F.filter(lines, lambda x: x["line"] != "")
-    return docs.withColumn("lines", F.transform(filled, lambda x: F.struct(x["line"], F.length(x["line"]).alias("chars"), x["place"])))
+    """Adds ``heads``, for each real line, two hashes of it, and ``lines``, the pieces
+    that are not blank: text, place, number of the real line, and whether no other such
+    piece comes before (first) or after it (last) in that line."""
+    real = docs.withColumn("real", F.split("text", "\n"))
+    trimmed = F.transform("real", lambda x: F.trim(x, F.lit(_BLANK)))
+    hashed = F.transform(trimmed, lambda x: F.struct(F.xxhash64(x).alias("hash"), F.hash(x).alias("check")))
+
+    def pieces(line: Column, number: Column) -> Column:
+        # The same cuts as in _pieces, at a third of the time: one plain character,
+        # which no line holds, instead of an expression that looks behind.
+        ends = line
+        for mark in ".!?":
+            ends = F.replace(ends, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
+        return F.transform(F.split(ends, "\n"), lambda p: F.struct(F.trim(p, F.lit(_BLANK)).alias("said"), number.alias("row")))
+
+    every = F.flatten(F.transform("real", pieces))
+    docs = real.withColumns({"heads": hashed, "every": every}).drop("real")
+    placed = F.transform("every", lambda x, i: F.struct(x["said"], i.alias("place"), x["row"]))
+    docs = docs.withColumn("filled", F.filter(placed, lambda x: x["said"] != "")).drop("every")
+
+    def marked(x: Column, i: Column) -> Column:
+        before, after = F.when(i > 0, F.get("filled", i - 1)["row"]), F.get("filled", i + 1)["row"]
+        edge = lambda other: ~x["row"].eqNullSafe(other)
+        return F.struct(x["said"].alias("line"), x["place"], x["row"], edge(before).alias("first"), edge(after).alias("last"))
+
+    return docs.withColumn("lines", F.transform("filled", marked)).drop("filled")
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """One row per window: two hashes of its lines and the pieces it covers."""
-    lines = _lines(docs.select(F.col("doc_id").alias("id"), F.hash("text").alias("version"), "text"))
-
-    def window(i: Column) -> Column:
-        run = [F.get("lines", i + j) for j in range(WINDOW)]
-        said = [x["line"] for x in run]
-        chars = sum((x["chars"] for x in run[1:]), run[0]["chars"])
+    """One row per window: two hashes of its lines and the pieces it covers.
+
+    A line is hashed once; a window's hashes are made of those of its lines."""
+    lines = _lines(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"), "text")).drop("text")
+    ends = F.filter("lines", lambda x: x["last"])
+    lines = lines.withColumns({"starts": F.filter("lines", lambda x: x["first"]), "ends": ends})
+    whole = lambda x: x["first"] & x["last"]
+    head = lambda row: F.get("heads", row)
+    own = lambda x: F.struct(F.xxhash64(x["line"]).alias("hash"), F.hash(x["line"]).alias("check"))
+    # A sentence that is a whole line has the line's hashes already.
+    said = F.transform("lines", lambda x: F.struct(F.when(whole(x), head(x["row"])).otherwise(own(x)).alias("head"), F.length(x["line"]).alias("chars"), x["place"].alias("place"), whole(x).alias("whole")))
+    lines = lines.withColumn("sentences", F.when(F.exists("lines", lambda x: ~whole(x)), said))
+
+    def hashes(heads: list[Column], lo: Column, hi: Column) -> Column:
         return F.struct(
-            F.when(chars >= LEAST_CHARS, F.xxhash64(*said)).alias("hash"),
-            F.xxhash64(*said[::-1]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("check"),
-            run[0]["place"].alias("lo"),
-            run[-1]["place"].alias("hi"),
+            F.xxhash64(*[h["hash"] for h in heads]).alias("hash"),
+            F.hash(*[h["check"] for h in heads]).alias("check"),
+            lo.alias("lo"),
+            hi.alias("hi"),
         )
 
-    last = F.size("lines") - WINDOW
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    def of_lines(i: Column) -> Column:
+        heads = [head(F.get("starts", i + j)["row"]) for j in range(WINDOW)]
+        return hashes(heads, F.get("starts", i)["place"], F.get("ends", i + WINDOW - 1)["place"])
+
+    def of_sentences(i: Column) -> Column:
+        run = [F.get("sentences", i + j) for j in range(WINDOW)]
+        chars = sum((x["chars"] for x in run[1:]), run[0]["chars"])
+        counts = (chars >= SENTENCE_CHARS) & ~(run[0]["whole"] & run[1]["whole"] & run[2]["whole"])
+        return F.when(counts, hashes([x["head"] for x in run], run[0]["place"], run[-1]["place"]))
+
+    def each(name: str, window) -> Column:
+        last = F.size(name) - WINDOW
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, window)
+
+    both = F.concat(each("starts", of_lines), F.filter(each("sentences", of_sentences), lambda x: x.isNotNull()))
     # The outer form: the other one lets Spark move a filter down to the text
     # and cut it anew for every window.
-    found = lines.select("id", "version", F.transform(places, window).alias("windows"))
+    found = lines.select("id", "version", both.alias("windows"))
     return found.select("id", "version", F.inline_outer("windows")).where("hash is not null and id is not null")
 
 
@@ -84,14 +125,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``text`` is what is left, cut out in whole lines; a text that repeats wholly
     becomes empty.
 
-    A null text stays null, with no lines. Texts of fewer than three lines stay.
-    Repeated rows are the same document: what stays in one stays in all. Rows without doc_id stay and do not count as occurrences.
+    Lines are counted as sentences where a line holds several. A null text stays null,
+    with no lines. Texts of fewer than three lines or sentences stay. Repeated rows are
+    the same document: what stays in one stays in all. Rows without doc_id stay and do
+    not count as occurrences.
     """
     covered = _covered(docs.select("doc_id", "text"))
     covered = covered.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "ranges")
     # Other columns travel in one, where their names cannot clash.
     others = [c for c in docs.columns if c != "text"]
-    out = docs.select("doc_id", "text", F.hash("text").alias("_version"), F.struct(*others).alias("row"))
+    out = docs.select("doc_id", "text", F.xxhash64("text").alias("_version"), F.struct(*others).alias("row"))
     out = out.join(covered.withColumnRenamed("_version", "_own"), (F.col("doc_id") == F.col("_id")) & (F.col("_version") == F.col("_own")), "left")
     out = _lines(out)
     gone = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["lo"], r["hi"]))))

@@ -95,18 +95,31 @@ def _op5(spark: SparkSession, folder: str) -> DataFrame:
 @_register(
     "op9_line_dedup",
     r"""
-    with pieces as (
+    with cut as (
         select doc_id, text, unnest(range(1, len(p) + 1)) as place, unnest(p) as piece
         from (select doc_id, text, string_split(regexp_replace(text, '([.!?] |\n)', '\1' || chr(1), 'g'), chr(1)) as p from documents)
+    ), pieces as (
+        select *, coalesce(sum(ends_with(piece, chr(10))::int) over (partition by doc_id order by place rows between unbounded preceding and 1 preceding), 0) as row
+        from cut
     ), lines as (
-        select doc_id, place, trim(piece, ' ' || chr(9) || chr(13) || chr(10)) as line from pieces
+        select doc_id, place, row, trim(piece, ' ' || chr(9) || chr(13) || chr(10)) as line from pieces
         where trim(piece, ' ' || chr(9) || chr(13) || chr(10)) <> ''
-    ), runs as (
-        select doc_id, place as lo, lead(place, 2) over w as hi,
-            [line, lead(line, 1) over w, lead(line, 2) over w] as said
-        from lines window w as (partition by doc_id order by place)
+    ), real_lines as (
+        select doc_id, row, min(place) filter (trim(piece, ' ' || chr(9) || chr(13) || chr(10)) <> '') as lo,
+            max(place) filter (trim(piece, ' ' || chr(9) || chr(13) || chr(10)) <> '') as hi, count(*) filter (trim(piece, ' ' || chr(9) || chr(13) || chr(10)) <> '') as n,
+            trim(string_agg(piece, '' order by place), ' ' || chr(9) || chr(13) || chr(10)) as line
+        from pieces group by doc_id, row having trim(string_agg(piece, '' order by place), ' ' || chr(9) || chr(13) || chr(10)) <> ''
+    ), line_runs as (
+        select doc_id, lo, lead(hi, 2) over w as hi, [line, lead(line, 1) over w, lead(line, 2) over w] as said
+        from real_lines window w as (partition by doc_id order by row)
+    ), sentence_runs as (
+        select l.doc_id, place as lo, lead(place, 2) over w as hi,
+            [l.line, lead(l.line, 1) over w, lead(l.line, 2) over w] as said, greatest(n, lead(n, 1) over w, lead(n, 2) over w) as most
+        from lines l join real_lines r on r.doc_id = l.doc_id and r.row = l.row window w as (partition by l.doc_id order by place)
     ), windows as (
-        select * from runs where hi is not null and length(said[1]) + length(said[2]) + length(said[3]) >= 40
+        select doc_id, lo, hi, said from line_runs where hi is not null
+        union all
+        select doc_id, lo, hi, said from sentence_runs where hi is not null and most > 1 and length(said[1]) + length(said[2]) + length(said[3]) >= 40
     ), later as (
         select * from windows qualify row_number() over (partition by said order by doc_id, lo) > 1
     ), gone as (

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import zlib
 
 import corpus_pipeline
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from floorspark.llm import decontam, lines, minhash, mixing, toxicity
@@ -25,7 +28,7 @@ def test_matches_sql(spark, name):
 
 def test_all_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -124,17 +127,29 @@ def plain_cut(text):
 
 
 def plain_dedup(texts):
+    """Three real lines of any length, or three sentences that are not all lines."""
     seen, out = set(), []
     for text in texts:
         pieces = plain_cut(text or "")
+        rows, row = [], 0
+        for p in pieces:
+            rows.append(row)
+            row += p.endswith("\n")
         kept = [(i, p.strip(" \t\r\n")) for i, p in enumerate(pieces) if p.strip(" \t\r\n")]
+        real = {}
+        for i, _ in kept:
+            real.setdefault(rows[i], []).append(i)
+        real = [(places, "".join(p for p, r in zip(pieces, rows, strict=True) if r == own).strip(" \t\r\n")) for own, places in sorted(real.items())]
+        windows = [(run[0][0][0], run[2][0][-1], tuple(line for _, line in run)) for run in zip(real, real[1:], real[2:], strict=False)]
+        whole = {places[0] for places, _ in real if len(places) == 1}
+        for run in zip(kept, kept[1:], kept[2:], strict=False):
+            if not all(i in whole for i, _ in run) and sum(len(line) for _, line in run) >= lines.SENTENCE_CHARS:
+                windows.append((run[0][0], run[2][0], tuple(line for _, line in run)))
         gone = set()
-        for n in range(len(kept) - 2):
-            run = tuple(line for _, line in kept[n : n + 3])
-            if sum(map(len, run)) >= lines.LEAST_CHARS:
-                if run in seen:
-                    gone.update(range(kept[n][0], kept[n + 2][0] + 1))
-                seen.add(run)
+        for lo, hi, run in sorted(windows):
+            if run in seen:
+                gone.update(range(lo, hi + 1))
+            seen.add(run)
         out.append(("".join(p for i, p in enumerate(pieces) if i not in gone), sum(i in gone for i, _ in kept)))
     return out
 
@@ -158,6 +173,21 @@ def test_lines_equal_plain_version(spark):
     assert rows[len(texts) - 2].n_removed == 0
 
 
+def test_short_lines_repeat_like_long_ones(spark):
+    """A menu of six short lines in three documents, one of them with other cuts."""
+    menu = "Home\nShop\nFAQ\n\nBlog\nJobs\nHelp\n"
+    texts = [menu + "First text.", "Before.\n" + menu + "Second text.", "A.\nB.\nC.", "A. B. C.\nD.", "One thing. And two more. And a third one here.", "One thing.\nAnd two more.\nAnd a third one here."]
+    rows = {r.doc_id: r for r in lines.remove_repeats(docs_of(spark, texts)).collect()}
+    assert [(rows[i].text, rows[i].n_removed) for i in range(len(texts))] == plain_dedup(texts)
+    assert rows[0].n_removed == 0 and rows[1].text == "Before.\nSecond text." and rows[3].n_removed == 0 and rows[5].text == ""
+
+
+def test_very_long_text_without_and_with_breaks(spark):
+    texts = ["word " * 60_000, "\n".join(f"l{i}" for i in range(4000)), "x\n" + "\n".join(f"l{i}" for i in range(4000))]
+    rows = {r.doc_id: r for r in lines.remove_repeats(docs_of(spark, texts)).collect()}
+    assert [(rows[i].text, rows[i].n_removed) for i in range(3)] == plain_dedup(texts) and rows[2].text == "x\n"
+
+
 def test_line_edges(spark):
     passage = "This line is long enough to count. So is this one, which follows. And a third one ends it.\n"
     texts = [None, "", "\n\n\n", passage, "New. " + passage + "Tail.", passage, passage * 3]
@@ -251,6 +281,28 @@ def test_leaks_between_diagonals(spark):
     assert got == want and sum(x < 0.82 for x in want.values()) >= 3
 
 
+@pytest.mark.parametrize("size", [1, 7, 200, 1039, 1041])
+def test_fingerprint_is_the_weighted_vote(spark, size):
+    """Each bit by itself; short lists share numbers for their votes, long ones less."""
+    rng = random.Random(size)
+    shingles = [rng.getrandbits(64) - 2**63 for _ in range(size)]
+    got = spark.createDataFrame([(shingles,)], "shingles array<long>").select(decontam.fingerprint(F.col("shingles")).alias("print")).first().print
+    want = 0
+    hashes = [(xxhash.xxh64_intdigest(struct.pack("<q", x), seed=42), x & 63) for x in shingles]
+    for b in range(64):
+        votes = sum(w if h >> b & 1 else -w for h, w in hashes)
+        want |= (votes > 0) << b
+    assert got % 2**64 == want
+
+
+def test_long_text_that_repeats_an_item(spark):
+    """A window at every start, over stretches and over the text's end."""
+    words = [f"word{i}" for i in range(90)]
+    text = " ".join([*(f"x{i}" for i in range(70)), *(words * 9), *words[:75]])
+    got = decontam.contaminated(docs_of(spark, [text, " ".join(words[5:])]), spark.createDataFrame([(3, " ".join(words))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == plain_leaks({0: text, 1: " ".join(words[5:])}, {3: " ".join(words)})
+
+
 def test_near_blocks_cover_the_radius():
     rng = random.Random(4)
     for _ in range(300):
@@ -281,8 +333,6 @@ def test_budgets_equal_plain_version(spark):
     rows = [(f"domain{rng.randrange(3)}", rng.choice(["en", "de"]), f"src{i}", rng.randrange(5000)) for i in range(30)]
     leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
     weights = MIX_WEIGHTS | {"domain1/de": 0, "domain2/en/src5": 9}
-    from pyspark.sql import functions as F
-
     got = {(r.domain, r.lang, r.source): int(r.granted) for r in mixing.leaf_budgets(leaves, weights, F.lit(40_000), 2).collect()}
 
     def cap(path):
