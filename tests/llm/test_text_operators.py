@@ -49,6 +49,15 @@ def test_cache_encodes_only_misses(spark):
     assert spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
 
 
+def test_repeated_rows_are_encoded_once(spark):
+    cache, model = new_folder(spark, "cache"), public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["the same text"] * 50 + ["another one"] * 30
+    docs = docs_of(spark, texts, [5] * 50 + [None] * 30).repartition(6)
+    rows = tokens.count_tokens(docs, model, cache).collect()
+    assert len(rows) == 80 and len({(r.doc_id, r.n_tokens) for r in rows}) == 2
+    assert spark.read.parquet(cache).count() == 2
+
+
 def test_token_edges(spark):
     model = public_tokenizers.path("piece_bpe_32k.model")
     assert tokens.count_tokens(empty(spark), model, new_folder(spark, "cache")).collect() == []
