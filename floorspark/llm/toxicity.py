@@ -180,6 +180,20 @@ def _counted(terms):
     return run
 
 
+def _frequencies(n_terms: int):
+    """Per task and term, in how many of the task's texts the term occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n_terms, dtype=np.int64)
+        for batch in batches:
+            # A text's terms are distinct, so each entry is one text.
+            counts += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there])], ["term", "texts"])
+
+    return run
+
+
 def _vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     weights = (1 + np.log(counts)) * idf[terms]
     return weights / np.sqrt(weights @ weights) if len(weights) else weights
@@ -232,8 +246,9 @@ def _scored(model):
 def _model(vectors: DataFrame, n_docs: int, examples: DataFrame, n_terms: int, totals: dict[int, int]) -> Model | None:
     """The model from the stored term counts of all documents and the sample."""
     df = np.zeros(n_terms)
-    for row in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        df[row["term"]] = row["count"]
+    counted = vectors.select("terms").mapInArrow(_frequencies(n_terms), "term int, texts long")
+    for row in counted.groupBy("term").agg(F.sum("texts").alias("texts")).collect():
+        df[row["term"]] = row["texts"]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
 
     # A repeated row is one example; of several texts, that of the least version.
