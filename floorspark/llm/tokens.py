@@ -95,9 +95,12 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache: str, limit: int =
     known = _cached(spark, cache, tokenizer)
     missing = keys.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known, "content", "left_anti")
     # The rows of one doc_id of each missing content bring its text: no hot key, and
-    # copies under other ids stay behind; of repeated rows one is encoded.
-    same = (named["content"] == missing["content"]) & named["doc_id"].eqNullSafe(missing["doc_id"])
-    texts = named.join(missing, same, "left_semi").select("content", "text").dropDuplicates(["content"])
+    # copies under other ids stay behind. Of repeated rows one is encoded; it is found
+    # where the join left them, without another shuffle.
+    owner = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("owner")
+    chosen = missing.select("content", owner)
+    texts = named.select("content", owner, "text").join(chosen, ["content", "owner"], "left_semi")
+    texts = texts.dropDuplicates(["content", "owner"]).select("content", "text")
     counted = texts.mapInArrow(_encoded(spark.sparkContext.broadcast(model), kind), "content string, n_tokens long")
     counted.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").partitionBy("tokenizer").parquet(cache)
 
