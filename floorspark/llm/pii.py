@@ -3,8 +3,9 @@
 Four kinds are found by their form. They are the seeds of a bootstrap: the words
 around known instances are lexical patterns, and a pattern is as sure of a kind
 as its distinct instances are known to be of it; an identifier of no known form
-is as sure as the sure patterns it stands in make it together. After a few
-rounds, identifiers that are sure enough count as found wherever they stand.
+is as sure as the sure patterns it stands in make it together. Rounds go on until one
+adds neither a pattern nor an identifier; sureness never falls from round to round.
+Identifiers that are sure enough count as found wherever they stand.
 
 Only Spark expressions are used. Positions come from the lengths of what lies
 between matches, summed along each text.
@@ -31,15 +32,20 @@ _PARTS = {
 #: A match of these can only begin where a run of its first class does, or where
 #: the last match ended; saying so keeps long runs from being tried throughout.
 _STARTS = {"email": r"(?:(?<![A-Za-z0-9._%+-])|\G)", "ip": r"(?:(?<![0-9])|\G)"}
-#: Other identifiers: runs with four digits or an at sign.
+#: Other identifiers: runs with four digits or an at sign, or groups of digits with
+#: blanks or brackets between them that have four digits together. Neither ends in a
+#: mark, so that one at the end of a sentence counts as well.
 _RUN = r"A-Za-z0-9._%+@/-"
-_OTHER = rf"(?<![{_RUN}])(?=(?:[A-Za-z._%+@/-]*+[0-9]){{4}}|[A-Za-z0-9._%+/-]*+@)[{_RUN}]*+(?<=[A-Za-z0-9])"
+_GROUP = r"[0-9]++(?:[./-]++[0-9]++)*+(?![A-Za-z_%+@])"
+_SPACED = rf"(?=(?:[\x20()./-]*+[0-9]){{4}})\(?+{_GROUP}(?:[\x20()]{{1,2}}+{_GROUP})++"
+_SOLID = rf"(?=(?:[A-Za-z._%+@/-]*+[0-9]){{4}}|[A-Za-z0-9._%+/-]*+@[._%+@/-]*+[A-Za-z0-9])[{_RUN}]*(?<=[A-Za-z0-9])"
+_OTHER = rf"(?<![{_RUN}])(?:{_SPACED}|{_SOLID})"
 
 #: Words on each side that make a pattern, and the characters they are cut from.
 CONTEXT_CHARS = 60
-#: Rounds; distinct known instances a pattern needs; sureness from which a
-#: pattern speaks, and from which an identifier counts as found.
-ROUNDS, LEAST_KNOWN, SURE_PATTERN, SURE = 3, 3, 0.6, 0.9
+#: Distinct known instances a pattern needs; sureness from which a pattern speaks,
+#: and from which an identifier counts as found.
+LEAST_KNOWN, SURE_PATTERN, SURE = 3, 0.6, 0.9
 
 
 def _may_hold(text: Column, kind: str) -> Column:
@@ -144,8 +150,9 @@ def _learned(spans: DataFrame) -> DataFrame:
     seeds = edges.where("known is not null").select("value", F.col("known").alias("kind"), F.lit(1.0).alias("sure")).distinct()
     sure = seeds
     sizes = edges.groupBy("pattern").agg(F.countDistinct("value").alias("size"))
-    for _ in range(ROUNDS):
-        links = edges.select("pattern", "value").distinct()
+    links = stored(edges.select("pattern", "value").distinct(), "pattern-links")
+    reached = None
+    while True:
         told = lookup_join(links, sure, ["value"], "inner")
         patterns = told.groupBy("pattern", "kind").agg(F.sum("sure").alias("known"), F.sum((F.col("sure") >= SURE).cast("int")).alias("firm"))
         patterns = patterns.where(F.col("firm") >= LEAST_KNOWN)
@@ -153,9 +160,14 @@ def _learned(spans: DataFrame) -> DataFrame:
         patterns = lookup_join(patterns, sizes, ["pattern"], "inner").withColumn("trust", F.col("known") / (F.col("size") + 0.5))
         patterns = patterns.where(F.col("trust") >= SURE_PATTERN).select("pattern", "kind", "trust")
         open_links = edges.where("known is null").select("pattern", "value")
-        votes = lookup_join(open_links, stored(patterns, "patterns"), ["pattern"], "inner")
+        patterns = stored(patterns, "patterns")
+        votes = lookup_join(open_links, patterns, ["pattern"], "inner")
         scored = votes.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("trust"))))).alias("sure"))
         sure = stored(seeds.unionByName(scored), "sure")
+        now = patterns.count(), sure.where(F.col("sure") >= SURE).count()
+        if now == reached or not now[0]:
+            break
+        reached = now
     found = sure.where(F.col("sure") >= SURE).join(seeds.select("value").distinct(), "value", "left_anti")
     return found.groupBy("value").agg(F.max_by("kind", F.struct("sure", "kind")).alias("learned"))
 
@@ -177,7 +189,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     ``docs`` has doc_id and text; other columns are ignored. Returns one row per
     row: doc_id, n_email, n_ip, n_card, n_phone (by form), base_sha256 (of the
     spans by form), spans (all, as kind:start:end by start, then kind, joined by
-    commas; code points, end exclusive).
+    commas; code points, end exclusive), n_learned (spans that the patterns add).
 
     Null and empty texts have no spans. Repeated rows have the same result, rows
     that share a doc_id each that of its own text; rows without doc_id are
@@ -193,6 +205,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     entry = F.struct("start", rank.alias("rank"), "end", "kind", "base")
     counts = [F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in KINDS]
+    counts.append(F.count(F.when(~F.col("base"), 1)).alias("n_learned"))
     grouped = every.groupBy("id", "version").agg(*counts, F.array_sort(F.collect_list(entry)).alias("found"))
 
     def written(entries: Column) -> Column:
@@ -205,4 +218,5 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
+        F.coalesce("n_learned", F.lit(0)).cast("long").alias("n_learned"),
     )
