@@ -1,8 +1,11 @@
 """Fingerprints of documents by SpotSigs.
 
-A signature is a common word, the anchor, with the chain of the next content
-words after it. A text's fingerprint is its set of signatures, and likeness is
-the Jaccard of two sets. Sets whose lengths differ too much are never compared.
+A signature is an anchor with the chain of the next content words after it: a common
+word, or the beginning of a sentence, so that texts in any language have signatures.
+At a text's end a chain is as long as the words that are left. The sequence of all
+words is one more signature of every text; texts of different words thus never share a
+fingerprint. A text's fingerprint is its set of signatures, and likeness is the Jaccard
+of two sets. Sets whose lengths differ too much are never compared.
 """
 
 from __future__ import annotations
@@ -33,13 +36,15 @@ ANCHORS = (
 ).split()
 #: Content words in a signature's chain.
 CHAIN = 2
-#: Texts with fewer signatures also get the word pairs, so that short texts
-#: without common words have a fingerprint too.
-LEAST_SIGNATURES = 4
+#: Marks after which a sentence begins.
+SENTENCE_ENDS = b".!?\n"
 #: Characters of text handled at a time.
 CHUNK_CHARS = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The anchor that stands for the beginning of a sentence.
+_SENTENCE = np.uint64(0xC2B2AE3D27D4EB4F)
+_ENDS = np.isin(np.arange(256), list(SENTENCE_ENDS))
 
 
 def _anchor_hashes() -> np.ndarray:
@@ -51,8 +56,20 @@ def _anchor_hashes() -> np.ndarray:
 _ANCHOR_HASHES = _anchor_hashes()
 
 
+def _begins(words: Words, data: np.ndarray) -> np.ndarray:
+    """The words that begin a sentence: the first of a text, and those with a mark
+    between them and the word before."""
+    marks = np.concatenate([[0], np.cumsum(_ENDS[data])])
+    begins = np.ones(len(words.start), dtype=bool)
+    begins[1:] = marks[words.start[1:]] > marks[words.end[:-1]]
+    first = words.first[:-1]
+    begins[first[first < len(begins)]] = True
+    return np.flatnonzero(begins)
+
+
 def signature_sets(texts: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct signatures of each text."""
+    """The sorted distinct signatures of each text; none for an empty text. A text
+    without words is its own only signature."""
     out = []
     for lo, hi, data, offsets in text_slices(texts):
         words = Words(data, offsets, NOT_ALNUM)
@@ -60,26 +77,23 @@ def signature_sets(texts: pa.Array) -> list[np.ndarray]:
         place = np.minimum(np.searchsorted(_ANCHOR_HASHES, h), len(_ANCHOR_HASHES) - 1)
         anchor = _ANCHOR_HASHES[place] == h
         content = np.flatnonzero(~anchor)
-        starts = np.flatnonzero(anchor)
+        common, begins = np.flatnonzero(anchor), _begins(words, data)
+        starts = np.concatenate([common, begins])
+        value = np.concatenate([h[common], np.full(len(begins), _SENTENCE)])
         link = np.searchsorted(content, starts)
-        text_end = np.searchsorted(content, words.first[1:])
         owner = np.searchsorted(words.first, starts, side="right") - 1
-        whole = link + CHAIN <= text_end[owner]
-        starts, link, owner = starts[whole], link[whole], owner[whole]
-        value = h[starts].copy()
+        left = np.searchsorted(content, words.first[1:])[owner] - link
         for j in range(CHAIN):
-            value = mix(value * _STEP + h[content[link + j]])
-        at = np.searchsorted(owner, np.arange(hi - lo + 1))
+            there = left > j
+            value[there] = mix(value[there] * _STEP + h[content[link[there] + j]])
+        order = np.argsort(owner, kind="stable")
+        value = value[order]
+        at = np.searchsorted(owner[order], np.arange(hi - lo + 1))
         for i in range(hi - lo):
-            own = value[at[i] : at[i + 1]]
-            if len(own) < LEAST_SIGNATURES:
-                run = h[words.first[i] : words.first[i + 1]]
-                pairs = mix(run[:-1] * _STEP + run[1:]) if len(run) > 1 else mix(run.copy())
-                if not len(run) and offsets[i + 1] > offsets[i]:
-                    raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                    pairs = np.array([xxhash.xxh3_64_intdigest(raw)], dtype=np.uint64)
-                own = np.concatenate([own, pairs])
-            out.append(np.unique(own))
+            said = h[words.first[i] : words.first[i + 1]]
+            raw = said.tobytes() if len(said) else data[offsets[i] : offsets[i + 1]].tobytes()
+            whole = [xxhash.xxh3_64_intdigest(raw)] if raw else []
+            out.append(np.unique(np.concatenate([value[at[i] : at[i + 1]], np.array(whole, dtype=np.uint64)])))
     return out
 
 
@@ -103,57 +117,59 @@ def fingerprint(signatures: np.ndarray) -> str:
     return f"{len(signatures)}-{xxhash.xxh3_128_hexdigest(signatures.tobytes())}"
 
 
-_COMPARED = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-
-
 def _compared(run: list[tuple], following: str | None) -> dict[str, list]:
-    """Result columns of consecutive documents; ``following`` is the text after
-    the last of them, None where there is none for any of them."""
-    texts = [text for _, text in run]
-    nexts = [*texts[1:], following] if following is not None else [""] * len(texts)
-    edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, nexts, strict=True)]
-    sets = signature_sets(pa.array([*texts, *edited, following or ""], pa.string()))
-    own, changed, last = sets[: len(texts)], sets[len(texts) : -1], sets[-1]
-    after = [*own[1:], last]
+    """Result columns of consecutive documents (doc_id, text, copies); ``following`` is
+    the text after the last of them, None where there is none for any of them. Of
+    several copies of a row, all but the last are followed by their own text."""
+    rows = []
+    for n, (doc_id, text, copies) in enumerate(run):
+        after = run[n + 1][1] if n + 1 < len(run) else following
+        if copies > 1 and following is not None:
+            rows.append((doc_id, text, text, copies - 1))
+            copies = 1
+        rows.append((doc_id, text, after if following is not None else "", copies))
+    edited = [t[: len(t) - len(t) // 4] + a[: len(t) // 4] for _, t, a, _ in rows]
+    sets = signature_sets(pa.array([*(r[1] for r in rows), *edited, *(r[2] for r in rows[-1:])], pa.string()))
+    own, changed = sets[: len(rows)], sets[len(rows) : -1]
+    after = [own[n] if r[2] == r[1] else own[n + 1] if n + 1 < len(rows) else sets[-1] for n, r in enumerate(rows)]
     return {
-        "doc_id": [i for i, _ in run],
-        "n_chars": [len(t) for t in texts],
+        "doc_id": [r[0] for r in rows],
+        "n_chars": [len(r[1]) for r in rows],
         "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edited],
         "fingerprint": [fingerprint(s) for s in own],
         "edited_fingerprint": [fingerprint(s) for s in changed],
         "near_edited": [likeness(a, b) for a, b in zip(own, changed, strict=True)],
         "near_next": [likeness(a, b) if following is not None else None for a, b in zip(own, after, strict=True)],
+        "copies": [r[3] for r in rows],
     }
 
 
 def _in_sequence(kind: pa.DataType):
     """Compares each document with the next of its stretch. Rows come sorted by
-    stretch and place; a stretch ends with a copy of the document after it."""
-    schema = pa.schema(
-        [
-            ("doc_id", kind),
-            ("n_chars", pa.int64()),
-            *((c, pa.string()) for c in _COMPARED[1:4]),
-            *((c, pa.float64()) for c in _COMPARED[4:]),
-        ]
-    )
+    stretch and place; a stretch ends with copies of the document after it."""
+    texts = [(c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
+    near = [(c, pa.float64()) for c in ("near_edited", "near_next")]
+    schema = pa.schema([("doc_id", kind), ("n_chars", pa.int64()), *texts, *near, ("copies", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         chars, stretch = 0, None
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "stretch", "part"))
-            for doc_id, text, where, part in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "stretch", "part", "copies"))
+            for doc_id, text, where, part, copies in zip(*columns, strict=True):
                 if part == 2:  # without doc_id: nothing follows
-                    yield pa.RecordBatch.from_pydict(_compared([(doc_id, text)], None), schema)
+                    yield pa.RecordBatch.from_pydict(_compared([(doc_id, text, copies)], None), schema)
+                    continue
+                if waiting and where != stretch:
+                    raise ValueError(f"stretch {stretch} ends without its next document")
+                if part == 0 and waiting and waiting[-1][:2] == (doc_id, text):
+                    waiting[-1] = (doc_id, text, waiting[-1][2] + copies)
                     continue
                 if waiting and (chars > CHUNK_CHARS or part == 1):
-                    if where != stretch:
-                        raise ValueError(f"stretch {stretch} ends without its next document")
                     yield pa.RecordBatch.from_pydict(_compared(waiting, text), schema)
                     waiting, chars = [], 0
                 if part == 0:
-                    waiting.append((doc_id, text))
+                    waiting.append((doc_id, text, copies))
                     chars += len(text)
                     stretch = where
         if waiting:
@@ -162,25 +178,57 @@ def _in_sequence(kind: pa.DataType):
     return run
 
 
-def _stretches(docs: DataFrame, count: int) -> DataFrame:
-    """Documents dealt to stretches of consecutive doc_ids, each with a copy of
-    the next stretch's first document behind it."""
-    spark = docs.sparkSession
-    cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [i / count for i in range(1, count)], 0.2 / count)
-    bounds = sorted(set(cuts))
-    stretch = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b <= F.col("doc_id")))
-    placed = docs.withColumn("version", F.xxhash64("text"))
-    placed = placed.withColumn("stretch", F.when(F.col("doc_id").isNull(), F.pmod("version", F.lit(count)).cast("int")).otherwise(stretch))
-    placed = placed.withColumn("part", F.when(F.col("doc_id").isNull(), 2).otherwise(0))
-    # One row for each stretch, so their number is bounded by ``count``.
-    heads = placed.where("part = 0").groupBy("stretch").agg(F.min(F.struct("doc_id", "version")).alias("head"))
-    heads = sorted(heads.collect(), key=lambda r: r["stretch"])
-    before = [heads[i - 1]["stretch"] for i in range(len(heads))]
-    rows = [(r["head"]["doc_id"], r["head"]["version"], b) for r, b in zip(heads, before, strict=True)]
-    kind = T.StructType([docs.schema["doc_id"], T.StructField("version", T.LongType()), T.StructField("before", T.IntegerType())])
-    copies = placed.where("part = 0").join(F.broadcast(spark.createDataFrame(rows, kind)), ["doc_id", "version"])
-    copies = copies.dropDuplicates(["before"]).withColumn("stretch", F.col("before")).withColumn("part", F.lit(1)).drop("before")
-    return placed.unionByName(copies)
+def _stretch_of(heads: list[tuple[int, int]], ids: np.ndarray, versions: np.ndarray) -> np.ndarray:
+    """The stretch of each (doc_id, version): the last whose head is not above it."""
+    first = np.array([h[0] for h in heads], dtype=np.int64)
+    second = np.array([h[1] for h in heads], dtype=np.int64)
+    lo, hi = (np.searchsorted(first, ids, side=s) for s in ("left", "right"))
+    at = hi.copy()
+    for one in np.unique(ids[hi > lo]):
+        own = np.flatnonzero(ids == one)
+        a, b = lo[own[0]], hi[own[0]]
+        at[own] = a + np.searchsorted(second[a:b], versions[own], side="right")
+    return at - 1
+
+
+def _dealt(heads, count: int):
+    """Deals rows to stretches; equal rows of a batch become one with their number, and
+    a stretch's head is sent to the end of the stretch before it too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = heads.value
+        before = {h: (n - 1) % len(known) for n, h in enumerate(known)}
+        for batch in batches:
+            versions = batch.column("version").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").cast(pa.int64())
+            missing = ids.is_null().to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            keys = np.stack([missing.astype(np.int64), ids, versions], axis=1)
+            _, rows, copies = np.unique(keys, axis=0, return_index=True, return_counts=True)
+            part = np.where(missing[rows], 2, 0)
+            stretch = versions[rows] % count
+            named = np.flatnonzero(part == 0)
+            if len(named):
+                stretch[named] = _stretch_of(known, ids[rows[named]], versions[rows[named]])
+            again = [(r, before[key]) for r in rows[named] if (key := (int(ids[r]), int(versions[r]))) in before]
+            rows = np.concatenate([rows, np.array([r for r, _ in again], dtype=np.int64)])
+            stretch = np.concatenate([stretch, np.array([s for _, s in again], dtype=np.int64)])
+            part = np.concatenate([part, np.ones(len(again), dtype=np.int64)])
+            copies = np.concatenate([copies, np.ones(len(again), dtype=np.int64)])
+            columns = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "version", "text")]
+            extra = [pa.array(x.astype(np.int64)) for x in (stretch, part, copies)]
+            yield pa.RecordBatch.from_arrays([*columns, *extra], ["doc_id", "version", "text", "stretch", "part", "copies"])
+
+    return run
+
+
+def _heads(named: DataFrame, count: int) -> list[tuple[int, int]]:
+    """The least (doc_id, version) of each of ``count`` ranges of them, found on these
+    two numbers alone: as many rows as ranges, as Spark's own range bounds."""
+    keys = named.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "version")
+    cut = keys.repartitionByRange(count, "doc_id", "version").withColumn("range", F.spark_partition_id())
+    least = cut.groupBy("range").agg(F.min(F.struct("doc_id", "version")).alias("head"))
+    return sorted((r["head"]["doc_id"], r["head"]["version"]) for r in least.collect())
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -195,22 +243,31 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty; two empty texts are alike. A text without words
     is its own only signature. Rows with one doc_id follow each other by a hash
-    of their texts, repeated rows too. A row without doc_id has no next document:
-    its last quarter is cut off, and near_next is null.
+    of their texts, repeated rows too; those meet as one row with their number. A row
+    without doc_id has no next document: its last quarter is cut off, and near_next is
+    null.
     """
     kind = docs.schema["doc_id"].dataType
     if not isinstance(kind, T.IntegralType):
         raise TypeError("doc_id must be an integer")
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    named = named.withColumn("version", F.xxhash64("text"))
     count = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _stretches(named, count).repartition(count, "stretch")
-    dealt = dealt.sortWithinPartitions("stretch", "part", "doc_id", "version")
-    arrow = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}[kind.simpleString()]
-    return dealt.select("doc_id", "text", "stretch", "part").mapInArrow(
+    heads = docs.sparkSession.sparkContext.broadcast(_heads(named, count))
+    whole = kind.simpleString()
+    dealt = named.mapInArrow(_dealt(heads, count), f"doc_id {whole}, version long, text string, stretch long, part long, copies long")
+    dealt = dealt.repartition(count, "stretch").sortWithinPartitions("stretch", "part", "doc_id", "version")
+    arrow = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}[whole]
+    found = dealt.select("doc_id", "text", "stretch", "part", "copies").mapInArrow(
         _in_sequence(arrow),
-        f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, "
-        "edited_fingerprint string, near_edited double, near_next double",
+        f"doc_id {whole}, n_chars long, edited_sha256 string, fingerprint string, "
+        "edited_fingerprint string, near_edited double, near_next double, copies long",
     )
+    # In steps, so that no list is long.
+    step = F.lit(1024)
+    many = found.withColumn("some", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, step.cast("long"))))
+    each = many.withColumn("one", F.explode(F.sequence(F.lit(1), F.least(F.col("copies") - F.col("some"), step.cast("long")))))
+    return each.drop("copies", "some", "one")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,6 +85,57 @@ def test_fingerprints_and_edits(spark):
     assert sum(near) / len(near) > 0.5 > 10 * sum(r.near_next for r in rows.values()) / len(rows)
 
 
+def plain_signatures(text):
+    """The signatures of a text as tuples of words, written anew."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    found = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+    if not found:
+        return {text} if text else set()
+    words = [w for w, _, _ in found]
+    chain = lambda n: tuple([w for w in words[n:] if w not in spotsigs.ANCHORS][: spotsigs.CHAIN])
+    out = {("whole", *words)}
+    for n, (word, start, _) in enumerate(found):
+        if word in spotsigs.ANCHORS:
+            out.add((word, chain(n)))
+        if n == 0 or re.search(r"[.!?\n]", low[found[n - 1][2] : start]):
+            out.add((None, chain(n)))
+    return out
+
+
+def test_fingerprints_by_plain_signatures(spark):
+    docs = sorted((d, t if len(t) < 4000 else t[:4000]) for d, t in texts_of(spark).items())
+    docs += [(10**6 + i, t) for i, t in enumerate(["the", "The cat", "the cat sat. Down", "été là. Où\nça", "?!", "", "one two three", "one two three. Four"])]
+    rows = {r.doc_id: r for r in spotsigs.fingerprint_edits(docs_of(spark, [t for _, t in docs], [d for d, _ in docs])).collect()}
+    sets = [plain_signatures(t) for _, t in docs]
+    like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    for n, (d, text) in enumerate(docs):
+        quarter = len(text) // 4
+        edited = plain_signatures(text[: len(text) - quarter] + docs[(n + 1) % len(docs)][1][:quarter])
+        assert rows[d].near_edited == pytest.approx(like(sets[n], edited))
+        assert rows[d].near_next == pytest.approx(like(sets[n], sets[(n + 1) % len(docs)]))
+        assert rows[d].fingerprint.startswith(f"{len(sets[n])}-")
+
+
+def test_repeated_rows_and_hot_ids_in_sequence(spark):
+    texts = [f"text {i} of the one id" for i in range(300)] + ["a row that repeats"] * 5000 + [f"other {i}" for i in range(50)]
+    ids = [7] * 300 + [8] * 5000 + list(range(20, 70))
+    rows = spotsigs.fingerprint_edits(docs_of(spark, texts, ids).repartition(5)).collect()
+    assert len(rows) == len(texts)
+    again = [r.near_next for r in rows if r.doc_id == 8]
+    assert len(again) == 5000 and sum(x < 1 for x in again) == 1
+    tail = {r.doc_id: r for r in rows if r.doc_id >= 20}
+    for i in range(49):
+        text, after = f"other {i}", f"other {i + 1}"
+        quarter = len(text) // 4
+        assert tail[20 + i].edited_sha256 == hashlib.sha256((text[: len(text) - quarter] + after[:quarter]).encode()).hexdigest()
+
+
+def test_stretches_split_one_id():
+    heads = [(3, 5), (7, -4), (7, 10), (9, 0)]
+    ids, versions = [3, 4, 7, 7, 7, 8, 9, 12], [6, -9, -4, 9, 10, 0, 0, 1]
+    assert list(spotsigs._stretch_of(heads, __import__("numpy").array(ids), __import__("numpy").array(versions))) == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
 def test_fingerprint_edges(spark):
     texts = [None, "", "the", "!!!", "the cat the dog the bird the fish saw it", "the cat the dog the bird the fish saw it", "x" * 300_000]
     rows = {r.doc_id: r for r in spotsigs.fingerprint_edits(docs_of(spark, texts)).collect()}
@@ -216,3 +267,20 @@ def test_context_finds_other_identifiers(spark):
     rows = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, texts)).collect()}
     assert rows[12].n_phone == 0 and rows[12].spans == "phone:24:34"
     assert rows[13].spans == "phone:11:21" and rows[14].spans == ""
+
+
+def test_context_finds_spaced_groups(spark):
+    known = [f"Hello, my phone number: +1 (555) 555-{1000 + i} thank you" for i in range(12)]
+    spaced = ["Hello, my phone number: 030 123 456 thank you", "Hello, my phone number: (988) 555-2485 thank you", "Hello, my phone number: 030123456. Thank you"]
+    rows = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, [*known, *spaced, "12 of 2021 15 days"])).collect()}
+    assert [rows[i].spans for i in (12, 13, 14, 15)] == ["phone:24:35", "phone:24:38", "phone:24:33", ""]
+    assert [rows[i].n_learned for i in (0, 12, 13, 14, 15)] == [0, 1, 1, 1, 0]
+
+
+def test_rounds_go_on_to_the_end(spark):
+    """Four levels: each pattern is learned from what the one before has found."""
+    groups = [[f"+1 (555) 555-{1000 + i}" for i in range(120)]]
+    groups += [[f"{k}0{i:03d}7788" for i in range(n)] for k, n in enumerate((54, 24, 10, 4), 1)]
+    texts = [f"left{k} side{k} {v} right{k} end{k}" for k in range(4) for v in groups[k] + groups[k + 1]]
+    rows = pii.find_personal_data(docs_of(spark, texts)).collect()
+    assert sum(r.n_learned for r in rows) == len(texts) - 120
