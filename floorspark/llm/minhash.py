@@ -36,7 +36,7 @@ FEW = 4
 MORE_HUBS = 8
 #: Coordinates of the longer signature that members of open buckets get, and
 #: the standard deviations below the threshold from which it rules a pair out.
-SKETCH, SURE = 1920, 6.0
+SKETCH, SURE = 3840, 6.0
 
 _PACKED = SKETCH // 64  # numbers that hold one bit of each coordinate
 _SIGNATURE = "id long, version long, n_shingles long, set_a long, set_b long, bands array<long>"
