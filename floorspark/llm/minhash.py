@@ -36,9 +36,13 @@ FEW = 4
 MORE_HUBS = 8
 #: Coordinates of the longer signature that members of open buckets get, and
 #: the standard deviations below the threshold from which it rules a pair out.
-SKETCH, SURE = 3840, 6.0
+SKETCH, SURE = 1920, 6.0
+#: Shingles up to which a member of an open bucket brings its set along, folded to 16
+#: bits each, so that pairs are measured where they meet.
+BROUGHT = 2048
 
 _PACKED = SKETCH // 64  # numbers that hold one bit of each coordinate
+_SKETCHED = "id long, bands array<long>, sketch array<long>, whole long, folded array<smallint>"
 _SIGNATURE = "id long, version long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -114,7 +118,7 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The buckets and the longer signature of stored sets."""
+    """The buckets, the longer signature, the size and the folded set of stored sets."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             part = batch.slice(lo, 64)
@@ -124,7 +128,13 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.ascontiguousarray((signature & np.uint32(1)).T)
             packed = np.ascontiguousarray(np.packbits(bits.astype(bool), axis=1)).view(np.int64)
             lists = _lists(_band_keys(signature), BANDS), _lists(packed, _PACKED)
-            yield pa.RecordBatch.from_arrays([part.column("id"), *lists], ["id", "bands", "sketch"])
+            folded = [_folded(s) if len(s) <= BROUGHT else None for s in sets]
+            more = pa.array([len(s) for s in sets], pa.int64()), pa.array(folded, pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), *lists, *more], ["id", "bands", "sketch", "whole", "folded"])
+
+
+def _folded(grams: np.ndarray) -> np.ndarray:
+    return np.unique(grams >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
 def _set_bytes(k: int):
@@ -184,6 +194,19 @@ def _may_reach(percent: int) -> Column:
     return differ <= int(most)
 
 
+def _folded_reach(percent: int) -> Column:
+    """Whether the folded sets of two members leave room for the threshold.
+
+    Folding makes sets share more, or fewer by as many shingles as fell together in
+    the smaller loss of the two; with that added, no pair at the threshold is ruled
+    out. Pairs of which one brings no set are left to the confirmation.
+    """
+    lost = F.least(F.col("whole") - F.size("folded"), F.col("whole_a") - F.size("folded_a"))
+    shared = F.size(F.array_intersect("folded", "folded_a")) + lost
+    reach = shared * (100 + percent) >= (F.col("whole") + F.col("whole_a")) * percent
+    return F.col("folded").isNull() | F.col("folded_a").isNull() | reach
+
+
 def _hub_pairs(members: DataFrame, seen: float, upto: float, percent: int) -> DataFrame:
     """(a, b, shared buckets): members of different classes with the hubs of
     this round. ``turn`` orders the members; hubs are those whose turn comes
@@ -196,7 +219,7 @@ def _hub_pairs(members: DataFrame, seen: float, upto: float, percent: int) -> Da
         hub = hub & ~before
         members = members.withColumn("before", before)
     sketched = "sketch" in members.columns
-    extra = [F.col(c).alias(f"{c}_a") for c in ("sketch", "bands")] if sketched else []
+    extra = [F.col(c).alias(f"{c}_a") for c in ("sketch", "bands", "whole", "folded")] if sketched else []
     hubs = members.where(hub).select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a"), *extra)
     rest = (members.where("not before") if seen else members).withColumn("hub", hub)
     near = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("label") != F.col("label_a"))
@@ -205,7 +228,7 @@ def _hub_pairs(members: DataFrame, seen: float, upto: float, percent: int) -> Da
         # bucket that another text of the same doc_id brought counts by itself.
         first = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("bucket")
         own = F.array_contains("bands", F.col("bucket")) & F.array_contains("bands_a", F.col("bucket"))
-        near = near & _may_reach(percent) & (first | ~own)
+        near = near & _may_reach(percent) & (first | ~own) & _folded_reach(percent)
     once = ~F.col("hub") | (F.struct("turn", "id") > F.struct("turn_a", "a"))
     pairs = rest.join(hubs, "bucket").where(once & (F.col("a") != F.col("id")) & near)
     return pairs.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
@@ -276,7 +299,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if "sketch" not in members.columns:
             members = stored(members, "members")
             open_sets = sets.withColumnRenamed("key", "id").join(members.select("id").distinct(), "id", "left_semi")
-            members = members.join(open_sets.mapInArrow(_sketched, "id long, bands array<long>, sketch array<long>"), "id")
+            members = members.join(open_sets.mapInArrow(_sketched, _SKETCHED), "id")
         members = stored(members, "members")
 
     final = classes.select("set_a", "set_b", "id", F.col("id").alias("component_id"))

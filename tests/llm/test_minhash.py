@@ -59,6 +59,25 @@ def test_pairs_at_the_threshold_stay_within_the_sketch():
     assert max(most) < minhash.SURE
 
 
+def test_folded_sets_rule_out_no_pair_at_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    rows, true = [], set()
+    for n in range(600):
+        shared, each = int(rng.choice([4, 40, 144, 900])), 0
+        each = shared // 8 if n % 2 else shared // 8 + 1 + n % 3
+        values = rng.integers(0, 2**64, shared + 2 * each, dtype=np.uint64)
+        sides = values[: shared + each], np.concatenate([values[:shared], values[shared + each :]])
+        if 100 * shared >= 80 * (shared + 2 * each):
+            true.add(n)
+        folded = [minhash._folded(x).tolist() for x in sides]
+        rows.append((n, len(sides[0]), folded[0], len(sides[1]), folded[1] if n % 50 else None))
+    kind = "n long, whole long, folded array<smallint>, whole_a long, folded_a array<smallint>"
+    left = {r.n for r in spark.createDataFrame(rows, kind).where(minhash._folded_reach(80)).collect()}
+    assert true <= left
+    assert {n for n in range(0, 600, 50)} <= left  # a side without a set is left to the confirmation
+    assert len(left - true) < 60
+
+
 def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     texts = [None, "", " \t\n", "one", "ONE", "two words", "Two  WORDS", long, long + " more", "one"]
