@@ -171,11 +171,33 @@ def _merged(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return now.withColumn("label", F.coalesce("label", "id"))
 
 
-def _open(members: DataFrame, below: float) -> DataFrame:
-    """Members of buckets that have several classes and members not yet hubs."""
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets that have several classes."""
     several = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     several = several.where("lo <> hi").select("bucket")
-    return lookup_join(members.where(F.col("size") > below), several, ["bucket"], "left_semi")
+    return lookup_join(members, several, ["bucket"], "left_semi")
+
+
+def _with_hubs(members: DataFrame, upto: float) -> DataFrame:
+    """Marks the hubs of this round in open buckets.
+
+    ``turn`` orders the members; hubs are those whose turn comes within ``upto`` of the
+    bucket's size. Where few members are outside the bucket's largest class, those are
+    hubs: two members of different classes cannot both be in the largest, so the bucket
+    is done with this round.
+    """
+    classes = members.groupBy("bucket", "label").agg(F.count("*").alias("in_class"))
+    largest = F.max(F.struct("in_class", "label"))
+    held = classes.groupBy("bucket").agg(largest.alias("largest"), F.sum("in_class").alias("held"))
+    held = held.select("bucket", F.col("largest.label").alias("main"), (F.col("held") - F.col("largest.in_class")).alias("others"))
+    outside = (F.col("others") <= upto * MORE_HUBS) & (F.col("label") != F.col("main"))
+    marked = lookup_join(members.drop("hub"), held, ["bucket"]).withColumn("hub", _first() | (F.col("turn") * F.col("size") < upto) | outside)
+    return marked.drop("main", "others")
+
+
+def _first() -> Column:
+    """The members that all others of a bucket meet at first."""
+    return (F.col("turn") == F.col("least")) | (F.col("size") <= FEW)
 
 
 def _may_reach(percent: int) -> Column:
@@ -207,21 +229,12 @@ def _folded_reach(percent: int) -> Column:
     return F.col("folded").isNull() | F.col("folded_a").isNull() | reach
 
 
-def _hub_pairs(members: DataFrame, seen: float, upto: float, percent: int) -> DataFrame:
+def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b, shared buckets): members of different classes with the hubs of
-    this round. ``turn`` orders the members; hubs are those whose turn comes
-    within ``upto`` of the bucket's size, without those seen before."""
-    limit = F.col("turn") * F.col("size")
-    first = (F.col("turn") == F.col("least")) | (F.col("size") <= FEW)
-    hub = first | (limit < upto)
-    if seen:
-        before = first | (limit < seen)
-        hub = hub & ~before
-        members = members.withColumn("before", before)
+    this round."""
     sketched = "sketch" in members.columns
     extra = [F.col(c).alias(f"{c}_a") for c in ("sketch", "bands", "whole", "folded")] if sketched else []
-    hubs = members.where(hub).select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a"), *extra)
-    rest = (members.where("not before") if seen else members).withColumn("hub", hub)
+    hubs = members.where("hub").select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a"), *extra)
     near = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (F.col("label") != F.col("label_a"))
     if sketched:
         # A pair that shares several buckets meets in the first of them only; a
@@ -230,7 +243,7 @@ def _hub_pairs(members: DataFrame, seen: float, upto: float, percent: int) -> Da
         own = F.array_contains("bands", F.col("bucket")) & F.array_contains("bands_a", F.col("bucket"))
         near = near & _may_reach(percent) & (first | ~own) & _folded_reach(percent)
     once = ~F.col("hub") | (F.struct("turn", "id") > F.struct("turn_a", "a"))
-    pairs = rest.join(hubs, "bucket").where(once & (F.col("a") != F.col("id")) & near)
+    pairs = members.join(hubs, "bucket").where(once & (F.col("a") != F.col("id")) & near)
     return pairs.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
 
 
@@ -271,11 +284,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = named.join(speaking, ["id", "version"], "left_semi").dropDuplicates(["id"])
     sets = stored(texts.select(F.col("id").alias("key"), "text").mapInArrow(_set_bytes(k), "key long, grams binary"), "sets")
 
-    labels, seen, upto = None, 0.0, 1.0
-    members = members.withColumn("label", F.col("id"))
+    labels, upto = None, float(MORE_HUBS)
+    members = members.withColumns({"label": F.col("id"), "hub": _first()})
     best_first = True
     while not members.isEmpty():
-        pairs = _hub_pairs(members, seen, upto, percent)
+        pairs = _hub_pairs(members, percent)
         if best_first:
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
         links = stored(_links(pairs.select("a", "b"), sets, percent), "confirmed")
@@ -291,16 +304,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                 found = old.unionByName(found.join(labels.select("id"), "id", "left_anti"))
             labels = stored(found, "labels")
         if best_first:
-            best_first, done = False, 0.0
+            best_first = False  # only the best pair of each was tried: the same hubs once more
         else:
-            seen, upto = upto, upto * MORE_HUBS
-            done = max(float(FEW), seen)
-        members = _open(_merged(members, labels), done)
+            # What has been a hub was compared with all the others of its bucket.
+            members, upto = members.where("not hub"), upto * MORE_HUBS
+        members = stored(_open(_merged(members, labels)), "members")
         if "sketch" not in members.columns:
-            members = stored(members, "members")
             open_sets = sets.withColumnRenamed("key", "id").join(members.select("id").distinct(), "id", "left_semi")
             members = members.join(open_sets.mapInArrow(_sketched, _SKETCHED), "id")
-        members = stored(members, "members")
+        members = stored(_with_hubs(members, upto), "members")
 
     final = classes.select("set_a", "set_b", "id", F.col("id").alias("component_id"))
     if labels is not None:

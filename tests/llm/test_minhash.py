@@ -78,6 +78,19 @@ def test_folded_sets_rule_out_no_pair_at_the_threshold(spark):
     assert len(left - true) < 60
 
 
+def test_members_outside_the_largest_class_end_a_bucket_in_one_round(spark):
+    """A bucket of 5,000 with 3 others: those are hubs, so none of its rows comes again."""
+    rows = [(1, i, 7 if i < 5000 else i, 5003, (i + 1) / 5010, 1 / 5010, False) for i in range(5003)]
+    rows += [(2, i, i, 5003, (i + 1) / 5010, 1 / 5010, False) for i in range(5003)]  # all apart: hubs by turn
+    members = spark.createDataFrame(rows, "bucket long, id long, label long, size long, turn double, least double, hub boolean")
+    marked = minhash._with_hubs(minhash._open(members), 8.0)
+    hubs = {b: {r.id for r in marked.where("hub").collect() if r.bucket == b} for b in (1, 2)}
+    assert {5000, 5001, 5002} <= hubs[1]
+    assert len(hubs[1]) < 20 and len(hubs[2]) < 20
+    again = minhash._open(marked.where("not hub")).groupBy("bucket").count().collect()
+    assert [r.bucket for r in again] == [2]
+
+
 def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     texts = [None, "", " \t\n", "one", "ONE", "two words", "Two  WORDS", long, long + " more", "one"]
