@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorspark.plans.skew import lookup_join
+from floorspark.session import stored
 
 #: Lines of a window.
 WINDOW = 3
@@ -108,7 +109,8 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 def _covered(docs: DataFrame) -> DataFrame:
     """For each document with later occurrences, the places they cover."""
-    windows = _windows(docs)
+    # Stored, because texts would be cut and hashed once for each of the two uses.
+    windows = stored(_windows(docs), "windows")
     # One number orders occurrences by doc_id, then place.
     order = F.col("id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("lo")
     seen = windows.groupBy("hash", "check").agg(F.count("*").alias("n"), F.min(order).alias("first"))

@@ -424,3 +424,11 @@ def test_copies_of_one_class(spark):
     df = docs_of(spark, near_copies(30) + near_copies(30))
     want = {i for i, c in classes(dict(enumerate(near_copies(30) + near_copies(30))), 5, 80).items() if i == c}
     assert {r.doc_id for r in minhash.without_copies(df).collect()} == want
+
+
+def test_line_windows_are_made_once(spark):
+    """Both uses of the windows read them where they are stored: no text is cut again."""
+    docs = docs_of(spark, ["one line here\ntwo lines here\nthree lines here\n"] * 3)
+    plan = lines._covered(docs.select("doc_id", "text"))._jdf.queryExecution().toString()
+    assert "windows-" in plan
+    assert "split(" not in plan
