@@ -48,9 +48,13 @@ def _unreadable(given: Column, read: Column, name: str) -> Column:
     return F.when(given.isNotNull() & read.isNull(), f"unreadable {name}")
 
 
-def _read(raw: Column) -> Column:
+def _given(raw: Column) -> Column:
+    """One element of a list, its cells as they stand there."""
+    return F.struct(raw.alias("raw"), F.from_json(raw, EXTRACTION, STRICT_JSON).alias("cells"))
+
+
+def _read(raw: Column, given: Column) -> Column:
     """One element of a list as a row, or the reason why it is none."""
-    given = F.from_json(raw, EXTRACTION, STRICT_JSON)
     kinds = {"weight_kg": "decimal(18,3)", "planned_qty": "decimal(18,3)", "is_trial": "boolean", "is_doubles": "boolean"}
     names = [part.split(":")[0].strip() for part in EXTRACTION[len("struct<") : -1].split(",")]
     cells = {name: given[name].try_cast(kinds[name]) if name in kinds else given[name] for name in names}
@@ -75,8 +79,12 @@ def sorted_out(requests: DataFrame) -> DataFrame:
     inside = F.expr("substr(_text, 2, greatest(length(_text) - 2, 0))")
     found = found.withColumn("_raws", F.when(F.col("_is_list"), F.coalesce(elements(inside), F.array().cast("array<string>"))))
     # The outer form keeps Spark from reading each text again just to drop empty lists.
-    each = found.select("req_id", "_text", "_is_list", F.posexplode_outer("_raws").alias("row_no", "_raw"))
-    each = each.where(~F.col("_is_list") | F.col("row_no").isNotNull()).withColumn("_entry", _read(F.col("_raw")))
+    # Elements are read before they become rows: written out behind that, the read
+    # would be repeated for every cell that is asked for and every filter on them.
+    given = F.posexplode_outer(F.transform("_raws", _given)).alias("row_no", "_given")
+    each = found.select("req_id", "_text", "_is_list", given)
+    each = each.where(~F.col("_is_list") | F.col("row_no").isNotNull()).withColumn("_raw", F.col("_given.raw"))
+    each = each.withColumn("_entry", _read(F.col("_raw"), F.col("_given.cells")))
     whole = ~F.col("_is_list")
     return each.select(
         "req_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from floorspark.operators import ingest
 from tests.checks import connect
 
 # Query, expression over its rows, and the values that must occur.
@@ -68,3 +69,11 @@ def duck():
 def test_branch_occurs(duck, name, value, expected):
     rows = duck.execute(f"select distinct {value} from ({entry.oracle_sql()[name]}) q").fetchall()
     assert {r[0] for r in rows} == expected
+
+
+def test_each_list_element_is_read_once(spark):
+    """Neither the filter on reasons nor the single cells read an element again."""
+    requests = spark.createDataFrame([(1, '[{"grade":"A","planned_qty":3.5},{"grade":"B","planned_qty":4}]')], "req_id long, body string").repartition(1)
+    rows = ingest.extracted_rows(requests)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("StructField(grade") == 1
+    assert [(r.row_no, r.grade) for r in rows.collect()] == [(0, "A"), (1, "B")]
