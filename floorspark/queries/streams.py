@@ -9,7 +9,7 @@ from floorspark.operators import calibration, chat, edits
 from floorspark.queries.columns import HEIGHT, MEANS, RAW_FIT, WIDTH
 from floorspark.queries.registry import plain, query
 from floorspark.queries.scans import MARKED_READ, READ_STAMP, incoming_saves
-from floorspark.session import new_folder
+from floorspark.session import new_folder, stored
 from floorspark.sources.tables import Tables
 from floorspark.streaming import feeds
 from floorspark.streaming.run import ChangeLog, collect_rows
@@ -254,7 +254,8 @@ select frame_id, n as points, round(a * idx + b, 3) as estimate,
 def temperatures_refitted(t: Tables) -> DataFrame:
     """Points and frames of one day: each frame is scored with the points added before it."""
     points = t.derive("cal_seq", events=t.stream("events")).withColumn("added_at", seconds_on("seq"))
-    versions = calibration.version_fits(feeds.follow_points(points, "points").newest(["device", "seq"]))
+    # Stored, because every batch of frames reads them twice, to sample and to order them.
+    versions = stored(calibration.version_fits(feeds.follow_points(points, "points").newest(["device", "seq"])), "versions")
     scored = live_frames(t, versions).newest("frame_id")
     return scored.select("frame_id", "points", F.round("estimate", 3).alias("estimate"), "tier")
 

@@ -287,9 +287,12 @@ def follow_temperatures(
     columns = "frame_id long, device long, captured_at timestamp, idx double, points long, estimate double, temperature long, band string, tier string"
     timed = calibration.centre_box(pixels.where(~F.col("frozen")), width, height).withWatermark("captured_at", delay)
     frames = calibration.frame_index(timed, "captured_at")
-    log = ChangeLog.create(pixels.sparkSession, name, columns, folder, key="frame_id")
+    spark = pixels.sparkSession
+    log = ChangeLog.create(spark, name, columns, folder, key="frame_id")
 
     def change(rows: DataFrame, batch: int) -> DataFrame:
+        if rows.isEmpty():  # a batch that only moves the watermark need not order all versions
+            return spark.createDataFrame([], columns)
         return calibration.estimates_as_of(rows, fits() if callable(fits) else fits, "captured_at")
 
     return log.follow(frames, change, mode="update", **options)

@@ -420,3 +420,16 @@ def test_checks_are_counted_while_a_stream_is_stored(spark):
         found.setdefault(r["batch"], {})[r["check_name"]] = r["rows"]
     assert found == {0: {"rows": 2, "no role": 1, "role": 0}, 1: {"rows": 3, "no role": 0, "role": 2}}
     assert log.newest("id").count() == 5
+
+
+def test_a_batch_without_frames_orders_no_versions(tables):
+    """The last batch only moves the watermark: fits are asked for once."""
+    from floorspark.operators import calibration
+    from floorspark.queries.streams import live_frames
+
+    start = F.lit("2000-01-01 00:00:00").cast("timestamp")
+    versions = calibration.fit(tables.cal).withColumns({"seq": F.lit(0).cast("long"), "added_at": start})
+    asked = []
+    log = live_frames(tables, lambda: asked.append(1) or versions)
+    assert len(asked) == 1
+    assert log.newest("frame_id").count() > 0
